@@ -188,3 +188,84 @@ def mean_distances(centers_of_run: list[np.ndarray]) -> Callable[[Batches], Batc
             )
 
     return run_mean
+
+
+def silhouette_parts(
+    points: np.ndarray, own: np.ndarray, clusters: np.ndarray, means: np.ndarray,
+    spreads: np.ndarray, ratios: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Average square distance to the own cluster, and the least one to another.
+
+    The squares from a point to ``n`` sampled points add up to ``n`` times its
+    square distance to their mean plus their spread (mean square distance from
+    the mean); ``ratios`` holds ``n`` over the divisor.  NaN where the block
+    of clusters has no answer.
+    """
+    a = np.full(len(points), np.nan)
+    b = np.full(len(points), np.nan)
+    for cluster, mean, spread, ratio in zip(clusters, means, spreads, ratios):
+        average = ratio * (square_distance(points, mean) + spread)
+        mine = own == cluster
+        a[mine] = average[mine]
+        b[~mine] = np.fmin(b[~mine], average[~mine])
+    return a, b
+
+
+def seed_in_memory(points: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Seeding of one bounded block; column ``i`` of ``draws`` serves pick ``i``."""
+    chosen = np.empty((0, points.shape[1]))
+    ones = np.ones(len(points))
+    for turn in range(draws.shape[1]):
+        keys = race_keys(points, ones, draws[:, turn], chosen)
+        row = int(keys.argmin())
+        if not np.isfinite(keys[row]):
+            break
+        chosen = np.vstack([chosen, points[row]])
+    return chosen
+
+
+def refine_in_memory(points: np.ndarray, centers: np.ndarray, rounds: int) -> np.ndarray:
+    """Lloyd rounds on one bounded block, kept while they lower the cost."""
+    ones, best = np.ones(len(points)), np.inf
+    for _ in range(rounds):
+        which, _ = nearest(points, centers)
+        total, means = weighted_means(points, ones, which, len(centers))
+        proposal = np.where(total[:, None] > 0, means, centers)
+        gap = points - proposal[which]
+        cost = float(np.sqrt(np.einsum("ij,ij->i", gap, gap)).sum())
+        if not cost < best:
+            break
+        best, centers = cost, proposal
+    return centers
+
+
+def summarize_part(
+    part: int, batches: Batches, rounds: int, block_doubles: int
+) -> Batches:
+    """A part's rows ``(x, draws)`` to its weighted centers ``(id, x, w)``.
+
+    A part that turns out larger than a block is summarized block by block:
+    the union of their centers summarizes the part.
+    """
+
+    def summary(number: int, points: np.ndarray, draws: np.ndarray) -> pa.RecordBatch:
+        centers = refine_in_memory(points, seed_in_memory(points, draws), rounds)
+        which, _ = nearest(points, centers)
+        weights = np.bincount(which, minlength=len(centers)).astype(np.float64)
+        names = [f"{part}:{number}:{index}" for index in range(len(centers))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names), vectors(centers), pa.array(weights)], names=["id", "x", "w"]
+        )
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    doubles, number = 0, 0
+    for batch in batches:
+        if len(batch) == 0:
+            continue
+        held.append((matrix(batch.column("x")), matrix(batch.column("draws"))))
+        doubles += held[-1][0].size
+        if doubles >= block_doubles:
+            yield summary(number, *map(np.concatenate, zip(*held)))
+            held, doubles, number = [], 0, number + 1
+    if held:
+        yield summary(number, *map(np.concatenate, zip(*held)))
