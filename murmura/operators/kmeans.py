@@ -15,7 +15,10 @@ def _featured(points: DataFrame) -> DataFrame:
 
 
 def kmeans_fit(points: DataFrame, k: int, rounds: int, seed: int = 42) -> KMeansModel:
-    """k-means|| start and at most ``rounds`` Lloyd rounds; may find fewer than ``k`` centers."""
+    """k-means|| start and at most ``rounds`` Lloyd rounds; may find fewer than ``k`` centers.
+
+    Spark ML asks for ``k`` of at least 2.
+    """
     return KMeans(k=k, maxIter=rounds, seed=seed).fit(_featured(points).select("features"))
 
 
@@ -30,14 +33,18 @@ def kmeans_sweep(
 ) -> DataFrame:
     """``(k, centers, silhouette)`` for ``k`` from ``k_start`` to ``k_start + h - 1``.
 
-    The silhouette's expected sample per cluster is ``sample / k``.
+    The silhouette's expected sample per cluster is ``sample / k``; a single
+    cluster has no silhouette, so its row is written without a fit.
     """
-    if k_start < 2 or h < 1:
-        raise ValueError("k_start must be at least 2 and h at least 1")
+    if k_start < 1 or h < 1:
+        raise ValueError("k_start and h must be at least 1")
     points = points.select("id", "x").persist()
     found = []
     try:
         for k in range(k_start, k_start + h):
+            if k == 1:
+                found.append((1, 1, None))
+                continue
             model = kmeans_fit(points, k, rounds, seed)
             assigned = kmeans_assign(points, model).persist()
             try:
