@@ -120,7 +120,7 @@ def race(chosen_of_run: list[np.ndarray], id_type: pa.DataType) -> Callable[[Bat
 def refine(
     previous_of_run: list[np.ndarray | None], current_of_run: list[np.ndarray]
 ) -> Callable[[Batches], Batches]:
-    """Rows ``(x, w)`` to ``(run, cid, w, x, cost)``, one row per run and center.
+    """Rows ``(x, w)`` to ``(run, cid, w, x, cost)``, a row per run and center with points.
 
     ``x`` is the weighted mean of the partition's points nearest to the
     current center ``cid``.  The costs of a run add up to the weighted
@@ -148,14 +148,14 @@ def refine(
                     gap = points - moved
                     cost[run] += float(weights @ np.sqrt(np.einsum("ij,ij->i", gap, gap)))
         for run, totals in enumerate(total):
-            k = len(totals)
+            reached = np.flatnonzero(totals > 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(k, run, dtype=np.int32)),
-                    pa.array(np.arange(k, dtype=np.int32)),
-                    pa.array(totals),
-                    vectors(mean[run]),
-                    pa.array(np.where(np.arange(k) == 0, cost[run], 0.0)),
+                    pa.array(np.full(len(reached), run, dtype=np.int32)),
+                    pa.array(reached.astype(np.int32)),
+                    pa.array(totals[reached]),
+                    vectors(mean[run][reached]),
+                    pa.array(np.where(np.arange(len(reached)) == 0, cost[run], 0.0)),
                 ],
                 names=["run", "cid", "w", "x", "cost"],
             )
