@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles
+from murmura.functions import vectors
 from murmura.operators import (
     centers,
     coreset,
@@ -181,6 +182,20 @@ def nearest_center(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(found.select("id", "cid", "d"))
 
 
+def vector_arithmetic(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector against its own double less the unit vector: ``x`` and ``2x - 1``."""
+    points = tables.points(spark, folder).select("id", F.col("x").cast("array<double>").alias("x"))
+    ones = F.transform("x", lambda p: F.lit(-1.0))
+    other = vectors.vector_sum(vectors.scaled_vector(F.lit(2.0), F.col("x")), ones)
+    return _rounded(
+        points.select(
+            "id",
+            vectors.squared_distance(F.col("x"), other).alias("squared"),
+            vectors.distance(F.col("x"), other).alias("distance"),
+        )
+    )
+
+
 def center_weights(spark: SparkSession, folder: str) -> DataFrame:
     points = tables.points(spark, folder)
     return centers.center_weights(points, centers.first_centers(points, K))
@@ -287,6 +302,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "silhouette_sample": silhouette_sample,
         "silhouette_points": silhouette_points,
         "nearest_center": nearest_center,
+        "vector_arithmetic": vector_arithmetic,
         "center_weights": center_weights,
         "kmedian_objective": kmedian_objective,
         "objective_merged": objective_merged,

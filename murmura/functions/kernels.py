@@ -20,6 +20,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Batches = Iterator[pa.RecordBatch]
 
+# Rows compared at once, so that intermediate matrices stay in the cache.
+TILE_ROWS = 4096
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Vectors of equal length as the rows of a matrix of doubles."""
@@ -41,8 +44,7 @@ def square_distance(points: np.ndarray, center: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", gap, gap)
 
 
-def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the closest center, the first of equal ones, and the distance to it."""
+def _nearest_one_by_one(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
     which = np.zeros(len(points), dtype=np.int32)
     best = np.full(len(points), np.inf)
     for index, center in enumerate(centers):
@@ -50,7 +52,39 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
         closer = distance < best
         which[closer] = index
         best[closer] = distance[closer]
-    return which, best
+    return which
+
+
+def _nearest_in_tile(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """As one by one, through a matrix product.
+
+    The product gives squared distances up to ``slack``.  A row with a single
+    center that close to its minimum is settled; others are compared exactly.
+    """
+    middle = centers.mean(axis=0)
+    moved, targets = points - middle, centers - middle
+    own = np.einsum("ij,ij->i", moved, moved)
+    theirs = np.einsum("ij,ij->i", targets, targets)
+    squares = own[:, None] - 2.0 * (moved @ targets.T) + theirs
+    which = squares.argmin(axis=1).astype(np.int32)
+    reach = (np.sqrt(own) + np.sqrt(theirs.max())) ** 2
+    slack = 8.0 * (points.shape[1] + 8) * np.finfo(np.float64).eps * reach
+    least = squares[np.arange(len(points)), which]
+    open_rows = np.flatnonzero((squares <= (least + slack)[:, None]).sum(axis=1) != 1)
+    if len(open_rows):
+        which[open_rows] = _nearest_one_by_one(points[open_rows], centers)
+    return which
+
+
+def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the closest center, the first of equal ones, and the distance to it."""
+    which = np.zeros(len(points), dtype=np.int32)
+    if len(centers) > 1:
+        pick = _nearest_in_tile if len(centers) > 2 else _nearest_one_by_one
+        for start in range(0, len(points), TILE_ROWS):
+            which[start : start + TILE_ROWS] = pick(points[start : start + TILE_ROWS], centers)
+    gap = points - (centers[0] if len(centers) == 1 else centers[which])
+    return which, np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
 
 def race_keys(
@@ -73,9 +107,10 @@ def weighted_means(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Per center: sum of the weights, and weighted mean of its points."""
     total = np.bincount(which, weights=weights, minlength=k)
-    sums = np.empty((k, points.shape[1]))
-    for axis in range(points.shape[1]):
-        sums[:, axis] = np.bincount(which, weights=weights * points[:, axis], minlength=k)
+    order = np.argsort(which, kind="stable")
+    reached, starts = np.unique(which[order], return_index=True)
+    sums = np.zeros((k, points.shape[1]))
+    sums[reached] = np.add.reduceat(points[order] * weights[order, None], starts, axis=0)
     means = np.divide(sums, total[:, None], out=np.zeros_like(sums), where=total[:, None] > 0)
     return total, means
 
@@ -213,15 +248,21 @@ def silhouette_parts(
 
 def seed_in_memory(points: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Seeding of one bounded block; column ``i`` of ``draws`` serves pick ``i``."""
-    chosen = np.empty((0, points.shape[1]))
-    ones = np.ones(len(points))
+    times = -np.log(draws)
+    distance, picked = np.full(len(points), np.inf), []
     for turn in range(draws.shape[1]):
-        keys = race_keys(points, ones, draws[:, turn], chosen)
+        keys = times[:, turn]
+        if picked:
+            # Rows that lie on a chosen center never arrive.
+            keys = np.divide(
+                keys, distance, out=np.full(len(points), np.inf), where=distance > 0
+            )
         row = int(keys.argmin())
         if not np.isfinite(keys[row]):
             break
-        chosen = np.vstack([chosen, points[row]])
-    return chosen
+        picked.append(row)
+        distance = np.minimum(distance, np.sqrt(square_distance(points, points[row])))
+    return points[picked]
 
 
 def refine_in_memory(points: np.ndarray, centers: np.ndarray, rounds: int) -> np.ndarray:

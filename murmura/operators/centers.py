@@ -15,11 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import kernels as K
+from murmura.functions.vectors import distance_to
 from murmura.session import cut_lineage
 
 # Coordinates of centers sent to a task at once, 32 MB.  More centers than
 # that take several passes.
 BLOCK_DOUBLES = 4_000_000
+# Up to that many coordinates of centers are compared by generated code in the
+# JVM; more by numpy in Arrow batches, where the transfer of the points pays.
+UNROLLED_DOUBLES = 100
 
 
 def as_matrix(centers: Sequence[Sequence[float]] | np.ndarray) -> np.ndarray:
@@ -41,6 +45,14 @@ def blocks(centers: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def _nearest_in(start: int, centers: np.ndarray, x: Column) -> Column:
+    """``struct<d, cid>``: the nearest of a block of centers, of equal ones the first."""
+    if centers.size <= UNROLLED_DOUBLES:
+        candidates = [
+            F.struct(distance_to(x, center).alias("d"), F.lit(start + i).alias("cid"))
+            for i, center in enumerate(centers.tolist())
+        ]
+        return F.least(*candidates) if len(candidates) > 1 else candidates[0]
+
     nearest, matrix = K.nearest, K.matrix
 
     @F.arrow_udf("struct<d double, cid int>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,9 @@ def _check(k: int, parts: int = 1, rounds: int = 0) -> None:
         raise ValueError("k and parts must be at least 1, rounds at least 0")
 
 
-def coreset(points: DataFrame, k: int, parts: int, rounds: int, seed: int = 42) -> DataFrame:
+def coreset(
+    points: DataFrame, k: int, parts: int | None, rounds: int, seed: int = 42
+) -> DataFrame:
     """Weighted centers ``(id, x, w)``, at most ``k`` for each of ``parts`` parts.
 
     A point's part is a hash of its id.  Each part is seeded, refined and
@@ -35,17 +38,36 @@ def coreset(points: DataFrame, k: int, parts: int, rounds: int, seed: int = 42)
     each center.  More parts are made when ``parts`` of them would not fit the
     memory of a task, and a part swollen by copies of one id is worked off in
     blocks, so no task holds more than a block and a batch.
+
+    With ``parts`` None the input partitions are the parts, likewise block by
+    block: no point is shuffled, but the outcome depends on how the input is
+    split.
     """
-    _check(k, parts, rounds)
+    _check(k, 1 if parts is None else parts, rounds)
     points = points.select("id", "x")
+    draws = F.array(*[uniform_positive(seed, turn, F.col("id")) for turn in range(k)])
+    schema = "id string, x array<double>, w double"
+    summarize = K.summarize_part
+
+    if parts is None:
+        block = PART_DOUBLES
+
+        def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for first in batches:
+                if len(first):
+                    part = first.column("part")[0].as_py()
+                    yield from summarize(part, chain([first], batches), rounds, block)
+
+        here = F.spark_partition_id().alias("part")
+        return points.select(here, "x", draws.alias("draws")).mapInArrow(reduce_partition, schema)
+
     first = points.first()
     width = max(1, len(first.x)) if first else 1
     parts = max(parts, math.ceil(points.count() * width / PART_DOUBLES))
     part = F.floor(uniform(seed, "part", F.col("id")) * parts).cast("int")
     # The draws are made after the shuffle, which moves only points.
     placed = points.withColumn("part", part).repartition("part")
-    draws = F.array(*[uniform_positive(seed, turn, F.col("id")) for turn in range(k)])
-    block, summarize = 2 * PART_DOUBLES, K.summarize_part
+    block = 2 * PART_DOUBLES
 
     def reduce_part(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
@@ -55,12 +77,12 @@ def coreset(points: DataFrame, k: int, parts: int, rounds: int, seed: int = 42)
     return (
         placed.select("part", "x", draws.alias("draws"))
         .groupBy("part")
-        .applyInArrow(reduce_part, "id string, x array<double>, w double")
+        .applyInArrow(reduce_part, schema)
     )
 
 
 def kmedian_coreset(
-    points: DataFrame, k: int, parts: int, rounds: int, seed: int = 42
+    points: DataFrame, k: int, parts: int | None, rounds: int, seed: int = 42
 ) -> DataFrame:
     """``(coreset_points, centers, objective)`` of a three-round k-median.
 

@@ -30,14 +30,14 @@ def _pass(
     )
 
 
-def _moved(result: list, run: int, centers: np.ndarray) -> tuple[np.ndarray, float]:
-    """The run's new centers, a center without points staying, and its cost."""
-    after, cost = centers.copy(), 0.0
-    for row in result:
-        if row.run == run:
-            cost += row.cost
-            if row.w > 0:
-                after[row.cid] = row.x
+def _move(
+    result: DataFrame, before: list[np.ndarray]
+) -> tuple[list[np.ndarray], list[float]]:
+    """Each run's new centers, those without points staying, and its cost."""
+    after, cost = [centers.copy() for centers in before], [0.0 for _ in before]
+    for row in result.collect():
+        cost[row.run] += row.cost
+        after[row.run][row.cid] = row.x
     return after, cost
 
 
@@ -71,17 +71,16 @@ def lloyd_runs(
     if not running:
         return current
 
-    prepared = _pass(points, [None for _ in running], [current[r] for r in running]).collect()
-    proposal = {run: _moved(prepared, i, current[run])[0] for i, run in enumerate(running)}
+    first = [current[run] for run in running]
+    moved, _ = _move(_pass(points, [None for _ in running], first), first)
+    proposal = dict(zip(running, moved))
     turn = 0
     while running:
         turn += 1
-        measured = _pass(
-            points, [current[r] for r in running], [proposal[r] for r in running]
-        ).collect()
+        places = [proposal[run] for run in running]
+        measured = _pass(points, [current[run] for run in running], places)
         going = []
-        for i, run in enumerate(running):
-            following, cost = _moved(measured, i, proposal[run])
+        for run, following, cost in zip(running, *_move(measured, places)):
             if cost < best[run]:
                 best[run], current[run], proposal[run] = cost, proposal[run], following
                 if turn < rounds[run]:

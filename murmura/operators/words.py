@@ -62,7 +62,7 @@ def _plain(docs: DataFrame, parts: int) -> DataFrame:
 
 def _salted(docs: DataFrame, parts: int) -> DataFrame:
     """Two rounds: a word's documents are dealt to ``parts`` keys, then added up."""
-    return _count(words(docs), salt(parts, F.col("doc_id"), F.col("word")))
+    return _count(words(docs), salt(parts, F.col("doc_id")))
 
 
 def _partitioned(docs: DataFrame, parts: int) -> DataFrame:
@@ -106,7 +106,7 @@ def merged_words(docs: DataFrame, parts: int) -> DataFrame:
 
 def _merged(docs: DataFrame, parts: int) -> DataFrame:
     """Counts of ``merged_words``, in two rounds."""
-    return _count(merged_words(docs, parts), salt(parts, F.col("doc_id"), F.col("word")))
+    return _count(merged_words(docs, parts), salt(parts, F.col("doc_id")))
 
 
 METHODS = {

@@ -31,12 +31,12 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder; later reads do not recompute it.
 
-    The folder is the one named by ``spark.checkpoint.dir``.  Only a local
-    session may go without it; a cluster needs a folder all executors share.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
+    a local session may go without it; a cluster needs one all executors share.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -319,6 +319,9 @@ def statements(
         "nearest_center": _nearest_to_first(
             k, rounds, seed, "\n    SELECT id, cid, round(d, 9) AS d FROM near"
         ),
+        "vector_arithmetic": f"""
+    SELECT id, round(d * d, 9) AS squared, round(d, 9) AS distance FROM (
+        SELECT id, list_distance(x, list_transform(x, lambda p: 2 * p - 1)) AS d FROM ({POINTS}))""",
         "center_weights": _nearest_to_first(
             k,
             rounds,

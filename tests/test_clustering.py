@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from murmura.functions import kernels as K
 from murmura.operators import centers as C
 from murmura.operators import coreset as M
 from murmura.operators import kmeans as KM
@@ -37,7 +38,9 @@ def brute(rows, centers):
     return distance.argmin(1), distance.min(1)
 
 
-def test_nearest_center(cloud):
+@pytest.mark.parametrize("unrolled", [0, 100])
+def test_nearest_center(cloud, monkeypatch, unrolled):
+    monkeypatch.setattr(C, "UNROLLED_DOUBLES", unrolled)
     df, rows = cloud
     centers = rows[[5, 70, 130, 3]]
     which, distance = brute(rows, centers)
@@ -50,7 +53,9 @@ def test_nearest_center(cloud):
     assert merged[1] == pytest.approx(brute(rows, centers[:1])[1].mean())
 
 
-def test_many_centers_take_several_passes(cloud, monkeypatch):
+@pytest.mark.parametrize("unrolled", [0, 100])
+def test_many_centers_take_several_passes(cloud, monkeypatch, unrolled):
+    monkeypatch.setattr(C, "UNROLLED_DOUBLES", unrolled)
     df, rows = cloud
     centers = rows[::9]
     expected = sorted(map(tuple, C.nearest_center(df, centers).select("id", "cid", "d").collect()))
@@ -59,7 +64,9 @@ def test_many_centers_take_several_passes(cloud, monkeypatch):
     assert sorted(map(tuple, C.nearest_center(df, centers).select("id", "cid", "d").collect())) == expected
 
 
-def test_equal_distance_goes_to_the_smaller_id(spark):
+@pytest.mark.parametrize("unrolled", [0, 100])
+def test_equal_distance_goes_to_the_smaller_id(spark, monkeypatch, unrolled):
+    monkeypatch.setattr(C, "UNROLLED_DOUBLES", unrolled)
     row = C.nearest_center(frame(spark, [(1, 0)]), [[0, 0], [2, 0], [0, 0]]).first()
     assert (row.cid, row.d) == (0, 1.0)
 
@@ -171,6 +178,17 @@ def test_parts_grow_with_the_data_and_swollen_ones_are_worked_off_in_blocks(spar
     assert max(int(r.id.split(":")[1]) for r in core) > 2
 
 
+def test_input_partitions_as_parts(cloud, monkeypatch):
+    df, rows = cloud
+    split = df.repartition(4)
+    core = M.coreset(split, 3, None, 2)
+    assert "Exchange hashpartitioning" not in core._jdf.queryExecution().executedPlan().toString()
+    found = core.collect()
+    assert sum(r.w for r in found) == len(rows)
+    assert len({r.id for r in found}) == len(found) == 12
+    assert M.kmedian_coreset(split, 3, None, 3).first().objective < 2.5
+
+
 def test_three_rounds_find_the_groups(cloud):
     df, rows = cloud
     row = M.kmedian_coreset(df, 3, 4, 3).first()
@@ -223,3 +241,15 @@ def test_sweep(cloud):
     assert rows[3].silhouette > 0.9
     with pytest.raises(ValueError):
         KM.kmeans_sweep(df, 0, 1, 1, 1)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e12])
+@pytest.mark.parametrize("k, d", [(1, 3), (2, 3), (9, 1), (40, 5), (7, 64)])
+def test_matrix_product_picks_the_same_centers_as_plain_comparison(offset, k, d):
+    rng = np.random.default_rng(k * d)
+    rows = np.round(rng.normal(0, 2, (9000, d)), 1) + offset
+    centers = np.concatenate([rows[: k - k // 3], rows[: k // 3]])
+    which, distance = K.nearest(rows, centers)
+    assert (which == K._nearest_one_by_one(rows, centers)).all()
+    expected = np.sqrt(((rows - centers[which]) ** 2).sum(1))
+    assert distance == pytest.approx(expected, rel=1e-13)
