@@ -66,15 +66,18 @@ def _salted(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _partitioned(docs: DataFrame, parts: int) -> DataFrame:
-    """Two rounds: per input partition, then per word."""
-    return _count(words(docs), F.spark_partition_id())
+    """Per document within its row, per input partition by the partial sum, then per word.
+
+    One shuffle, of one row per word and input partition.
+    """
+    return doc_term_counts(docs).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _partition_salted(docs: DataFrame, parts: int) -> DataFrame:
     """Per input partition, then dealt to ``parts`` keys, then per word.
 
-    A partition gives a word one key, so the partial aggregation of the first
-    round is the count per partition and needs no shuffle of its own.
+    An input partition gives a word one key, so the partial aggregation of the
+    first round is the count per partition and needs no shuffle of its own.
     """
     return _count(words(docs), salt(parts, F.spark_partition_id(), F.col("word")))
 

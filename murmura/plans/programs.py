@@ -106,3 +106,9 @@ def kmedian_trials(
 ) -> DataFrame:
     """``(k, rounds, trials, lowest, highest, average)`` for a file of points."""
     return coreset.kmedian_trials(lines.read_points(spark, path), ks, rounds, trials, seed)
+
+
+def print_report(report: DataFrame) -> None:
+    """Prints the ``line`` column row by row, without holding the report on the driver."""
+    for row in report.select("line").toLocalIterator():
+        print(row.line)

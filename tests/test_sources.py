@@ -113,3 +113,9 @@ def test_clustering_programs(spark, tmp_path):
             spark.conf.set("spark.sql.files.minPartitionNum", before)
     trials = programs.kmedian_trials(spark, plain, [1, 2], [0, 2], 3).collect()
     assert all(r.lowest <= r.average <= r.highest and r.trials == 3 for r in trials)
+
+
+def test_print_report(spark, tmp_path, capsys):
+    path = write(tmp_path, "P1,U1,5,1\nP2,U1,1,1\n")
+    programs.print_report(programs.top_products(spark, path, 1))
+    assert capsys.readouterr().out == "Product P1 maxNormRating 2.0\n"
