@@ -24,6 +24,29 @@ Batches = Iterator[pa.RecordBatch]
 TILE_ROWS = 4096
 
 
+# Increment and multipliers of the splitmix64 generator.
+INCREMENT = 0x9E3779B97F4A7C15
+MULTIPLIERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _mixed(states: np.ndarray, steps: int) -> np.ndarray:
+    """The generator's output ``steps`` increments after each state."""
+    z = states + np.uint64(steps * INCREMENT % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MULTIPLIERS[0])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MULTIPLIERS[1])
+    return z ^ (z >> np.uint64(31))
+
+
+def draws(states: np.ndarray, seed: int) -> Callable[[int], np.ndarray]:
+    """One number in (0, 1] per row for any turn, fixed by row state, seed and turn."""
+    own = _mixed(states, seed)
+    return lambda turn: ((_mixed(own, turn + 1) >> np.uint64(12)) + np.float64(1)) / 2.0**52
+
+
+def _states(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("state").to_numpy(zero_copy_only=False).astype(np.uint64)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """Vectors of equal length as the rows of a matrix of doubles."""
     if len(column) == 0:
@@ -87,19 +110,20 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
     return which, np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
 
-def race_keys(
-    points: np.ndarray, weights: np.ndarray, draws: np.ndarray, chosen: np.ndarray
-) -> np.ndarray:
-    """Exponential arrival times; the least is a pick by weight times distance.
+def chances(points: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> np.ndarray | None:
+    """Weight times distance to the nearest chosen center; None with nothing chosen."""
+    return weights * nearest(points, chosen)[1] if len(chosen) else None
 
-    With nothing chosen yet every row is as likely.  Rows that lie on a chosen
-    center never arrive.
+
+def arrivals(draws: np.ndarray, chance: np.ndarray | None) -> np.ndarray:
+    """Exponential arrival times; the least of them is a pick by ``chance``.
+
+    Without chances every row is as likely; rows with chance 0 never arrive.
     """
     times = -np.log(draws)
-    if len(chosen) == 0:
+    if chance is None:
         return times
-    chance = weights * nearest(points, chosen)[1]
-    return np.divide(times, chance, out=np.full(len(points), np.inf), where=chance > 0)
+    return np.divide(times, chance, out=np.full(len(times), np.inf), where=chance > 0)
 
 
 def weighted_means(
@@ -119,34 +143,59 @@ def _weights(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("w").to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
-def race(chosen_of_run: list[np.ndarray], id_type: pa.DataType) -> Callable[[Batches], Batches]:
-    """Rows ``(id, x, w, draws)`` to one candidate ``(run, id, x, key)`` per run."""
+def race(
+    chosen_of_run: list[np.ndarray],
+    seeds: list[int],
+    turns_of_run: list[int],
+    kept: int,
+    id_type: pa.DataType,
+) -> Callable[[Batches], Batches]:
+    """Rows ``(id, x, w, state)`` to the candidates for each run's next picks.
+
+    Turn 0 is the pick after those chosen.  Per run and turn the ``kept`` rows of least arrival time come out as ``(run, turn, id, x,
+    w, draw, bound, beyond)``: ``bound`` is the time with the centers chosen
+    so far, and ``beyond`` the least bound of the rows left out.
+    """
 
     def run_race(batches: Batches) -> Batches:
-        winners: dict[int, tuple] = {}
+        least: dict[tuple[int, int], list[tuple]] = {}
         for batch in batches:
-            points, draws = matrix(batch.column("x")), matrix(batch.column("draws"))
+            if len(batch) == 0:
+                continue
+            points, states = matrix(batch.column("x")), _states(batch)
             weights, ids = _weights(batch), batch.column("id")
-            for run, chosen in enumerate(chosen_of_run):
-                if len(points) == 0:
-                    continue
-                keys = race_keys(points, weights, draws[:, run], chosen)
-                least = keys.min()
-                if not np.isfinite(least):
-                    continue
-                ties = [(ids[int(row)].as_py(), int(row)) for row in np.flatnonzero(keys == least)]
-                row_id, row = min(ties)
-                if run not in winners or (least, row_id) < winners[run][:2]:
-                    winners[run] = (least, row_id, points[row].tolist())
-        if winners:
+            for run, (chosen, turns) in enumerate(zip(chosen_of_run, turns_of_run)):
+                chance, draw_of = chances(points, weights, chosen), draws(states, seeds[run])
+                for turn in range(turns):
+                    draw = draw_of(len(chosen) + turn)
+                    keys = arrivals(draw, chance)
+                    held = least.setdefault((run, turn), [])
+                    limit = held[-1][0] if len(held) > kept else np.inf
+                    rows = np.flatnonzero(keys < limit)
+                    if len(rows) > kept + 1:
+                        rows = rows[np.argpartition(keys[rows], kept)[: kept + 1]]
+                    held += [
+                        (keys[r], ids[int(r)].as_py(), points[r].tolist(), weights[r], draw[r])
+                        for r in rows
+                    ]
+                    held.sort(key=lambda candidate: candidate[:2])
+                    del held[kept + 1 :]
+        out = [
+            (*place, *candidate, held[kept][0] if len(held) > kept else np.inf)
+            for place, held in least.items()
+            for candidate in held[:kept]
+        ]
+        if out:
+            run, turn, bound, row_id, x, w, draw, beyond = zip(*out)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(list(winners), pa.int32()),
-                    pa.array([w[1] for w in winners.values()], id_type),
-                    pa.array([w[2] for w in winners.values()], pa.list_(pa.float64())),
-                    pa.array([float(w[0]) for w in winners.values()], pa.float64()),
+                    pa.array(run, pa.int32()),
+                    pa.array(turn, pa.int32()),
+                    pa.array(row_id, id_type),
+                    pa.array(x, pa.list_(pa.float64())),
+                    *(pa.array(column, pa.float64()) for column in (w, draw, bound, beyond)),
                 ],
-                names=["run", "id", "x", "key"],
+                names=["run", "turn", "id", "x", "w", "draw", "bound", "beyond"],
             )
 
     return run_race
@@ -246,22 +295,19 @@ def silhouette_parts(
     return a, b
 
 
-def seed_in_memory(points: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Seeding of one bounded block; column ``i`` of ``draws`` serves pick ``i``."""
-    times = -np.log(draws)
-    distance, picked = np.full(len(points), np.inf), []
-    for turn in range(draws.shape[1]):
-        keys = times[:, turn]
-        if picked:
-            # Rows that lie on a chosen center never arrive.
-            keys = np.divide(
-                keys, distance, out=np.full(len(points), np.inf), where=distance > 0
-            )
+def seed_in_memory(points: np.ndarray, states: np.ndarray, seed: int, k: int) -> np.ndarray:
+    """Seeding of one bounded block of points of equal weight."""
+    draw_of = draws(states, seed)
+    distance: np.ndarray | None = None
+    picked: list[int] = []
+    for turn in range(k):
+        keys = arrivals(draw_of(turn), distance)
         row = int(keys.argmin())
         if not np.isfinite(keys[row]):
             break
         picked.append(row)
-        distance = np.minimum(distance, np.sqrt(square_distance(points, points[row])))
+        added = np.sqrt(square_distance(points, points[row]))
+        distance = added if distance is None else np.minimum(distance, added)
     return points[picked]
 
 
@@ -281,16 +327,16 @@ def refine_in_memory(points: np.ndarray, centers: np.ndarray, rounds: int) -> np
 
 
 def summarize_part(
-    part: int, batches: Batches, rounds: int, block_doubles: int
+    part: int, batches: Batches, k: int, rounds: int, seed: int, block_doubles: int
 ) -> Batches:
-    """A part's rows ``(x, draws)`` to its weighted centers ``(id, x, w)``.
+    """A part's rows ``(x, state)`` to its weighted centers ``(id, x, w)``.
 
     A part that turns out larger than a block is summarized block by block:
     the union of their centers summarizes the part.
     """
 
-    def summary(number: int, points: np.ndarray, draws: np.ndarray) -> pa.RecordBatch:
-        centers = refine_in_memory(points, seed_in_memory(points, draws), rounds)
+    def summary(number: int, points: np.ndarray, states: np.ndarray) -> pa.RecordBatch:
+        centers = refine_in_memory(points, seed_in_memory(points, states, seed, k), rounds)
         which, _ = nearest(points, centers)
         weights = np.bincount(which, minlength=len(centers)).astype(np.float64)
         names = [f"{part}:{number}:{index}" for index in range(len(centers))]
@@ -303,7 +349,7 @@ def summarize_part(
     for batch in batches:
         if len(batch) == 0:
             continue
-        held.append((matrix(batch.column("x")), matrix(batch.column("draws"))))
+        held.append((matrix(batch.column("x")), _states(batch)))
         doubles += held[-1][0].size
         if doubles >= block_doubles:
             yield summary(number, *map(np.concatenate, zip(*held)))

@@ -14,19 +14,15 @@ HEX_DIGITS = 13
 STEPS = float(16**HEX_DIGITS)
 
 
-def _draw(seed: int | Column, turn: int | Column, row_id: Column) -> Column:
-    key = F.concat_ws(":", F.lit(seed), F.lit(turn), row_id.cast("string"))
-    return F.conv(F.substring(F.md5(key), 1, HEX_DIGITS), 16, 10).cast("bigint")
-
-
-def uniform(seed: int | Column, turn: int | Column, row_id: Column) -> Column:
+def uniform(seed: int, turn: int | str, row_id: Column) -> Column:
     """A number in [0, 1)."""
-    return _draw(seed, turn, row_id) / F.lit(STEPS)
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(turn), row_id.cast("string")))
+    return F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("bigint") / F.lit(STEPS)
 
 
-def uniform_positive(seed: int | Column, turn: int | Column, row_id: Column) -> Column:
-    """A number in (0, 1], whose logarithm is finite."""
-    return (_draw(seed, turn, row_id) + F.lit(1)) / F.lit(STEPS)
+def row_state(row_id: Column) -> Column:
+    """60 bits from which tasks derive any number of draws; see ``kernels.draws``."""
+    return F.conv(F.substring(F.md5(row_id.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
 def salt(parts: int, *keys: Column) -> Column:

@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import kernels as K
-from murmura.functions.uniform import uniform, uniform_positive
+from murmura.functions.uniform import row_state, uniform
 from murmura.operators import centers as C
 from murmura.operators.lloyd import lloyd, lloyd_runs
-from murmura.operators.seeding import coordinates, seed_centers, seed_runs
+from murmura.operators.seeding import AHEAD, SENT, coordinates, seed_centers, seed_runs
 from murmura.session import cut_lineage
 
 # Coordinates of one part that a task holds at once, 64 MB.
 PART_DOUBLES = 8_000_000
-# Coordinates of the centers of all runs that share a pass.
+# Coordinates of the centers and candidates of all runs that share a pass.
 RUN_DOUBLES = 1_000_000
 
 
@@ -45,7 +45,7 @@ def coreset(
     """
     _check(k, 1 if parts is None else parts, rounds)
     points = points.select("id", "x")
-    draws = F.array(*[uniform_positive(seed, turn, F.col("id")) for turn in range(k)])
+    state = row_state(F.col("id")).alias("state")
     schema = "id string, x array<double>, w double"
     summarize = K.summarize_part
 
@@ -56,26 +56,28 @@ def coreset(
             for first in batches:
                 if len(first):
                     part = first.column("part")[0].as_py()
-                    yield from summarize(part, chain([first], batches), rounds, block)
+                    yield from summarize(
+                        part, chain([first], batches), k, rounds, seed, block
+                    )
 
         here = F.spark_partition_id().alias("part")
-        return points.select(here, "x", draws.alias("draws")).mapInArrow(reduce_partition, schema)
+        return points.select(here, "x", state).mapInArrow(reduce_partition, schema)
 
     first = points.first()
     width = max(1, len(first.x)) if first else 1
     parts = max(parts, math.ceil(points.count() * width / PART_DOUBLES))
     part = F.floor(uniform(seed, "part", F.col("id")) * parts).cast("int")
-    # The draws are made after the shuffle, which moves only points.
+    # Ids are hashed after the shuffle, which moves only points.
     placed = points.withColumn("part", part).repartition("part")
     block = 2 * PART_DOUBLES
 
     def reduce_part(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        yield from summarize(key[0].as_py(), batches, rounds, block)
+        yield from summarize(key[0].as_py(), batches, k, rounds, seed, block)
 
     return (
-        placed.select("part", "x", draws.alias("draws"))
+        placed.select("part", "x", state)
         .groupBy("part")
         .applyInArrow(reduce_part, schema)
     )
@@ -136,7 +138,8 @@ def _objectives(points: DataFrame, runs: list[tuple[int, int, int]], seed: int)
     first = points.first()
     if first is None:
         return []
-    together = max(1, RUN_DOUBLES // (max(k for k, _, _ in runs) * max(1, len(first.x))))
+    vectors = max(AHEAD * SENT, max(k for k, _, _ in runs))
+    together = max(1, RUN_DOUBLES // (vectors * max(1, len(first.x))))
     outcome: list[tuple] = []
     for start in range(0, len(runs), together):
         batch = runs[start : start + together]

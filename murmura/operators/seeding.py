@@ -3,18 +3,33 @@
 The first center is uniform; each next one is drawn with probability
 proportional to weight times distance (not squared) to the nearest center so
 far.  A draw is a race: every row arrives at ``-ln(u) / (w d)`` and the first
-to arrive is picked, so one pass with one candidate per partition suffices.
+to arrive is picked.
+
+Distances only shrink as centers are added, so a row's time with today's
+centers is a lower bound of its time in any later turn.  One pass therefore
+gathers, for several turns ahead, the few rows with the least bounds.  The
+driver replays those turns on them: if the winner's true time is below every
+bound that was left out, no other row can have won; if not, the next pass
+starts at that turn.  The picks are those of one pass per turn.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from murmura.functions import kernels as K
-from murmura.functions.uniform import uniform_positive
+from murmura.functions.uniform import row_state
+
+# Turns prepared by one pass, candidates for each from a partition, and from all.
+AHEAD = 8
+KEPT = 8
+SENT = 32
+GROUPS = 64
 
 Picks = list[tuple[object, list[float]]]
 
@@ -29,6 +44,43 @@ def coordinates(picks: Picks) -> np.ndarray:
     return np.array([x for _, x in picks], dtype=np.float64)
 
 
+def _least(candidates: DataFrame) -> dict[tuple[int, int], list[Row]]:
+    """The rows of least bound per run and turn, at most ``SENT + 1``, in order.
+
+    Each partition brings few rows, but partitions may be many: groups of
+    them are thinned out first.
+    """
+    candidates = candidates.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    for keys in (["run", "turn", "group"], ["run", "turn"]):
+        order = Window.partitionBy(*keys).orderBy("bound", "id")
+        candidates = candidates.withColumn("nth", F.row_number().over(order)).where(
+            F.col("nth") <= SENT + 1
+        )
+    found = defaultdict(list)
+    for row in sorted(candidates.collect(), key=lambda row: row.nth):
+        found[row.run, row.turn].append(row)
+    return found
+
+
+def _winner(rows: list[Row], chosen: np.ndarray, first: bool) -> tuple[Row | None, bool]:
+    """The pick among the candidates of one turn, and whether it is certain.
+
+    In the ``first`` turn of a pass the bounds are the times themselves.
+    """
+    if not rows:
+        return None, True
+    keys = K.arrivals(
+        np.array([row.draw for row in rows]),
+        K.chances(np.array([row.x for row in rows]), np.array([row.w for row in rows]), chosen),
+    )
+    key, _, best = min((key, row.id, at) for at, (key, row) in enumerate(zip(keys, rows)))
+    left_out = min(row.beyond for row in rows)
+    if len(rows) > SENT:
+        left_out = min(left_out, rows[-1].bound)
+    winner = rows[best] if np.isfinite(key) else None
+    return winner, first or key < left_out or not np.isfinite(left_out)
+
+
 def seed_runs(points: DataFrame, ks: list[int], seeds: list[int]) -> list[Picks]:
     """Independent seedings that share every pass: ``ks[i]`` centers by ``seeds[i]``.
 
@@ -38,24 +90,35 @@ def seed_runs(points: DataFrame, ks: list[int], seeds: list[int]) -> list[Picks]
     """
     if min(ks) < 1:
         raise ValueError("k must be at least 1")
-    points = weighted(points)
+    points = weighted(points).withColumn("state", row_state(F.col("id")))
     id_type = points.schema["id"].dataType
     picks: list[Picks] = [[] for _ in ks]
     running = list(range(len(ks)))
-    for turn in range(max(ks)):
-        running = [r for r in running if ks[r] > turn and len(picks[r]) == turn]
-        if not running:
-            break
-        draws = F.array(*[uniform_positive(seeds[r], turn, F.col("id")) for r in running])
-        candidates = points.withColumn("draws", draws).mapInArrow(
-            K.race([coordinates(picks[r]) for r in running], to_arrow_type(id_type)),
-            f"run int, id {id_type.simpleString()}, x array<double>, key double",
-        )
-        winners = candidates.groupBy("run").agg(
-            F.min_by(F.struct("id", "x"), F.struct("key", "id")).alias("win")
+    while running:
+        # With no center there is no bound, so the first pass looks at one turn.
+        turns = [min(AHEAD, ks[r] - len(picks[r])) if picks[r] else 1 for r in running]
+        chosen = [coordinates(picks[r]) for r in running]
+        race = K.race(chosen, [seeds[r] for r in running], turns, KEPT, to_arrow_type(id_type))
+        candidates = points.mapInArrow(
+            race,
+            f"run int, turn int, id {id_type.simpleString()}, x array<double>, w double, "
+            "draw double, bound double, beyond double",
         )
-        for row in winners.collect():
-            picks[running[row.run]].append((row.win.id, list(row.win.x)))
+        found = _least(candidates)
+        going = []
+        for at, (run, count) in enumerate(zip(running, turns)):
+            exhausted = False
+            for turn in range(count):
+                winner, certain = _winner(found[at, turn], coordinates(picks[run]), turn == 0)
+                if not certain:
+                    break
+                if winner is None:
+                    exhausted = True
+                    break
+                picks[run].append((winner.id, list(winner.x)))
+            if not exhausted and len(picks[run]) < ks[run]:
+                going.append(run)
+        running = going
     return picks
 
 

@@ -30,16 +30,34 @@ LABELLED = f"""
 POINTS = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
 
 
-def _draw(seed: object, turn: object, row_id: str) -> str:
-    return f"('0x' || substr(md5(concat_ws(':', {seed}, {turn}, {row_id})), 1, 13))::BIGINT"
+WORD = "18446744073709551616::UHUGEINT"
+INCREMENT = 0x9E3779B97F4A7C15
 
 
 def _uniform(seed: object, turn: object, row_id: str) -> str:
-    return f"({_draw(seed, turn, row_id)} / 4503599627370496.0::DOUBLE)"
+    digits = f"substr(md5(concat_ws(':', {seed}, {turn}, {row_id})), 1, 13)"
+    return f"(('0x' || {digits})::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
-def _arrival(seed: object, turn: object, row_id: str) -> str:
-    return f"-ln(({_draw(seed, turn, row_id)} + 1)::DOUBLE / 4503599627370496.0::DOUBLE)"
+def _mixed(state: str, steps: str) -> str:
+    """The splitmix64 generator's output some increments after a state, by 128-bit arithmetic."""
+
+    def times(z: str, factor: int) -> str:
+        return f"CAST({z}::UHUGEINT * {factor}::UHUGEINT % {WORD} AS UBIGINT)"
+
+    start = (
+        f"CAST(({state}::UHUGEINT + {steps}::UHUGEINT * {INCREMENT}::UHUGEINT % {WORD}) % {WORD}"
+        " AS UBIGINT)"
+    )
+    one = f"list_transform([{start}], lambda z: {times('xor(z, z >> 30)', 0xBF58476D1CE4E5B9)})"
+    two = f"list_transform({one}, lambda z: {times('xor(z, z >> 27)', 0x94D049BB133111EB)})"
+    return f"list_transform({two}, lambda z: xor(z, z >> 31))[1]"
+
+
+def _arrival(seed: str, turn: int, row_id: str) -> str:
+    state = f"('0x' || substr(md5({row_id}::VARCHAR), 1, 15))::UBIGINT"
+    draw = _mixed(_mixed(state, seed), str(turn + 1))
+    return f"-ln((({draw} >> 12)::DOUBLE + 1) / 4503599627370496.0::DOUBLE)"
 
 
 def _merged(keys: int) -> str:

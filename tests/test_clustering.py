@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +255,37 @@ def test_matrix_product_picks_the_same_centers_as_plain_comparison(offset, k, d)
     assert (which == K._nearest_one_by_one(rows, centers)).all()
     expected = np.sqrt(((rows - centers[which]) ** 2).sum(1))
     assert distance == pytest.approx(expected, rel=1e-13)
+
+
+@pytest.mark.parametrize("ahead, kept, sent", [(1, 8, 32), (8, 1, 1), (8, 2, 3), (4, 8, 32)])
+def test_picks_do_not_depend_on_how_many_turns_a_pass_prepares(
+    cloud, monkeypatch, ahead, kept, sent
+):
+    df, rows = cloud
+    for name, value in (("AHEAD", ahead), ("KEPT", kept), ("SENT", sent)):
+        monkeypatch.setattr(S, name, value)
+    got = S.seed_runs(df.repartition(5), [12, 7], [3, 4])
+    assert got == [picks_by_definition(rows, 12, 3), picks_by_definition(rows, 7, 4)]
+
+
+def picks_by_definition(rows, k, seed):
+    """One race over all rows per turn."""
+    ids = [int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i in range(len(rows))]
+    draw_of = K.draws(np.array(ids, dtype=np.uint64), seed)
+    chosen = []
+    for turn in range(k):
+        times = -np.log(draw_of(turn))
+        if chosen:
+            with np.errstate(divide="ignore"):
+                times = times / brute(rows, rows[chosen])[1]
+        chosen.append(int(times.argmin()))
+    return [(i, rows[i].tolist()) for i in chosen]
+
+
+def test_draws_are_uniform_and_unrelated():
+    states = np.arange(200_000, dtype=np.uint64)
+    one, next_turn, other = (K.draws(states, s)(t) for s, t in ((1, 0), (1, 1), (2, 0)))
+    assert one.min() > 0 and one.max() <= 1
+    assert one.mean() == pytest.approx(0.5, abs=0.005)
+    for pair in ((one, next_turn), (one, other)):
+        assert abs(np.corrcoef(*pair)[0, 1]) < 0.01
