@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 # Tasks receive these functions by value, so executors need not have the
@@ -48,9 +49,12 @@ def _states(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of equal length as the rows of a matrix of doubles."""
+    """Vectors, which must be of one length, as the rows of a matrix of doubles."""
     if len(column) == 0:
         return np.empty((0, 0))
+    lengths = pc.min_max(column.value_lengths()).as_py()
+    if column.null_count or lengths["min"] != lengths["max"]:
+        raise ValueError("a vector is missing or of another length")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype(np.float64, copy=False).reshape(len(column), -1)
 

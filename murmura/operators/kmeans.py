@@ -48,7 +48,7 @@ def kmeans_sweep(
             model = kmeans_fit(points, k, rounds, seed)
             assigned = kmeans_assign(points, model).persist()
             try:
-                score = mean_silhouette(assigned, sample / k, seed).first().silhouette
+                score = mean_silhouette(assigned, sample / k, seed, clusters=k).first().silhouette
             finally:
                 assigned.unpersist()
             found.append((k, len(model.clusterCenters()), score))

@@ -26,6 +26,8 @@ from murmura.operators.per_key import join_per_key
 from murmura.session import cut_lineage
 
 EVERY_POINT = float("inf")
+# Sizes of that many clusters, about 1 MB, are broadcast when the bound is known.
+BROADCAST_CLUSTERS = 50_000
 
 
 def cluster_sizes(points: DataFrame) -> DataFrame:
@@ -33,17 +35,25 @@ def cluster_sizes(points: DataFrame) -> DataFrame:
     return points.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
-def with_sizes(points: DataFrame) -> DataFrame:
-    """``points`` with the ``size`` of their cluster."""
-    return join_per_key(points, cluster_sizes(points), "cluster", "size")
+def with_sizes(points: DataFrame, clusters: int | None = None) -> DataFrame:
+    """``points`` with the ``size`` of their cluster.
+
+    ``clusters`` is the largest possible number of clusters, where known.
+    """
+    sizes = cluster_sizes(points)
+    if clusters is not None and clusters <= BROADCAST_CLUSTERS:
+        return points.join(F.broadcast(sizes), "cluster").select(*points.columns, "size")
+    return join_per_key(points, sizes, "cluster", "size")
 
 
-def cluster_sample(points: DataFrame, t: float, seed: int = 42) -> DataFrame:
+def cluster_sample(
+    points: DataFrame, t: float, seed: int = 42, clusters: int | None = None
+) -> DataFrame:
     """``points`` with ``size``, each kept with probability ``min(t / size, 1)``."""
     if not t > 0:
         raise ValueError("t must be positive")
     chance = F.least(F.lit(float(t)) / F.col("size"), F.lit(1.0))
-    return with_sizes(points).where(uniform(seed, 0, F.col("id")) <= chance)
+    return with_sizes(points, clusters).where(uniform(seed, 0, F.col("id")) <= chance)
 
 
 def sample_moments(sample: DataFrame, t: float) -> DataFrame:
@@ -124,10 +134,15 @@ def point_scores(points: DataFrame, moments: DataFrame) -> DataFrame:
     return previous.select("id", "cluster", a.alias("a"), b.alias("b"), score.alias("score"))
 
 
-def mean_silhouette(points: DataFrame, t: float = EVERY_POINT, seed: int = 42) -> DataFrame:
-    """``(silhouette, points)``: mean score, and number of points that have one."""
+def mean_silhouette(
+    points: DataFrame, t: float = EVERY_POINT, seed: int = 42, clusters: int | None = None
+) -> DataFrame:
+    """``(silhouette, points)``: mean score, and number of points that have one.
+
+    ``clusters`` is the largest possible number of clusters, where known.
+    """
     points = points.select("id", "x", "cluster")
-    sample = points if t == EVERY_POINT else cluster_sample(points, t, seed)
+    sample = points if t == EVERY_POINT else cluster_sample(points, t, seed, clusters)
     moments = sample_moments(sample, t)
     return point_scores(points, moments).agg(
         F.avg("score").alias("silhouette"), F.count("score").alias("points")

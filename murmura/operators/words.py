@@ -26,16 +26,16 @@ def doc_term_counts(docs: DataFrame) -> DataFrame:
     where the next differs.  Nothing is shuffled.
     """
     ordered, ends = F.col("ordered"), F.col("ends")
+
+    def mark(word: Column, at: Column) -> Column:
+        """Position after a run's last token, 0 inside the run."""
+        return F.when(word.eqNullSafe(F.get(ordered, at + 1)), F.lit(0)).otherwise(at + 1)
+
     runs = (
         docs.where(T.has_visible(F.col("text")))
         .select("doc_id", F.sort_array(T.tokens(F.col("text"))).alias("ordered"))
-        .withColumn(
-            "ends",
-            F.filter(
-                F.sequence(F.lit(1), F.size(ordered)),
-                lambda i: (i == F.size(ordered)) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-            ),
-        )
+        .withColumn("marks", F.transform(ordered, mark))
+        .withColumn("ends", F.filter("marks", lambda at: at > 0))
     )
     counted = F.transform(
         ends,

@@ -73,6 +73,14 @@ def test_equal_distance_goes_to_the_smaller_id(spark, monkeypatch, unrolled):
     assert (row.cid, row.d) == (0, 1.0)
 
 
+@pytest.mark.parametrize("rows", [[(1.0, 2.0), (1.0, 2.0, 3.0, 4.0)], [(1.0, 2.0), None]])
+def test_vectors_of_another_length_fail(spark, monkeypatch, rows):
+    monkeypatch.setattr(C, "UNROLLED_DOUBLES", 0)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "id bigint, x array<double>")
+    with pytest.raises(Exception, match="of another length"):
+        C.nearest_center(df.coalesce(1), [[0.0, 0.0, 0.0]]).collect()
+
+
 def test_center_weights_keep_zeros(spark):
     df = frame(spark, [(0,), (1,), (9,)])
     got = {r.cid: r.weight for r in C.center_weights(df, [[0.0], [100.0], [10.0]]).collect()}

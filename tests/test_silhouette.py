@@ -90,6 +90,14 @@ def test_hot_and_rare_clusters_are_sampled_alike(labelled, monkeypatch):
         assert {(r.id, r.size) for r in S.cluster_sample(df, 9).collect()} == expected
 
 
+def test_a_known_number_of_clusters_gives_the_same_sample(labelled):
+    df, *_ = labelled
+    expected = {(r.id, r.size) for r in S.cluster_sample(df, 9).collect()}
+    got = S.cluster_sample(df, 9, clusters=10)
+    assert got.columns == S.cluster_sample(df, 9).columns
+    assert {(r.id, r.size) for r in got.collect()} == expected
+
+
 def test_many_clusters_take_several_passes(labelled, monkeypatch):
     df, *_ = labelled
     moments = S.sample_moments(S.cluster_sample(df, 20), 20)
