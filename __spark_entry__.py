@@ -139,7 +139,10 @@ def parsed_points(spark: SparkSession, folder: str) -> DataFrame:
 def parsed_labelled_points(spark: SparkSession, folder: str) -> DataFrame:
     parsed = lines.parse_labelled_points(_written_points(spark, folder, ","))
     return parsed.select(
-        "cluster", F.size("x").alias("d"), F.get("x", 0).alias("first"), F.get("x", 63).alias("last")
+        "cluster",
+        F.size("x").alias("d"),
+        F.get("x", 0).alias("first"),
+        F.get("x", 63).alias("last"),
     )
 
 
@@ -148,7 +151,8 @@ def cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def points_with_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return silhouette.with_sizes(tables.labelled_points(spark, folder)).select("id", "cluster", "size")
+    sized = silhouette.with_sizes(tables.labelled_points(spark, folder))
+    return sized.select("id", "cluster", "size")
 
 
 def cluster_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,7 +169,8 @@ def silhouette_full(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def silhouette_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(silhouette.sample_silhouette(tables.labelled_points(spark, folder), SAMPLE, SEED))
+    points = tables.labelled_points(spark, folder)
+    return _rounded(silhouette.sample_silhouette(points, SAMPLE, SEED))
 
 
 def silhouette_points(spark: SparkSession, folder: str) -> DataFrame:

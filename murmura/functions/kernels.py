@@ -21,9 +21,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Batches = Iterator[pa.RecordBatch]
 
-# Rows compared at once, so that intermediate matrices stay in the cache.
+# Rows compared at once, and cells of the matrix of their distances, so that
+# intermediate results stay in the cache and bounded for any number of centers.
 TILE_ROWS = 4096
-
+TILE_CELLS = 2_000_000
 
 # Increment and multipliers of the splitmix64 generator.
 INCREMENT = 0x9E3779B97F4A7C15
@@ -108,8 +109,9 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
     which = np.zeros(len(points), dtype=np.int32)
     if len(centers) > 1:
         pick = _nearest_in_tile if len(centers) > 2 else _nearest_one_by_one
-        for start in range(0, len(points), TILE_ROWS):
-            which[start : start + TILE_ROWS] = pick(points[start : start + TILE_ROWS], centers)
+        rows = max(1, min(TILE_ROWS, TILE_CELLS // len(centers)))
+        for start in range(0, len(points), rows):
+            which[start : start + rows] = pick(points[start : start + rows], centers)
     gap = points - (centers[0] if len(centers) == 1 else centers[which])
     return which, np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
@@ -156,9 +158,10 @@ def race(
 ) -> Callable[[Batches], Batches]:
     """Rows ``(id, x, w, state)`` to the candidates for each run's next picks.
 
-    Turn 0 is the pick after those chosen.  Per run and turn the ``kept`` rows of least arrival time come out as ``(run, turn, id, x,
-    w, draw, bound, beyond)``: ``bound`` is the time with the centers chosen
-    so far, and ``beyond`` the least bound of the rows left out.
+    Turn 0 is the pick after those chosen.  Per run and turn the ``kept`` rows
+    of least arrival time come out as ``(run, turn, id, x, w, draw, bound,
+    beyond)``: ``bound`` is the time with the centers chosen so far, and
+    ``beyond`` the least bound of the rows left out.
     """
 
     def run_race(batches: Batches) -> Batches:
@@ -279,8 +282,12 @@ def mean_distances(centers_of_run: list[np.ndarray]) -> Callable[[Batches], Batc
 
 
 def silhouette_parts(
-    points: np.ndarray, own: np.ndarray, clusters: np.ndarray, means: np.ndarray,
-    spreads: np.ndarray, ratios: np.ndarray,
+    points: np.ndarray,
+    own: np.ndarray,
+    clusters: np.ndarray,
+    means: np.ndarray,
+    spreads: np.ndarray,
+    ratios: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Average square distance to the own cluster, and the least one to another.
 

@@ -20,7 +20,10 @@ def top_products(spark: SparkSession, path: str, top: int) -> DataFrame:
     """``(product, max_norm, line)``: the best products of a file of reviews."""
     best = ratings.top_normalized(lines.read_reviews(spark, path), top)
     shown = F.concat(
-        F.lit("Product "), F.col("product"), F.lit(" maxNormRating "), decimal_text(F.col("max_norm"))
+        F.lit("Product "),
+        F.col("product"),
+        F.lit(" maxNormRating "),
+        decimal_text(F.col("max_norm")),
     )
     return best.withColumn("line", shown).orderBy(F.desc("max_norm"), "product")
 
@@ -50,7 +53,7 @@ def sweep(
 def word_statistics(
     spark: SparkSession, path: str, methods: Sequence[str] = tuple(words.METHODS), parts: int = 16
 ) -> DataFrame:
-    """``(method, documents, distinct_words, avg_length, avg_all, avg_distinct)``, one row per method."""
+    """``(method, documents, distinct_words, avg_length, avg_all, avg_distinct)`` per method."""
     docs = lines.read_documents(spark, path)
     n_docs = docs.agg(F.count("*").alias("documents")).scalar()
     rows = []

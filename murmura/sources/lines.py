@@ -52,10 +52,12 @@ def parse_reviews(lines: DataFrame) -> DataFrame:
     rows = lines.select(_fields(",").alias("f"))
     # Every column depends on both numbers, so that pruning cannot skip a check.
     both = F.struct(
-        _number(F.get("f", 2), "double").alias("rating"), _number(F.get("f", 3), "bigint").alias("ts")
+        _number(F.get("f", 2), "double").alias("rating"),
+        _number(F.get("f", 3), "bigint").alias("ts"),
     )
-    checked = rows.select("f", both.alias("n")).where(F.col("n.rating").isNotNull() & F.col("n.ts").isNotNull())
-    return checked.select(
+    checked = rows.select("f", both.alias("n"))
+    parsed = checked.where(F.col("n.rating").isNotNull() & F.col("n.ts").isNotNull())
+    return parsed.select(
         F.get("f", 0).alias("product"),
         F.get("f", 1).alias("user"),
         F.col("n.rating").alias("rating"),
@@ -80,7 +82,8 @@ def parse_points(lines: DataFrame) -> DataFrame:
 def parse_numbers(lines: DataFrame) -> DataFrame:
     """Numbers between white space to ``(value)``; blank lines are skipped."""
     pieces = lines.select(F.explode(F.split("value", r"\s+")).alias("piece"))
-    return pieces.where(F.col("piece") != "").select(_number(F.col("piece"), "double").alias("value"))
+    piece = F.col("piece")
+    return pieces.where(piece != "").select(_number(piece, "double").alias("value"))
 
 
 def parse_documents(lines: DataFrame) -> DataFrame:

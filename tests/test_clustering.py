@@ -50,7 +50,8 @@ def test_nearest_center(cloud, monkeypatch, unrolled):
     assert [got[i][0] for i in range(len(rows))] == which.tolist()
     assert [got[i][1] for i in range(len(rows))] == pytest.approx(distance.tolist())
     assert C.objective(df, centers).first()[0] == pytest.approx(distance.mean())
-    merged = {r.run: r.objective for r in C.mean_distance_runs(df.repartition(5), [centers, centers[:1]]).collect()}
+    runs = C.mean_distance_runs(df.repartition(5), [centers, centers[:1]])
+    merged = {r.run: r.objective for r in runs.collect()}
     assert merged[0] == pytest.approx(distance.mean())
     assert merged[1] == pytest.approx(brute(rows, centers[:1])[1].mean())
 
@@ -60,10 +61,16 @@ def test_many_centers_take_several_passes(cloud, monkeypatch, unrolled):
     monkeypatch.setattr(C, "UNROLLED_DOUBLES", unrolled)
     df, rows = cloud
     centers = rows[::9]
-    expected = sorted(map(tuple, C.nearest_center(df, centers).select("id", "cid", "d").collect()))
+
+    def found():
+        return sorted(
+            map(tuple, C.nearest_center(df, centers).select("id", "cid", "d").collect())
+        )
+
+    expected = found()
     monkeypatch.setattr(C, "BLOCK_DOUBLES", 21)
     assert len(C.blocks(centers)) == 3
-    assert sorted(map(tuple, C.nearest_center(df, centers).select("id", "cid", "d").collect())) == expected
+    assert found() == expected
 
 
 @pytest.mark.parametrize("unrolled", [0, 100])

@@ -58,7 +58,8 @@ def test_empty_input(spark):
 
 
 @pytest.mark.parametrize(
-    "value, text", [(2.0, "2.0"), (1.25, "1.25"), (-0.5, "-0.5"), (1 / 3, "0.3333333"), (0.0, "0.0")]
+    "value, text",
+    [(2.0, "2.0"), (1.25, "1.25"), (-0.5, "-0.5"), (1 / 3, "0.3333333"), (0.0, "0.0")],
 )
 def test_decimal_text(spark, value, text):
     shown = frame(spark, [value]).select(decimal_text(F.col("value")).alias("shown"))

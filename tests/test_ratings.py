@@ -14,7 +14,10 @@ def frame(spark, rows):
 
 
 def test_small_example(spark):
-    reviews = frame(spark, [("P1", "U1", 5.0), ("P2", "U1", 1.0), ("P1", "U2", 4.0), ("P3", "U2", 2.0)])
+    reviews = frame(
+        spark,
+        [("P1", "U1", 5.0), ("P2", "U1", 1.0), ("P1", "U2", 4.0), ("P3", "U2", 2.0)],
+    )
     assert [tuple(r) for r in R.top_normalized(reviews, 3).collect()] == [
         ("P1", 2.0), ("P3", -1.0), ("P2", -2.0)
     ]
@@ -46,8 +49,8 @@ def test_hot_and_rare_users_get_the_same_treatment(spark, monkeypatch, share, pa
     expected = sorted(
         (p, u, r, round(r - sum(by_user[u]) / len(by_user[u]), 9)) for p, u, r in rows
     )
-    got = R.normalized_ratings(frame(spark, rows).repartition(partitions))
-    assert sorted((r.product, r.user, r.rating, round(r.norm, 9)) for r in got.collect()) == expected
+    got = R.normalized_ratings(frame(spark, rows).repartition(partitions)).collect()
+    assert sorted((r.product, r.user, r.rating, round(r.norm, 9)) for r in got) == expected
 
 
 def test_rare_users_join_by_shuffle_when_their_table_is_large(spark, monkeypatch):

@@ -121,7 +121,9 @@ def test_empty_input(spark):
 def test_one_word_may_fill_a_third_of_the_text(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"),
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id"))).alias("text"),
+        F.when(F.col("id") % 3 == 0, "hot")
+        .otherwise(F.concat(F.lit("w"), F.col("id")))
+        .alias("text"),
     )
     for method in W.METHODS:
         counts = as_dict(W.word_count(docs, method))
