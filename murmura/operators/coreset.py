@@ -93,6 +93,10 @@ def kmedian_coreset(
     """
     core = cut_lineage(coreset(points, k, parts, rounds, seed))
     picks = seed_centers(core, k, seed)
+    if not picks:
+        return points.sparkSession.createDataFrame(
+            [(0, 0, None)], "coreset_points bigint, centers int, objective double"
+        )
     centers = lloyd(core, coordinates(picks), rounds)
     size = core.agg(F.count("*").alias("n")).scalar()
     return C.objective(points, centers).select(

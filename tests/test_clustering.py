@@ -213,6 +213,14 @@ def test_three_rounds_find_the_groups(cloud):
     assert row.objective < 2.5
 
 
+def test_no_points(spark):
+    none = frame(spark, [])
+    assert M.coreset(none, 2, 3, 1).collect() == M.coreset(none, 2, None, 1).collect() == []
+    assert tuple(M.kmedian_coreset(none, 2, 3, 1).first()) == (0, 0, None)
+    assert M.kmedian_trials(none, [2], [1], 2).collect() == []
+    assert C.objective(none, [[0.0]]).first().objective is None
+
+
 def test_bad_parameters(cloud):
     df, _ = cloud
     for k, parts, rounds in ((0, 1, 1), (1, 0, 1), (1, 1, -1)):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -84,6 +85,19 @@ def test_merged_counts_equal_those_of_joined_texts(dirty, parts):
     assert as_dict(W.word_count(dirty.repartition(3), "merged", parts)) == expected
 
 
+def test_random_texts(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(" ab\n\t", k=rng.randrange(12))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    expected = Counter(token for text in texts for token in tokens_of(text))
+    for method in W.METHODS:
+        if method != "merged":
+            assert as_dict(W.word_count(docs, method)) == expected
+    joined = [" ".join(texts[part::7]).strip("".join(map(chr, range(33)))) for part in range(7)]
+    expected = Counter(token for text in joined for token in tokens_of(text))
+    assert as_dict(W.word_count(docs, "merged", 7)) == expected
+
+
 def test_unknown_method_and_parts(dirty):
     with pytest.raises(ValueError):
         W.word_count(dirty, "other")
