@@ -138,18 +138,34 @@ def corpus_size(docs: DataFrame) -> DataFrame:
     )
 
 
+def statistics(counts: DataFrame) -> DataFrame:
+    """``(distinct_words, avg_length, avg_all, avg_distinct)`` of a word count, in one pass.
+
+    ``avg_length`` is ``avg_distinct``, the mean length of the distinct words,
+    cut to an integer; ``avg_all`` is the mean over all occurrences.
+    """
+    length = T.utf16_length(F.col("word")).cast("bigint")
+    sums = counts.agg(
+        F.count("*").alias("distinct_words"),
+        F.sum(length).alias("chars"),
+        F.sum(length * F.col("n")).alias("all_chars"),
+        F.sum("n").alias("occurrences"),
+    )
+    return sums.select(
+        "distinct_words",
+        F.expr("CASE WHEN distinct_words > 0 THEN chars div distinct_words END").alias(
+            "avg_length"
+        ),
+        F.try_divide("all_chars", "occurrences").alias("avg_all"),
+        F.try_divide("chars", "distinct_words").alias("avg_distinct"),
+    )
+
+
 def average_length_truncated(counts: DataFrame) -> DataFrame:
     """``(avg_length)``: average length of the distinct words, cut to an integer."""
-    length = F.sum(T.utf16_length(F.col("word")).cast("bigint"))
-    return counts.agg(length.alias("chars"), F.count("*").alias("words")).select(
-        F.expr("CASE WHEN words > 0 THEN chars div words END").alias("avg_length")
-    )
+    return statistics(counts).select("avg_length")
 
 
 def average_lengths(counts: DataFrame) -> DataFrame:
     """``(avg_all, avg_distinct)``: over all occurrences, and over distinct words."""
-    length = T.utf16_length(F.col("word")).cast("bigint")
-    return counts.agg(
-        F.try_divide(F.sum(length * F.col("n")), F.sum("n")).alias("avg_all"),
-        F.avg(length).alias("avg_distinct"),
-    )
+    return statistics(counts).select("avg_all", "avg_distinct")

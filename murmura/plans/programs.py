@@ -7,6 +7,7 @@ tables behind it are the operators' own results.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,26 +57,13 @@ def word_statistics(
     """``(method, documents, distinct_words, avg_length, avg_all, avg_distinct)`` per method."""
     docs = lines.read_documents(spark, path)
     n_docs = docs.agg(F.count("*").alias("documents")).scalar()
-    rows = []
-    for method in methods:
-        counts = words.word_count(docs, method, parts)
-        whole = words.average_lengths(counts)
-        cut = words.average_length_truncated(counts).scalar()
-        distinct = counts.agg(F.count("*").alias("distinct_words")).scalar()
-        rows.append(
-            whole.select(
-                F.lit(method).alias("method"),
-                n_docs.alias("documents"),
-                distinct.alias("distinct_words"),
-                cut.alias("avg_length"),
-                "avg_all",
-                "avg_distinct",
-            )
+    rows = [
+        words.statistics(words.word_count(docs, method, parts)).select(
+            F.lit(method).alias("method"), n_docs.alias("documents"), "*"
         )
-    result = rows[0]
-    for row in rows[1:]:
-        result = result.unionByName(row)
-    return result
+        for method in methods
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def sum_of_squares(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,9 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Vector summaries per cluster stay hashed up to that many clusters per
+        # task; beyond it Spark sorts the points first.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
