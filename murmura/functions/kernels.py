@@ -338,7 +338,7 @@ def refine_in_memory(points: np.ndarray, centers: np.ndarray, rounds: int) -> np
 
 
 def summarize_part(
-    part: int, batches: Batches, k: int, rounds: int, seed: int, block_doubles: int
+    part: str, batches: Batches, k: int, rounds: int, seed: int, block_doubles: int
 ) -> Batches:
     """A part's rows ``(x, state)`` to its weighted centers ``(id, x, w)``.
 

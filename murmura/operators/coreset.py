@@ -19,6 +19,9 @@ from murmura.session import cut_lineage
 
 # Coordinates of one part that a task holds at once, 64 MB.
 PART_DOUBLES = 8_000_000
+PARTS_PER_TASK = 16
+# The list of swollen parts, at most half as many, is broadcast up to here.
+BROADCAST_PARTS = 1_000_000
 # Coordinates of the centers and candidates of all runs that share a pass.
 RUN_DOUBLES = 1_000_000
 
@@ -36,8 +39,9 @@ def coreset(
     A point's part is a hash of its id.  Each part is seeded, refined and
     weighed by itself; the weights are the numbers of its points nearest to
     each center.  More parts are made when ``parts`` of them would not fit the
-    memory of a task, and a part swollen by copies of one id is worked off in
-    blocks, so no task holds more than a block and a batch.
+    memory of a task.  A part swollen by copies of one id is split by input
+    partition, and what is still too large is worked off in blocks, so no task
+    holds more than a block and a batch.
 
     With ``parts`` None the input partitions are the parts, likewise block by
     block: no point is shuffled, but the outcome depends on how the input is
@@ -55,7 +59,7 @@ def coreset(
         def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for first in batches:
                 if len(first):
-                    part = first.column("part")[0].as_py()
+                    part = str(first.column("part")[0].as_py())
                     yield from summarize(
                         part, chain([first], batches), k, rounds, seed, block
                     )
@@ -65,24 +69,52 @@ def coreset(
 
     first = points.first()
     width = max(1, len(first.x)) if first else 1
-    parts = max(parts, math.ceil(points.count() * width / PART_DOUBLES))
+    rows = max(1, PART_DOUBLES // width)
+    parts = max(parts, math.ceil(points.count() / rows))
     part = F.floor(uniform(seed, "part", F.col("id")) * parts).cast("int")
-    # Ids are hashed after the shuffle, which moves only points.
-    placed = points.withColumn("part", part).repartition("part")
+    placed = _split_swollen(points.withColumn("part", part), rows, parts)
     block = 2 * PART_DOUBLES
 
     def reduce_part(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        yield from summarize(key[0].as_py(), batches, k, rounds, seed, block)
-
+        part, split = (value.as_py() for value in key)
+        name = f"{part}.{split}" if split else str(part)
+        yield from summarize(name, batches, k, rounds, seed, block)
+
+    # About 1 GB per task at most; where the session's own number of shuffle
+    # partitions gives that, adaptive execution may still coalesce them.
+    tasks = math.ceil(parts / PARTS_PER_TASK)
+    usual = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = (tasks,) if tasks > usual else ()
+    # Ids are hashed after the shuffle, which moves only points.
     return (
-        placed.select("part", "x", state)
-        .groupBy("part")
+        placed.repartition(*number, "part", "split")
+        .select("part", "split", "x", state)
+        .groupBy("part", "split")
         .applyInArrow(reduce_part, schema)
     )
 
 
+def _split_swollen(placed: DataFrame, rows: int, parts: int) -> DataFrame:
+    """``placed`` with ``split``, above 0 only in parts of more than twice ``rows`` rows.
+
+    Hashing keeps parts even as long as ids are unique; fewer than
+    ``parts / 2`` can be that large in any case.
+    """
+    swollen = (
+        placed.groupBy("part")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > 2 * rows)
+        .select("part", F.ceil(F.col("n") / rows).cast("int").alias("splits"))
+    )
+    few = parts <= BROADCAST_PARTS
+    origin = placed.withColumn("origin", F.spark_partition_id())
+    marked = origin.join(F.broadcast(swollen) if few else swollen, "part", "left")
+    split = F.coalesce(F.pmod("origin", "splits"), F.lit(0))
+    return marked.select(*placed.columns, split.alias("split"))
+
+
 def kmedian_coreset(
     points: DataFrame, k: int, parts: int | None, rounds: int, seed: int = 42
 ) -> DataFrame:

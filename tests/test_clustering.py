@@ -178,9 +178,14 @@ def test_more_parts_than_points(spark):
     assert sum(r.w for r in core) == 2
 
 
-def test_parts_grow_with_the_data_and_swollen_ones_are_worked_off_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("partitions", [1, 8])
+@pytest.mark.parametrize("broadcast_parts", [0, 1_000_000])
+def test_parts_grow_with_the_data_and_swollen_ones_are_split(
+    spark, monkeypatch, partitions, broadcast_parts
+):
     monkeypatch.setattr(M, "PART_DOUBLES", 100)
-    copies = spark.range(3000).select(
+    monkeypatch.setattr(M, "BROADCAST_PARTS", broadcast_parts)
+    copies = spark.range(0, 3000, 1, partitions).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("id"),
         F.array((F.col("id") % 10).cast("double")).alias("x"),
     )
@@ -191,8 +196,11 @@ def test_parts_grow_with_the_data_and_swollen_ones_are_worked_off_in_blocks(spar
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sum(r.w for r in core) == 3000
     assert len({r.id for r in core}) == len(core)
-    assert len({r.id.split(":")[0] for r in core}) > 20
-    assert max(int(r.id.split(":")[1]) for r in core) > 2
+    groups = {r.id.split(":")[0] for r in core}
+    assert len({group.split(".")[0] for group in groups}) > 20
+    assert len([group for group in groups if "." in group]) == partitions - 1
+    if partitions == 1:
+        assert max(int(r.id.split(":")[1]) for r in core) > 2
 
 
 def test_input_partitions_as_parts(cloud, monkeypatch):
