@@ -221,6 +221,15 @@ def test_three_rounds_find_the_groups(cloud):
     assert row.objective < 2.5
 
 
+def test_many_parts_get_tasks_of_their_own(cloud, monkeypatch):
+    df, _ = cloud
+    expected = {r.id: r.w for r in M.coreset(df, 2, 20, 1).collect()}
+    monkeypatch.setattr(M, "PARTS_PER_TASK", 1)
+    core = M.coreset(df, 2, 20, 1)
+    assert "REPARTITION_BY_NUM" in core._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.w for r in core.collect()} == expected
+
+
 def test_no_points(spark):
     none = frame(spark, [])
     assert M.coreset(none, 2, 3, 1).collect() == M.coreset(none, 2, None, 1).collect() == []
