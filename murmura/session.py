@@ -31,18 +31,24 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; later reads do not recompute it.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``, or one set for the session before.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only
-    a local session may go without it; a cluster needs one all executors share.
+    Only a local session may go without it and gets a temporary folder; a
+    cluster needs one that all executors share.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="murmura-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder; later reads do not recompute it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
