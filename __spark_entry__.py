@@ -7,6 +7,7 @@ sides, as the order of summation differs.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -276,7 +277,27 @@ def kmeans_sweep(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _optional(*modules: str) -> list:
+    """Those of the modules that are part of this checkout, imported."""
+    return [importlib.import_module(m) for m in modules if importlib.util.find_spec(m)]
+
+
+# The corpus operators and their pipeline can be left out of a checkout.
+_CORPUS = (
+    _optional("murmura.llm.registered", "corpus_pipeline")
+    if importlib.util.find_spec("murmura.llm")
+    else []
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = _own_queries()
+    for module in _CORPUS:
+        found |= module.queries()
+    return found
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "top_normalized": top_normalized,
         "max_norm_rating": max_norm_rating,
@@ -323,6 +344,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.statements(
+    found = oracles.statements(
         top=TOP, k=K, sample=SAMPLE, parts=PARTS, rounds=ROUNDS, keys=KEYS, seed=SEED
     )
+    for module in _CORPUS:
+        found |= module.oracle_sql()
+    return found
