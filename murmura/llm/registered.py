@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import chat, line_dedup, quality
+from murmura.llm import chat, line_dedup, packing, quality, secret_scan, storage, token_files, warc
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +20,66 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "documents").select("doc_id", "text")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(_documents(spark, folder))
+    base = [rule.kind for rule in secret_scan.RULES if rule.base]
+    written = lambda spans: F.array_join(
+        F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ","
+    )
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+            for kind in base
+        ],
+        F.sha2(written(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
+        written("spans").alias("spans"),
+    )
+
+
+def web_archives(spark: SparkSession, folder: str) -> DataFrame:
+    archives = storage.shared_folder(spark)
+    warc.write_archives(_table(spark, folder, "pages"), archives)
+    captures = warc.read_captures(spark, archives)
+    response = F.col("response")
+    revisit = response["type"] == "revisit"
+    return captures.select(
+        "page_id",
+        F.when(revisit, response["payload_bytes"])
+        .otherwise(F.octet_length(response["payload"]))
+        .cast("long")
+        .alias("payload_bytes"),
+        F.when(revisit, response["digest"]).otherwise(F.sha1(response["payload"])).alias("payload_digest"),
+        response["type"].alias("record_type"),
+        F.col("refers_to_page").alias("refers_to"),
+    )
+
+
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(_documents(spark, folder), _tokenizer())
+    return packed.select(
+        "doc_id",
+        "piece",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "sequence_id",
+        "offset",
+    )
+
+
+def token_id_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = storage.shared_folder(spark)
+    token_files.write_tokens(_documents(spark, folder), files, _tokenizer())
+    return token_files.checksums(token_files.read_tokens(spark, files))
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.decided(quality.ledger(_documents(spark, folder))).select(
         "doc_id",
@@ -68,9 +130,13 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": secrets,
+        "op2_best_fit_packing": best_fit_packing,
         "op3_chat_formatting": chat_formatting,
+        "op6_warc": web_archives,
         "op7_quality_rules": quality_rules,
         "op9_line_dedup": line_deduplication,
+        "op10_token_files": token_id_files,
     }
 
 

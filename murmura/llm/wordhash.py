@@ -20,12 +20,12 @@ _POWERS = 1 << 16
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 _odd = lambda n: _random.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 # What a byte adds to the hash of its word; white space adds nothing.
-_BYTE = _odd(256)[_LOWER]
+_BYTE = _odd(256)[LOWER]
 _BYTE[_SPACE] = 0
 _BASE, _BASE_HIGH, _LENGTH, *_TURNS = (int(x) for x in _odd(3 + WIDTH))
 _MASK = (1 << 64) - 1
