@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import chat, line_dedup, packing, quality, secret_scan, storage, token_files, warc
+from murmura.llm import chat, line_dedup, near_dedup, packing, quality, secret_scan, storage, token_files, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -94,6 +94,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def near_deduplication(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, folder))
+
+
 def line_deduplication(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_documents(spark, folder))
     return kept.select(
@@ -135,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat_formatting": chat_formatting,
         "op6_warc": web_archives,
         "op7_quality_rules": quality_rules,
+        "op8_near_dedup": near_deduplication,
         "op9_line_dedup": line_deduplication,
         "op10_token_files": token_id_files,
     }
