@@ -36,10 +36,10 @@ ROWS, BANDS = 5, 60
 MANTISSA = 10
 #: An estimate this many standard deviations below the threshold is given up.
 DEVIATIONS = 5.5
-#: Registers of the longer sketches, of which the low byte is kept.
+#: Registers of the longer sketches in blocks, of which the low byte is kept.
 SKETCH = 1024
-#: Members of a band in a block.
-BLOCK = 256
+#: Members of a band in a block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Up to so many ids (16 MB) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -170,17 +170,23 @@ def likely(pairs: DataFrame, signatures: DataFrame, percent: int = PERCENT) -> D
     return pairs.join(side("a", 1), "a").join(side("b", 2), "b").mapInArrow(rows, "a bigint, b bigint")
 
 
+def linked(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets share ``percent`` of their union."""
+    short, long_ = sorted((one, two), key=len)
+    place = np.minimum(np.searchsorted(long_, short), len(long_) - 1)
+    shared = int((long_[place] == short).sum())
+    return 100 * shared >= percent * (len(short) + len(long_) - shared)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` that the full sets confirm."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = []
-            for one, two in zip(batch["s1"].to_pylist(), batch["s2"].to_pylist()):
-                short, long_ = sorted((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)), key=len)
-                place = np.minimum(np.searchsorted(long_, short), len(long_) - 1)
-                shared = int((long_[place] == short).sum())
-                fits.append(100 * shared >= percent * (len(short) + len(long_) - shared))
+            fits = [
+                linked(np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64), percent)
+                for one, two in zip(batch["s1"].to_pylist(), batch["s2"].to_pylist())
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
     side = lambda id_, n: sets.select(F.col("id").alias(id_), F.col("set").alias(f"s{n}"))
@@ -201,62 +207,63 @@ def pivot_pairs(members: DataFrame) -> DataFrame:
     return _pairs(members.join(pivots, "key"), "id", "pivot")
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, sizes = [], []
-            for s in batch["set"].to_pylist():
-                s = np.frombuffer(s, np.uint64)
-                out.append((registers(s, SKETCH) & 0xFF).astype(np.uint8).tobytes())
-                sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["id", "n", "sketch"]
-            )
-
-    return sets.mapInArrow(rows, "id bigint, n bigint, sketch binary")
-
-
-def block_pairs(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Likely pairs of members of a band that ``joined`` does not connect yet.
+def block_links(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links ``(a, b)`` between members of a band that ``joined`` does not connect yet.
 
     A band's members are dealt into blocks by hash; each pair of blocks is one
-    row, compared by sketches there.  Only pairs that pass are listed.
+    row, of bounded size, compared there: by sketches first, then by the full
+    sets.  Pairs that the row has connected meanwhile are passed over.
     """
-    least = lowest(SKETCH, percent)
+    sizes = sets.select("id", (F.octet_length("set") / 8).cast("long").alias("n"))
     labelled = members.where("size > 2").join(joined, "id", "left").select(
-        "key", "id", "size", F.coalesce("component", "id").alias("component")
+        "key", "id", F.coalesce("component", "id").alias("component")
     )
     # Bands with the same members need one look.
     open_ = (
-        labelled.groupBy("key")
+        labelled.join(sizes, "id")
+        .groupBy("key")
         .agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
             F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
             F.count("*").alias("size"),
+            F.sum("n").alias("elements"),
         )
         .where("low <> high")
-        .groupBy("who", "size")
+        .groupBy("who", "size", "elements")
         .agg(F.min("key").alias("key"))
-        .select("key")
+        .select(
+            "key",
+            F.expr(f"CAST(greatest(ceil(size / {BLOCK}), ceil(elements * 8 / {BLOCK_BYTES})) AS int)").alias("blocks"),
+        )
     )
     rest = storage.written(labelled.join(open_, "key"))
-    drawn = sketches(_picked(sets, rest.select("id").distinct()))
-    number = F.expr(f"CAST(ceil(size / {BLOCK}) AS int)")
-    dealt = rest.withColumns({"blocks": number, "block": F.pmod(F.xxhash64("id"), number)})
-    dealt = dealt.join(drawn, "id").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = (
+        rest.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        .join(_picked(sets, rest.select("id").distinct()), "id")
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    )
     tiles = (
         dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
         .groupBy("key", "i", "j")
-        .agg(F.collect_list(F.struct("id", "component", "block", "n", "sketch")).alias("members"))
+        .agg(F.collect_list(F.struct("id", "component", "block", "set")).alias("members"))
     )
+    least = lowest(SKETCH, percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: dict[int, np.ndarray] = {}
         for batch in batches:
             for members, i, j in zip(batch["members"], batch["i"].to_pylist(), batch["j"].to_pylist()):
                 members = members.values
-                ids, component, block, n = (members.field(c).to_numpy() for c in ("id", "component", "block", "n"))
-                own = np.frombuffer(b"".join(members.field("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+                ids, component, block = (members.field(c).to_numpy() for c in ("id", "component", "block"))
+                full = [np.frombuffer(x, np.uint64) for x in members.field("set").to_pylist()]
+                n, component = np.array([len(x) for x in full]), component.copy()
+                if len(drawn) > 50_000:
+                    drawn.clear()
+                for id_, x in zip(ids.tolist(), full):
+                    if id_ not in drawn:
+                        drawn[id_] = (registers(x, SKETCH) & 0xFF).astype(np.uint8)
+                sketch = np.array([drawn[x] for x in ids.tolist()])
                 a, b = [], []
                 for k in range(len(ids)):
                     with_ = (ids > ids[k]) & (component != component[k])
@@ -264,15 +271,16 @@ def block_pairs(members: DataFrame, joined: DataFrame, sets: DataFrame, percent:
                     if i != j:
                         with_ &= block != block[k]
                     with_ = np.flatnonzero(with_)
-                    if len(with_):
-                        alike = (own[with_] == own[k]).mean(1)
-                        # Bytes of different hashes agree once in 256.
-                        found = with_[(alike - 1 / 256) / (1 - 1 / 256) >= least]
-                        a += [int(ids[k])] * len(found)
-                        b += ids[found].tolist()
+                    alike = (sketch[with_] == sketch[k]).mean(1) if len(with_) else np.zeros(0)
+                    # Bytes of different hashes agree once in 256.
+                    for other in with_[(alike - 1 / 256) / (1 - 1 / 256) >= least].tolist():
+                        if component[other] != component[k] and linked(full[k], full[other], percent):
+                            a.append(int(ids[k]))
+                            b.append(int(ids[other]))
+                            component[component == component[other]] = component[k]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return tiles.mapInArrow(rows, "a bigint, b bigint").distinct()
+    return tiles.mapInArrow(rows, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -294,7 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = storage.written(full_sets(docs, members.select("id").distinct()))
     first = storage.written(confirmed(likely(pivot_pairs(members), own, percent), sets, percent))
     joined = components(first)
-    later = confirmed(block_pairs(members, joined, sets, percent), sets, percent)
+    later = block_links(members, joined, sets, percent)
     # A document with several texts connects what they are linked with.
     placed = signed.where("doc_id IS NOT NULL").join(equal, same).select("doc_id", "id")
     several = placed.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_b")).where("a <> _b")

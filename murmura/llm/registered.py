@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import chat, line_dedup, near_dedup, packing, quality, secret_scan, storage, token_files, warc
+from murmura.llm import (
+    chat,
+    decontamination,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    secret_scan,
+    storage,
+    token_files,
+    toxicity,
+    warc,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,7 +32,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "documents").select("doc_id", "text")
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
@@ -62,7 +74,7 @@ def web_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    packed = packing.pack(_documents(spark, folder), _tokenizer())
+    packed = packing.pack(_documents(spark, folder), tokenizer())
     return packed.select(
         "doc_id",
         "piece",
@@ -76,10 +88,27 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_id_files(spark: SparkSession, folder: str) -> DataFrame:
     files = storage.shared_folder(spark)
-    token_files.write_tokens(_documents(spark, folder), files, _tokenizer())
+    token_files.write_tokens(_documents(spark, folder), files, tokenizer())
     return token_files.checksums(token_files.read_tokens(spark, files))
 
 
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contaminated(_documents(spark, folder), _table(spark, folder, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("clauses").alias("n_clauses"),
+    )
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.decided(quality.ledger(_documents(spark, folder))).select(
         "doc_id",
@@ -137,6 +166,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": secrets,
         "op2_best_fit_packing": best_fit_packing,
         "op3_chat_formatting": chat_formatting,
+        "op4_decontamination": benchmark_decontamination,
+        "op5_toxicity": toxicity_scores,
         "op6_warc": web_archives,
         "op7_quality_rules": quality_rules,
         "op8_near_dedup": near_deduplication,
