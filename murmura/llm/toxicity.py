@@ -231,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     train = training_rows(docs, labels, rows)
     toxic = dict(_counted(train.where("toxic = 1"), None).where(F.col("n") >= SUPPORT).collect())
     other = dict(_counted(train.where("toxic <> 1"), frozenset(toxic)).collect())
-    n_toxic, n_all = train.agg(F.count_if("toxic = 1"), F.count("*")).first()
+    n_toxic, n_all = train.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
     share = max(n_toxic, 1) / max(n_all, 2)
     needed = np.log(CHANCE / max(len(toxic), 1)) / np.log(share) if share < 1 else np.inf
     telling = {g for g, n in toxic.items() if n >= needed and n >= PRECISION * (n + other.get(g, 0))}
