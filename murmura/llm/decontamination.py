@@ -34,16 +34,15 @@ PASS_CHARS = 16 << 20
 _BOUNDS = np.linspace(0, 64, RADIUS + 2).astype(int)
 
 
-def fingerprints(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The bits that a majority of words sets, from column sums over ``words`` words."""
-    bits = 2 * counts > words[:, None]
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running sums of the bits of word hashes, from no word on."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+def fingerprints(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The bits that a majority of the ``length`` words from each start sets."""
+    found = []
+    for first in range(0, len(starts), 1024):
+        words = hashes[starts[first : first + 1024, None] + np.arange(length)]
+        bits = np.unpackbits(words.view(np.uint8).reshape(*words.shape, 8), axis=2, bitorder="little")
+        majority = 2 * bits.sum(1, dtype=np.int32) > length
+        found.append(np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel())
+    return np.concatenate([np.zeros(0, np.uint64), *found])
 
 
 def similarity(one: np.ndarray, two: np.ndarray) -> float:
@@ -60,14 +59,57 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
         return wordhash.mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
 
 
+def _running(among: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Running counts of the ``values`` that are in the sorted array ``among``, from none on."""
+    if not len(among):
+        return np.zeros(len(values) + 1, np.int32)
+    # Most values are not there; their upper bits show that cheaply.
+    seen = np.zeros(1 << 20, bool)
+    seen[among >> np.uint64(44)] = True
+    maybe = np.flatnonzero(seen[values >> np.uint64(44)])
+    place = np.minimum(np.searchsorted(among, values[maybe]), len(among) - 1)
+    known = np.zeros(len(values), np.int32)
+    known[maybe] = among[place] == values[maybe]
+    return np.concatenate([np.zeros(1, np.int32), np.cumsum(known, dtype=np.int32)])
+
+
+class Blocks:
+    """Fingerprints of items of one size, sorted by each of their blocks."""
+
+    def __init__(self, prints: np.ndarray, places: np.ndarray) -> None:
+        self.prints, self.places = prints, places
+        self.sorted = []
+        for block in map(self._block, [prints] * (RADIUS + 1), _BOUNDS, _BOUNDS[1:]):
+            order = np.argsort(block, kind="stable")
+            self.sorted.append((block[order], order))
+
+    @staticmethod
+    def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
+        return (prints >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)
+
+    def near(self, prints: np.ndarray) -> list[tuple[int, int]]:
+        """``(which of prints, item)`` for all pairs within the radius."""
+        found = []
+        for (values, order), low, high in zip(self.sorted, _BOUNDS, _BOUNDS[1:]):
+            block = self._block(prints, low, high)
+            first, end = (np.searchsorted(values, block, side) for side in ("left", "right"))
+            counts = end - first
+            which = np.repeat(np.arange(len(prints)), counts)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+            item = order[first[which] + nth]
+            close = np.bitwise_count(prints[which] ^ self.prints[item]) <= RADIUS
+            found.append(which[close] * len(self.places) + item[close])
+        pairs = np.unique(np.concatenate(found))
+        return [(int(x) // len(self.places), int(self.places[x % len(self.places)])) for x in pairs]
+
+
 class Index:
-    """Items by blocks of their fingerprints."""
+    """Items by size and by the blocks of their fingerprints."""
 
     def __init__(self, ids: list, texts: list[str], percent: int = PERCENT) -> None:
         self.percent = percent
-        column = pa.array(texts, pa.string())
         self.ids, self.shingles, prints, words, pairs = [], [], [], [], [np.zeros(0, np.uint64)]
-        for first, end, data, offsets in wordhash.slices(column):
+        for first, end, data, offsets in wordhash.slices(pa.array(texts, pa.string())):
             hashes, _, bounds = wordhash.words(data, offsets)
             for k in range(end - first):
                 own = hashes[bounds[k] : bounds[k + 1]]
@@ -75,84 +117,64 @@ class Index:
                     self.ids.append(ids[first + k])
                     self.shingles.append(wordhash.shingles(own))
                     words.append(len(own))
-                    prints.append(fingerprints(bit_sums(own)[-1:], np.array([len(own)]))[0])
+                    prints.append(fingerprints(own, np.zeros(1, int), len(own))[0])
                     pairs.append(_pairs(own))
-        self.words, self.prints = np.array(words, int), np.array(prints, np.uint64)
-        self.sizes = sorted(set(words))
         self.pairs = np.unique(np.concatenate(pairs))
-        self.single = min(self.sizes, default=5) < wordhash.WIDTH
-        self.blocks: list[dict[int, np.ndarray]] = []
-        for low, high in zip(_BOUNDS, _BOUNDS[1:]):
-            lists = defaultdict(list)
-            for place, value in enumerate(self._block(self.prints, low, high).tolist()):
-                lists[value].append(place)
-            self.blocks.append({value: np.array(places) for value, places in lists.items()})
+        self.all_shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.shingles]))
+        sizes, prints = np.array(words, int), np.array(prints, np.uint64)
+        self.sizes = {
+            int(size): Blocks(prints[sizes == size], np.flatnonzero(sizes == size)) for size in np.unique(sizes)
+        }
 
-    @staticmethod
-    def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
-        return (prints >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)
+    def _enough(self, length: int) -> int:
+        """Shingles of a window that must be the item's, where ``length`` words have several."""
+        return -(-self.percent * max(0, length - wordhash.WIDTH + 1) // 100)
 
-    def near(self, fingerprint: np.uint64) -> np.ndarray:
-        """Places of all items within the radius of ``fingerprint``."""
-        lists = [
-            found
-            for (low, high), block in zip(zip(_BOUNDS, _BOUNDS[1:]), self.blocks)
-            if (found := block.get(int(self._block(fingerprint, low, high)))) is not None
-        ]
-        if not lists:
-            return np.zeros(0, int)
-        places = np.unique(np.concatenate(lists))
-        return places[np.bitwise_count(self.prints[places] ^ fingerprint) <= RADIUS]
-
-    def matches(self, hashes: np.ndarray, known: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """By item: similarity, first word and words of its best window, the first of equals.
-
-        ``known[i]`` tells whether the pair of words at ``i`` is an item's.
+    def _windows(self, bounds: np.ndarray, counts: np.ndarray, room: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+        """``(starts, length)`` of windows of ``size`` words, or of whole shorter texts, with enough known pairs.
+
+        ``counts`` are running sums of known pairs, ``room`` the words from each on to the end of its text.
         """
-        n = len(hashes)
-        if n == 0 or not self.ids or (not known.any() and not self.single):
-            return {}
-        counts = np.concatenate([[0], np.cumsum(known)])
-        sums, whole, best = None, None, {}
-        for size in self.sizes:
-            if n < size and 100 * n < self.percent * size - 500:
-                continue
-            length = min(size, n)
-            starts = np.arange(n - length + 1)
-            if length >= wordhash.WIDTH:
-                enough = 100 * (counts[starts + length - 1] - counts[starts]) >= self.percent * (length - 4)
-                starts = starts[enough]
-            if not len(starts):
-                continue
-            if sums is None:
-                sums, whole = bit_sums(hashes), wordhash.shingles(hashes)
-            prints = fingerprints(sums[starts + length] - sums[starts], np.full(len(starts), length))
-            for start, fingerprint in zip(starts.tolist(), prints):
-                places = self.near(fingerprint)
-                for place in places[self.words[places] == size].tolist():
-                    own = (
-                        whole[start : start + length - 4]
-                        if length >= wordhash.WIDTH
-                        else wordhash.shingles(hashes[start : start + length])
-                    )
-                    alike = similarity(own, self.shingles[place])
-                    if 100 * alike >= self.percent and alike > best.get(place, (0,))[0]:
-                        best[place] = (alike, start, length)
-        return best
+        # The pairs that an item's shingles begin with are the item's.
+        found = []
+        if (n := len(room) - size + 1) > 0:
+            known = counts[size - 1 : size - 1 + n] - counts[:n]
+            found.append((np.flatnonzero((known >= self._enough(size)) & (room[:n] >= size)), size))
+        lengths = np.diff(bounds)
+        short = (lengths > 0) & (lengths < size) & (100 * lengths >= self.percent * size - 500)
+        for length in np.unique(lengths[short]).tolist():
+            starts = bounds[:-1][short & (lengths == length)]
+            known = counts[starts + length - 1] - counts[starts]
+            found.append((starts[known >= self._enough(length)], length))
+        return [(starts, length) for starts, length in found if len(starts)]
 
     def of_column(self, column: pa.Array) -> Iterator[dict[int, tuple[float, int, int]]]:
-        """``matches`` of each text."""
+        """For each text, by item: similarity, first word and words of its best window, the first of equals."""
         for first, end, data, offsets in wordhash.slices(column):
             hashes, _, bounds = wordhash.words(data, offsets)
-            pairs = _pairs(hashes) if len(hashes) else hashes
-            if len(self.pairs) and len(pairs):
-                place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-                known = self.pairs[place] == pairs
-            else:
-                known = np.zeros(len(pairs), bool)
-            for k in range(end - first):
-                a, b = int(bounds[k]), int(bounds[k + 1])
-                yield self.matches(hashes[a:b], known[a : max(a, b - 1)])
+            best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(end - first)]
+            if len(hashes) and self.sizes:
+                counts = _running(self.pairs, _pairs(hashes))
+                whole = wordhash.shingles(hashes)
+                shared = _running(self.all_shingles, whole)
+                texts = np.repeat(np.arange(end - first), np.diff(bounds))
+                room = bounds[texts + 1] - np.arange(len(hashes))
+                for size, blocks in self.sizes.items():
+                    for starts, length in self._windows(bounds, counts, room, size):
+                        for which, item in blocks.near(fingerprints(hashes, starts, length)):
+                            start = int(starts[which])
+                            if length < wordhash.WIDTH:
+                                own = wordhash.shingles(hashes[start : start + length])
+                            else:
+                                end_ = start + length - wordhash.WIDTH + 1
+                                if shared[end_] - shared[start] < self._enough(length):
+                                    continue
+                                own = whole[start:end_]
+                            alike = similarity(own, self.shingles[item])
+                            found = best[texts[start]]
+                            if 100 * alike >= self.percent and alike > found.get(item, (0,))[0]:
+                                found[item] = (alike, start - int(bounds[texts[start]]), length)
+            yield from best
 
 
 def indexes(items: DataFrame, percent: int = PERCENT) -> Iterator[Index]:
