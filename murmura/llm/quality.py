@@ -86,12 +86,15 @@ def measured(docs: DataFrame) -> DataFrame:
         ).alias("_q_windows"),
     )
     equal = _equal_neighbour("_q_windows", "{}.w = x.w")
-    return step.select(
-        *kept,
-        F.expr(
-            f"""CAST(size(array_distinct(flatten(transform(
-            filter(_q_windows, (x, i) -> {equal}), x -> array(x.p, x.p + 1, x.p + 2))))) AS bigint)"""
-        ).alias("n_repeat_words"),
+    repeated = F.expr(
+        f"""CAST(size(array_distinct(flatten(transform(
+        filter(_q_windows, (x, i) -> {equal}), x -> array(x.p, x.p + 1, x.p + 2))))) AS bigint)"""
+    ).alias("n_repeat_words")
+    # A filter on a measurement must not be pushed below this point: it would
+    # repeat all the steps above in its condition.  Generated columns hold it up.
+    own = F.struct(*[m for m in MEASUREMENTS if m != "n_repeat_words"], repeated)
+    return step.select(*rest, F.explode(F.array(own)).alias("_q_own")).select(
+        *rest, *[F.col("_q_own")[m].alias(m) for m in MEASUREMENTS]
     )
 
 
