@@ -18,20 +18,24 @@ def join_per_key(rows: DataFrame, stats: DataFrame, key: str, rows_of_key: str)
     their rows are neither shuffled nor gathered.  The others meet in a
     shuffle join where no key exceeds ``1/HEAVY_SHARE`` of the rows; adaptive
     execution turns it into a broadcast when ``stats`` proves small.
-    Rows with a NULL key find no partner, as in any equi-join.
+    NULL is a key like any other.
     """
     carried = [c for c in stats.columns if c != key]
-    total = rows.agg(F.count("*").alias("total")).scalar()
+    total = stats.agg(F.sum(rows_of_key).alias("total")).scalar()
     # One struct, so that both branches ask for the same columns and share
     # the exchange that computes ``stats``.
-    packed = stats.select(key, rows_of_key, F.struct(*carried).alias("_stats"))
+    packed = stats.select(
+        F.col(key).alias("_key"), rows_of_key, F.struct(*carried).alias("_stats")
+    )
     is_heavy = F.col(rows_of_key) * HEAVY_SHARE > total
-    heavy = packed.where(is_heavy).select(key, "_stats")
-    light = packed.where(~is_heavy).select(key, "_stats")
+    heavy = packed.where(is_heavy).select("_key", "_stats")
+    light = packed.where(~is_heavy).select("_key", "_stats")
 
-    marked = rows.join(F.broadcast(heavy), key, "left")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    # A match always brings a struct, so a NULL one means none.
+    marked = rows.join(F.broadcast(heavy), same, "left")
     of_heavy = marked.where(F.col("_stats").isNotNull())
-    of_light = marked.where(F.col("_stats").isNull()).drop("_stats").join(light, key)
+    of_light = marked.where(F.col("_stats").isNull()).drop("_key", "_stats").join(light, same)
     return of_heavy.unionByName(of_light).select(
         *rows.columns, *[F.col("_stats")[c].alias(c) for c in carried]
     )

@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
     """``(value)``, one row per line of a file, folder or pattern.
 
-    ``min_partitions`` asks for that many input splits at least.  It is set on
-    the session, where Spark looks for it when the files are planned.
+    With ``min_partitions`` the lines are dealt into that many partitions.  The
+    session's own split settings are left alone: they would reach every later read.
     """
-    if min_partitions is not None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(min_partitions))
-    return spark.read.text(path)
+    rows = spark.read.text(path)
+    return rows if min_partitions is None else rows.repartition(min_partitions)
 
 
 def with_ids(rows: DataFrame, name: str = "id") -> DataFrame:

@@ -69,3 +69,19 @@ def test_rare_users_join_by_shuffle_when_their_table_is_large(spark, monkeypatch
     finally:
         for key in keys:
             spark.conf.unset(key)
+
+
+def test_rows_of_a_null_user_stay(spark):
+    from murmura.operators import ratings
+
+    rows = [("p", None, 4.0), ("q", None, 2.0), ("p", "u", 5.0), ("q", "u", 1.0)]
+    reviews = spark.createDataFrame(rows, "product string, user string, rating double")
+    for share in (1000, 1):
+        import murmura.operators.per_key as per_key
+
+        before, per_key.HEAVY_SHARE = per_key.HEAVY_SHARE, share
+        try:
+            got = ratings.normalized_ratings(reviews).collect()
+        finally:
+            per_key.HEAVY_SHARE = before
+        assert sorted(r["norm"] for r in got) == [-2.0, -1.0, 1.0, 2.0]

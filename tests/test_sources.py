@@ -63,15 +63,11 @@ def test_numbers(spark, tmp_path, ansi):
 
 def test_documents_and_splits(spark, tmp_path):
     path = write(tmp_path, "".join(f"line {i}\n" for i in range(2000)))
-    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    try:
-        docs = L.read_documents(spark, path, min_partitions=4)
-        assert docs.select(F.countDistinct("doc_id")).first()[0] == 2000
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.files.minPartitionNum")
-        else:
-            spark.conf.set("spark.sql.files.minPartitionNum", before)
+    before = spark.conf.getAll
+    docs = L.read_documents(spark, path, min_partitions=4)
+    assert docs.select(F.countDistinct("doc_id")).first()[0] == 2000
+    assert docs.rdd.getNumPartitions() == 4
+    assert spark.conf.getAll == before
 
 
 def test_top_products(spark, tmp_path):
@@ -103,14 +99,7 @@ def test_clustering_programs(spark, tmp_path):
     assert row.approximate == pytest.approx(row.exact_of_sample)
     assert row.line.startswith("approxSilhFull = 0.9")
     assert [r.k for r in programs.sweep(spark, plain, 1, 3, 5, 100).collect()] == [1, 2, 3]
-    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
-    try:
-        assert programs.kmedian(spark, plain, 2, 2, 2).first().objective < 2
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.files.minPartitionNum")
-        else:
-            spark.conf.set("spark.sql.files.minPartitionNum", before)
+    assert programs.kmedian(spark, plain, 2, 2, 2).first().objective < 2
     trials = programs.kmedian_trials(spark, plain, [1, 2], [0, 2], 3).collect()
     assert all(r.lowest <= r.average <= r.highest and r.trials == 3 for r in trials)
 
