@@ -291,13 +291,13 @@ _CORPUS = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = _own_queries()
+    found = own_queries()
     for module in _CORPUS:
         found |= module.queries()
     return found
 
 
-def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "top_normalized": top_normalized,
         "max_norm_rating": max_norm_rating,

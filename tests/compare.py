@@ -22,7 +22,13 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SQL_TYPES = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
 
 
 def _plain(value: object) -> object:
