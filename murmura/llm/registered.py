@@ -12,6 +12,7 @@ from murmura.llm import (
     decontamination,
     line_dedup,
     near_dedup,
+    oracles,
     packing,
     quality,
     secret_scan,
@@ -180,4 +181,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.statements()

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compare import connect, difference
 from murmura.llm import (
     chat,
     components,
@@ -79,6 +80,12 @@ def run(spark, name):
     return registered.queries()[name](spark, FOLDER).collect()
 
 
+@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
+def test_agrees_with_sql(spark, name):
+    query, sql = registered.queries()[name], registered.oracle_sql()[name]
+    assert difference(query(spark, FOLDER), connect(FOLDER), sql) is None
+
+
 def measures(text):
     w = words(text)
     lines = [x for x in text.split("\n") if words(x)]
