@@ -49,15 +49,22 @@ def _states(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("state").to_numpy(zero_copy_only=False).astype(np.uint64)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors, which must be of one length, as the rows of a matrix of doubles."""
+def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as the rows of a matrix of doubles; all must have ``width`` coordinates.
+
+    Without a width that of the first vector counts.
+    """
     if len(column) == 0:
-        return np.empty((0, 0))
+        return np.empty((0, width or 0))
     lengths = pc.min_max(column.value_lengths()).as_py()
-    if column.null_count or lengths["min"] != lengths["max"]:
+    width = lengths["min"] if width is None else width
+    if column.null_count or not lengths["min"] == lengths["max"] == width:
         raise ValueError("a vector is missing or of another length")
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64, copy=False).reshape(len(column), -1)
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a coordinate is missing")
+    flat = flat.to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64, copy=False).reshape(len(column), width)
 
 
 def vectors(rows: np.ndarray) -> pa.Array:
@@ -166,10 +173,12 @@ def race(
 
     def run_race(batches: Batches) -> Batches:
         least: dict[tuple[int, int], list[tuple]] = {}
+        width = next((chosen.shape[1] for chosen in chosen_of_run if len(chosen)), None)
         for batch in batches:
             if len(batch) == 0:
                 continue
-            points, states = matrix(batch.column("x")), _states(batch)
+            points, states = matrix(batch.column("x"), width), _states(batch)
+            width = points.shape[1]
             weights, ids = _weights(batch), batch.column("id")
             for run, (chosen, turns) in enumerate(zip(chosen_of_run, turns_of_run)):
                 chance, draw_of = chances(points, weights, chosen), draws(states, seeds[run])
@@ -224,7 +233,8 @@ def refine(
         mean = [np.zeros_like(c) for c in current_of_run]
         cost = [0.0 for _ in current_of_run]
         for batch in batches:
-            points, weights = matrix(batch.column("x")), _weights(batch)
+            points = matrix(batch.column("x"), current_of_run[0].shape[1])
+            weights = _weights(batch)
             if len(points) == 0:
                 continue
             for run, (previous, current) in enumerate(zip(previous_of_run, current_of_run)):
@@ -260,7 +270,7 @@ def mean_distances(centers_of_run: list[np.ndarray]) -> Callable[[Batches], Batc
     def run_mean(batches: Batches) -> Batches:
         count, mean = 0, [0.0 for _ in centers_of_run]
         for batch in batches:
-            points = matrix(batch.column("x"))
+            points = matrix(batch.column("x"), centers_of_run[0].shape[1])
             if len(points) == 0:
                 continue
             count += len(points)
@@ -356,11 +366,12 @@ def summarize_part(
         )
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    doubles, number = 0, 0
+    doubles, number, width = 0, 0, None
     for batch in batches:
         if len(batch) == 0:
             continue
-        held.append((matrix(batch.column("x")), _states(batch)))
+        held.append((matrix(batch.column("x"), width), _states(batch)))
+        width = held[-1][0].shape[1]
         doubles += held[-1][0].size
         if doubles >= block_doubles:
             yield summary(number, *map(np.concatenate, zip(*held)))

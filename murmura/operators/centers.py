@@ -51,13 +51,18 @@ def _nearest_in(start: int, centers: np.ndarray, x: Column) -> Column:
             F.struct(distance_to(x, center).alias("d"), F.lit(start + i).alias("cid"))
             for i, center in enumerate(centers.tolist())
         ]
-        return F.least(*candidates) if len(candidates) > 1 else candidates[0]
+        found = F.least(*candidates) if len(candidates) > 1 else candidates[0]
+        # A missing coordinate makes the distance to any center NULL.
+        sound = (F.size(x) == centers.shape[1]) & candidates[0]["d"].isNotNull()
+        return F.when(sound, found).otherwise(
+            F.raise_error(F.lit("a vector or coordinate is missing, or of another length"))
+        )
 
-    nearest, matrix = K.nearest, K.matrix
+    nearest, matrix, width = K.nearest, K.matrix, centers.shape[1]
 
     @F.arrow_udf("struct<d double, cid int>")
     def find(column: pa.Array) -> pa.Array:
-        which, distance = nearest(matrix(column), centers)
+        which, distance = nearest(matrix(column, width), centers)
         return pa.StructArray.from_arrays(
             [pa.array(distance), pa.array(which + np.int32(start))], names=["d", "cid"]
         )

@@ -103,7 +103,7 @@ def _parts(block: list, x: Column, cluster: Column) -> Column:
     @F.arrow_udf("struct<a double, b double>")
     def compare(column: pa.Array, own: pa.Array) -> pa.Array:
         labels = own.to_numpy(zero_copy_only=False)
-        a, b = parts(matrix(column), labels, clusters, means, spreads, ratios)
+        a, b = parts(matrix(column, means.shape[1]), labels, clusters, means, spreads, ratios)
         return pa.StructArray.from_arrays(
             [pa.array(a, from_pandas=True), pa.array(b, from_pandas=True)], names=["a", "b"]
         )

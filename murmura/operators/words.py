@@ -61,16 +61,16 @@ def _plain(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _salted(docs: DataFrame, parts: int) -> DataFrame:
-    """Two rounds: a word's documents are dealt to ``parts`` keys, then added up."""
-    return _count(words(docs), salt(parts, F.col("doc_id")))
+    """Two rounds: a word's input partitions are dealt to ``parts`` keys, then added up.
 
+    An input partition has one key, so a word leaves a task once, as in the plain count.
+    """
+    return _count(words(docs), salt(parts, F.spark_partition_id()))
 
-def _partitioned(docs: DataFrame, parts: int) -> DataFrame:
-    """Per document within its row, per input partition by the partial sum, then per word.
 
-    One shuffle, of one row per word and input partition.
-    """
-    return doc_term_counts(docs).groupBy("word").agg(F.sum("n").alias("n"))
+def _partitioned(docs: DataFrame, parts: int) -> DataFrame:
+    """Per input partition, then per word; what is shuffled is one row per word and partition."""
+    return _count(words(docs), F.spark_partition_id())
 
 
 def _partition_salted(docs: DataFrame, parts: int) -> DataFrame:
@@ -109,7 +109,7 @@ def merged_words(docs: DataFrame, parts: int) -> DataFrame:
 
 def _merged(docs: DataFrame, parts: int) -> DataFrame:
     """Counts of ``merged_words``, in two rounds."""
-    return _count(merged_words(docs, parts), salt(parts, F.col("doc_id")))
+    return _count(merged_words(docs, parts), salt(parts, F.spark_partition_id()))
 
 
 METHODS = {

@@ -80,12 +80,39 @@ def test_equal_distance_goes_to_the_smaller_id(spark, monkeypatch, unrolled):
     assert (row.cid, row.d) == (0, 1.0)
 
 
-@pytest.mark.parametrize("rows", [[(1.0, 2.0), (1.0, 2.0, 3.0, 4.0)], [(1.0, 2.0), None]])
-def test_vectors_of_another_length_fail(spark, monkeypatch, rows):
-    monkeypatch.setattr(C, "UNROLLED_DOUBLES", 0)
+BAD_ROWS = [
+    [(1.0, 2.0, 3.0), (1.0, 2.0, 3.0, 4.0)],
+    [(1.0, 2.0, 3.0), (1.0, 2.0)],
+    [(1.0, 2.0, 3.0), None],
+    [(1.0, 2.0, 3.0), (1.0, None, 3.0)],
+    [(1.0,), (2.0,)],
+    [(1.0, 2.0, 3.0, 4.0)] * 2,
+]
+
+
+@pytest.mark.parametrize("unrolled", [0, 100])
+@pytest.mark.parametrize("rows", BAD_ROWS)
+def test_vectors_of_another_length_fail(spark, monkeypatch, rows, unrolled):
+    monkeypatch.setattr(C, "UNROLLED_DOUBLES", unrolled)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "id bigint, x array<double>")
+    df, center = df.coalesce(1), np.zeros((1, 3))
+    for result in (
+        lambda: C.nearest_center(df, center).collect(),
+        lambda: C.objective(df, center).collect(),
+        lambda: C.center_weights(df, center).collect(),
+        lambda: C.mean_distance_runs(df, [center]).collect(),
+        lambda: L.lloyd(df, center, 1),
+    ):
+        with pytest.raises(Exception, match="missing|of another length"):
+            result()
+
+
+@pytest.mark.parametrize("rows", BAD_ROWS[:4])
+def test_vectors_of_several_lengths_fail_without_centers(spark, rows):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "id bigint, x array<double>")
-    with pytest.raises(Exception, match="of another length"):
-        C.nearest_center(df.coalesce(1), [[0.0, 0.0, 0.0]]).collect()
+    for result in (lambda: S.seed_centers(df.coalesce(1), 2), lambda: M.coreset(df, 2, 1, 1).collect()):
+        with pytest.raises(Exception, match="missing|of another length"):
+            result()
 
 
 def test_center_weights_keep_zeros(spark):
