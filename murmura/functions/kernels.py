@@ -156,8 +156,28 @@ def _weights(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("w").to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
+def _of_run(batch: pa.RecordBatch, number: int) -> np.ndarray:
+    """Places of the rows of a run: all of them, unless rows name their run in ``_run``."""
+    if "_run" not in batch.schema.names:
+        return np.arange(len(batch))
+    return np.flatnonzero(batch.column("_run").to_numpy(zero_copy_only=False) == number)
+
+
+def _least_rows(keys: np.ndarray, points: np.ndarray, limit: float, count: int) -> np.ndarray:
+    """``count`` rows of least key, at most ``limit``; of equal keys the smallest vectors."""
+    rows = np.flatnonzero((keys <= limit) & np.isfinite(keys))
+    if len(rows) <= count:
+        return rows
+    edge = np.partition(keys[rows], count - 1)[count - 1]
+    below, equal = rows[keys[rows] < edge], rows[keys[rows] == edge]
+    if len(below) + len(equal) > count:
+        equal = equal[np.lexsort(points[equal].T[::-1])[: count - len(below)]]
+    return np.concatenate([below, equal])
+
+
 def race(
     chosen_of_run: list[np.ndarray],
+    numbers: list[int],
     seeds: list[int],
     turns_of_run: list[int],
     kept: int,
@@ -181,20 +201,22 @@ def race(
             width = points.shape[1]
             weights, ids = _weights(batch), batch.column("id")
             for run, (chosen, turns) in enumerate(zip(chosen_of_run, turns_of_run)):
-                chance, draw_of = chances(points, weights, chosen), draws(states, seeds[run])
+                own = _of_run(batch, numbers[run])
+                if len(own) == 0:
+                    continue
+                theirs = points[own]
+                chance = chances(theirs, weights[own], chosen)
+                draw_of = draws(states[own], seeds[run])
                 for turn in range(turns):
                     draw = draw_of(len(chosen) + turn)
                     keys = arrivals(draw, chance)
                     held = least.setdefault((run, turn), [])
                     limit = held[-1][0] if len(held) > kept else np.inf
-                    rows = np.flatnonzero(keys < limit)
-                    if len(rows) > kept + 1:
-                        rows = rows[np.argpartition(keys[rows], kept)[: kept + 1]]
                     held += [
-                        (keys[r], ids[int(r)].as_py(), points[r].tolist(), weights[r], draw[r])
-                        for r in rows
+                        (keys[r], ids[int(own[r])].as_py(), theirs[r].tolist(), weights[own[r]], draw[r])
+                        for r in _least_rows(keys, theirs, limit, kept + 1)
                     ]
-                    held.sort(key=lambda candidate: candidate[:2])
+                    held.sort(key=lambda candidate: candidate[:3])
                     del held[kept + 1 :]
         out = [
             (*place, *candidate, held[kept][0] if len(held) > kept else np.inf)
@@ -218,7 +240,9 @@ def race(
 
 
 def refine(
-    previous_of_run: list[np.ndarray | None], current_of_run: list[np.ndarray]
+    previous_of_run: list[np.ndarray | None],
+    current_of_run: list[np.ndarray],
+    numbers: list[int],
 ) -> Callable[[Batches], Batches]:
     """Rows ``(x, w)`` to ``(run, cid, w, x, cost)``, a row per run and center with points.
 
@@ -233,11 +257,13 @@ def refine(
         mean = [np.zeros_like(c) for c in current_of_run]
         cost = [0.0 for _ in current_of_run]
         for batch in batches:
-            points = matrix(batch.column("x"), current_of_run[0].shape[1])
-            weights = _weights(batch)
-            if len(points) == 0:
-                continue
+            every = matrix(batch.column("x"), current_of_run[0].shape[1])
+            every_weight = _weights(batch)
             for run, (previous, current) in enumerate(zip(previous_of_run, current_of_run)):
+                own = _of_run(batch, numbers[run])
+                if len(own) == 0:
+                    continue
+                points, weights = every[own], every_weight[own]
                 which, _ = nearest(points, current)
                 added, added_mean = weighted_means(points, weights, which, len(current))
                 merged = total[run] + added
@@ -323,9 +349,10 @@ def seed_in_memory(points: np.ndarray, states: np.ndarray, seed: int, k: int) ->
     picked: list[int] = []
     for turn in range(k):
         keys = arrivals(draw_of(turn), distance)
-        row = int(keys.argmin())
-        if not np.isfinite(keys[row]):
+        least = _least_rows(keys, points, np.inf, 1)
+        if len(least) == 0:
             break
+        row = int(least[0])
         picked.append(row)
         added = np.sqrt(square_distance(points, points[row]))
         distance = added if distance is None else np.minimum(distance, added)
@@ -348,7 +375,7 @@ def refine_in_memory(points: np.ndarray, centers: np.ndarray, rounds: int) -> np
 
 
 def summarize_part(
-    part: str, batches: Batches, k: int, rounds: int, seed: int, block_doubles: int
+    part: str, batches: Batches, k: int, rounds: int, seed: int, block_doubles: float
 ) -> Batches:
     """A part's rows ``(x, state)`` to its weighted centers ``(id, x, w)``.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import chain
 
 import pyarrow as pa
@@ -13,14 +14,14 @@ from pyspark.sql import functions as F
 from murmura.functions import kernels as K
 from murmura.functions.uniform import row_state, uniform
 from murmura.operators import centers as C
-from murmura.operators.lloyd import lloyd, lloyd_runs
+from murmura.operators.lloyd import lloyd, lloyd_runs, run_weights
 from murmura.operators.seeding import AHEAD, SENT, coordinates, seed_centers, seed_runs
 from murmura.session import cut_lineage
 
 # Coordinates of one part that a task holds at once, 64 MB.
 PART_DOUBLES = 8_000_000
 PARTS_PER_TASK = 16
-# The list of swollen parts, at most half as many, is broadcast up to here.
+# The list of parts too large for a task is broadcast up to here.
 BROADCAST_PARTS = 1_000_000
 # Coordinates of the centers and candidates of all runs that share a pass.
 RUN_DOUBLES = 1_000_000
@@ -38,10 +39,9 @@ def coreset(
 
     A point's part is a hash of its id.  Each part is seeded, refined and
     weighed by itself; the weights are the numbers of its points nearest to
-    each center.  More parts are made when ``parts`` of them would not fit the
-    memory of a task.  A part swollen by copies of one id is split by input
-    partition, and what is still too large is worked off in blocks, so no task
-    holds more than a block and a batch.
+    each center.  A part that a task can hold is done in one; a larger one is a
+    run of the distributed seeding and refinement, with the same draws and
+    hence the same centers, at the price of several passes over it.
 
     With ``parts`` None the input partitions are the parts, likewise block by
     block: no point is shuffled, but the outcome depends on how the input is
@@ -68,19 +68,22 @@ def coreset(
         return points.select(here, "x", state).mapInArrow(reduce_partition, schema)
 
     first = points.first()
-    width = max(1, len(first.x)) if first else 1
-    rows = max(1, PART_DOUBLES // width)
-    parts = max(parts, math.ceil(points.count() / rows))
+    width = max(1, len(first.x or [])) if first else 1
     part = F.floor(uniform(seed, "part", F.col("id")) * parts).cast("int")
-    placed = _split_swollen(points.withColumn("part", part), rows, parts)
-    block = 2 * PART_DOUBLES
+    placed = points.withColumn("part", part)
+    large = (
+        placed.groupBy("part").count().where(F.col("count") > PART_DOUBLES // width).select("part").collect()
+    )
+    done = _by_passes(placed, sorted(r.part for r in large), width, k, rounds, seed, schema)
+    if large:
+        rest = placed.sparkSession.createDataFrame(large, "part int")
+        few = len(large) <= BROADCAST_PARTS
+        placed = placed.join(F.broadcast(rest) if few else rest, "part", "left_anti")
 
     def reduce_part(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        part, split = (value.as_py() for value in key)
-        name = f"{part}.{split}" if split else str(part)
-        yield from summarize(name, batches, k, rounds, seed, block)
+        yield from summarize(str(key[0].as_py()), batches, k, rounds, seed, math.inf)
 
     # About 1 GB per task at most; where the session's own number of shuffle
     # partitions gives that, adaptive execution may still coalesce them.
@@ -88,31 +91,35 @@ def coreset(
     usual = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number = (tasks,) if tasks > usual else ()
     # Ids are hashed after the shuffle, which moves only points.
-    return (
-        placed.repartition(*number, "part", "split")
-        .select("part", "split", "x", state)
-        .groupBy("part", "split")
+    held = (
+        placed.repartition(*number, "part")
+        .select("part", "x", state)
+        .groupBy("part")
         .applyInArrow(reduce_part, schema)
     )
-
-
-def _split_swollen(placed: DataFrame, rows: int, parts: int) -> DataFrame:
-    """``placed`` with ``split``, above 0 only in parts of more than twice ``rows`` rows.
-
-    Hashing keeps parts even as long as ids are unique; fewer than
-    ``parts / 2`` can be that large in any case.
-    """
-    swollen = (
-        placed.groupBy("part")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > 2 * rows)
-        .select("part", F.ceil(F.col("n") / rows).cast("int").alias("splits"))
-    )
-    few = parts <= BROADCAST_PARTS
-    origin = placed.withColumn("origin", F.spark_partition_id())
-    marked = origin.join(F.broadcast(swollen) if few else swollen, "part", "left")
-    split = F.coalesce(F.pmod("origin", "splits"), F.lit(0))
-    return marked.select(*placed.columns, split.alias("split"))
+    return reduce(DataFrame.unionByName, done, held)
+
+
+def _by_passes(
+    placed: DataFrame, large: list[int], width: int, k: int, rounds: int, seed: int, schema: str
+) -> list[DataFrame]:
+    """Centers of the ``large`` parts, each a run; as many share their passes as memory allows."""
+    spark, done = placed.sparkSession, []
+    together = max(1, RUN_DOUBLES // (max(AHEAD * SENT, k) * width))
+    for start in range(0, len(large), together):
+        batch = large[start : start + together]
+        runs = spark.createDataFrame(list(zip(batch, range(len(batch)))), "part int, _run int")
+        # At most ``RUN_DOUBLES`` rows.
+        own = placed.join(F.broadcast(runs), "part").select("id", "x", "_run")
+        picks = seed_runs(own, [k] * len(batch), [seed] * len(batch))
+        centers = lloyd_runs(own, [coordinates(p) for p in picks], [rounds] * len(batch))
+        rows = [
+            (f"{part}:0:{index}", x, w)
+            for part, found, weights in zip(batch, centers, run_weights(own, centers))
+            for index, (x, w) in enumerate(zip(found.tolist(), weights.tolist()))
+        ]
+        done.append(cut_lineage(spark.createDataFrame(rows, schema)))
+    return done
 
 
 def kmedian_coreset(

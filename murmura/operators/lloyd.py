@@ -14,15 +14,18 @@ from murmura.operators.seeding import weighted
 
 
 def _pass(
-    points: DataFrame, previous: list[np.ndarray | None], current: list[np.ndarray]
+    points: DataFrame,
+    previous: list[np.ndarray | None],
+    current: list[np.ndarray],
+    numbers: list[int],
 ) -> DataFrame:
     """``(run, cid, w, x, cost)`` over all points; see ``kernels.refine``.
 
     A partition's result is itself a set of weighted points, one per run and
     center, so only those are shuffled.
     """
-    partial = points.select("x", "w").mapInArrow(
-        K.refine(previous, current), "run int, cid int, w double, x array<double>, cost double"
+    partial = points.drop("id").mapInArrow(
+        K.refine(previous, current, numbers), "run int, cid int, w double, x array<double>, cost double"
     )
     mean = Summarizer.mean(array_to_vector("x"), F.col("w"))
     return partial.groupBy("run", "cid").agg(
@@ -44,7 +47,7 @@ def _move(
 def lloyd_step(points: DataFrame, centers: np.ndarray) -> DataFrame:
     """``(cid, x)``: the centers after one move; one without points stays."""
     centers = as_matrix(centers)
-    means = _pass(weighted(points), [None], [centers])
+    means = _pass(weighted(points), [None], [centers], [0])
     spark = points.sparkSession
     old = spark.createDataFrame(
         [(cid, x) for cid, x in enumerate(centers.tolist())], "cid int, old array<double>"
@@ -72,13 +75,13 @@ def lloyd_runs(
         return current
 
     first = [current[run] for run in running]
-    moved, _ = _move(_pass(points, [None for _ in running], first), first)
+    moved, _ = _move(_pass(points, [None for _ in running], first, running), first)
     proposal = dict(zip(running, moved))
     turn = 0
     while running:
         turn += 1
         places = [proposal[run] for run in running]
-        measured = _pass(points, [current[run] for run in running], places)
+        measured = _pass(points, [current[run] for run in running], places, running)
         going = []
         for run, following, cost in zip(running, *_move(measured, places)):
             if cost < best[run]:
@@ -89,5 +92,14 @@ def lloyd_runs(
     return current
 
 
+def run_weights(points: DataFrame, centers: list[np.ndarray]) -> list[np.ndarray]:
+    """Per run the weights of the points nearest to each center."""
+    runs = list(range(len(centers)))
+    weights = [np.zeros(len(c)) for c in centers]
+    for row in _pass(weighted(points), [None for _ in runs], centers, runs).collect():
+        weights[row.run][row.cid] = row.w
+    return weights
+
+
 def lloyd(points: DataFrame, start: np.ndarray, rounds: int) -> np.ndarray:
     return lloyd_runs(points, [start], [rounds])[0]

@@ -35,9 +35,10 @@ Picks = list[tuple[object, list[float]]]
 
 
 def weighted(points: DataFrame) -> DataFrame:
-    """``(id, x, w)``; points without weights get 1."""
+    """``(id, x, w)``; points without weights get 1.  A column ``_run`` stays."""
     w = F.col("w") if "w" in points.columns else F.lit(1.0)
-    return points.select("id", "x", w.cast("double").alias("w"))
+    run = [c for c in points.columns if c == "_run"]
+    return points.select("id", "x", w.cast("double").alias("w"), *run)
 
 
 def coordinates(picks: Picks) -> np.ndarray:
@@ -52,7 +53,7 @@ def _least(candidates: DataFrame) -> dict[tuple[int, int], list[Row]]:
     """
     candidates = candidates.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
     for keys in (["run", "turn", "group"], ["run", "turn"]):
-        order = Window.partitionBy(*keys).orderBy("bound", "id")
+        order = Window.partitionBy(*keys).orderBy("bound", "id", "x")
         candidates = candidates.withColumn("nth", F.row_number().over(order)).where(
             F.col("nth") <= SENT + 1
         )
@@ -73,7 +74,7 @@ def _winner(rows: list[Row], chosen: np.ndarray, first: bool) -> tuple[Row | Non
         np.array([row.draw for row in rows]),
         K.chances(np.array([row.x for row in rows]), np.array([row.w for row in rows]), chosen),
     )
-    key, _, best = min((key, row.id, at) for at, (key, row) in enumerate(zip(keys, rows)))
+    key, _, _, best = min((key, row.id, list(row.x), at) for at, (key, row) in enumerate(zip(keys, rows)))
     left_out = min(row.beyond for row in rows)
     if len(rows) > SENT:
         left_out = min(left_out, rows[-1].bound)
@@ -85,7 +86,8 @@ def seed_runs(points: DataFrame, ks: list[int], seeds: list[int]) -> list[Picks]
     """Independent seedings that share every pass: ``ks[i]`` centers by ``seeds[i]``.
 
     The i-th result lists ``(id, x)`` in the order of picking, and is shorter
-    than ``ks[i]`` when every point lies on a center.  Distances are computed
+    than ``ks[i]`` when every point lies on a center.  Rows with a number in
+    ``_run`` take part in that run only, others in all.  Distances are computed
     anew from the few centers in each pass: nothing is kept per point.
     """
     if min(ks) < 1:
@@ -98,7 +100,7 @@ def seed_runs(points: DataFrame, ks: list[int], seeds: list[int]) -> list[Picks]
         # With no center there is no bound, so the first pass looks at one turn.
         turns = [min(AHEAD, ks[r] - len(picks[r])) if picks[r] else 1 for r in running]
         chosen = [coordinates(picks[r]) for r in running]
-        race = K.race(chosen, [seeds[r] for r in running], turns, KEPT, to_arrow_type(id_type))
+        race = K.race(chosen, running, [seeds[r] for r in running], turns, KEPT, to_arrow_type(id_type))
         candidates = points.mapInArrow(
             race,
             f"run int, turn int, id {id_type.simpleString()}, x array<double>, w double, "
