@@ -42,11 +42,15 @@ def normalized_histogram(values: DataFrame) -> DataFrame:
     An interval with fewer than a tenth (rounded down) of all numbers is left
     out.  Rows come in the order of ``hi``.
     """
-    total = values.agg(F.count("*").alias("total")).scalar()
+    # One subquery for both, so the numbers are read twice in all.
+    whole = values.agg(
+        F.struct(F.count("*").alias("total"), F.max("value").alias("largest")).alias("whole")
+    ).scalar()
+    share = F.try_divide(F.col("value"), whole["largest"])
     counts = (
-        scaled(validated(values))
-        .groupBy(N.upper_bound(F.col("share")).alias("hi"))
+        validated(values)
+        .groupBy(N.upper_bound(share).alias("hi"))
         .agg(F.count("*").alias("n"))
     )
-    kept = counts.where(F.col("n") >= F.floor(total / N.INTERVALS))
+    kept = counts.where(F.col("n") >= F.floor(whole["total"] / N.INTERVALS))
     return kept.select("hi", "n", N.interval_label(F.col("hi")).alias("label")).orderBy("hi")
