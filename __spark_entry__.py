@@ -267,13 +267,15 @@ def kmedian_trials(spark: SparkSession, folder: str) -> DataFrame:
 
 def kmeans_assign(spark: SparkSession, folder: str) -> DataFrame:
     points = tables.points(spark, folder)
-    model = kmeans.kmeans_fit(points, K, ROUNDS, SEED)
-    return kmeans.kmeans_assign(points, model).select("id", "cluster")
+    found = kmeans.kmeans_centers(points, K, ROUNDS, SEED)
+    return kmeans.kmeans_assign(points, found).select("id", "cluster")
 
 
 def kmeans_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(
-        kmeans.kmeans_sweep(tables.points(spark, folder), 2, 3, ROUNDS, 5 * SAMPLE, SEED)
+        kmeans.kmeans_sweep(
+            tables.points(spark, folder), oracles.SWEEP_KS[0], len(oracles.SWEEP_KS), ROUNDS, 5 * SAMPLE, SEED
+        )
     )
 
 

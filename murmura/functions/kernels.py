@@ -123,9 +123,11 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.nda
     return which, np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
 
-def chances(points: np.ndarray, weights: np.ndarray, chosen: np.ndarray) -> np.ndarray | None:
-    """Weight times distance to the nearest chosen center; None with nothing chosen."""
-    return weights * nearest(points, chosen)[1] if len(chosen) else None
+def chances(
+    points: np.ndarray, weights: np.ndarray, chosen: np.ndarray, power: int = 1
+) -> np.ndarray | None:
+    """Weight times a power of the distance to the nearest chosen center; None with nothing chosen."""
+    return weights * nearest(points, chosen)[1] ** power if len(chosen) else None
 
 
 def arrivals(draws: np.ndarray, chance: np.ndarray | None) -> np.ndarray:
@@ -182,6 +184,7 @@ def race(
     turns_of_run: list[int],
     kept: int,
     id_type: pa.DataType,
+    power: int = 1,
 ) -> Callable[[Batches], Batches]:
     """Rows ``(id, x, w, state)`` to the candidates for each run's next picks.
 
@@ -205,7 +208,7 @@ def race(
                 if len(own) == 0:
                     continue
                 theirs = points[own]
-                chance = chances(theirs, weights[own], chosen)
+                chance = chances(theirs, weights[own], chosen, power)
                 draw_of = draws(states[own], seeds[run])
                 for turn in range(turns):
                     draw = draw_of(len(chosen) + turn)

@@ -1,35 +1,66 @@
-"""k-means by Spark ML, and a sweep over the number of clusters."""
+"""k-means, and a sweep over the number of clusters.
+
+Two starts are offered.  ``race`` draws points with chances by squared
+distance, in races fixed by ids and seed, and moves centers to their means: it
+gives the same clusters however the points are partitioned.  ``parallel`` is
+Spark ML's k-means||, whose draws depend on the partitioning.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmura.operators.centers import nearest_center
+from murmura.operators.lloyd import moved
+from murmura.operators.seeding import coordinates, seed_centers
 from murmura.operators.silhouette import mean_silhouette
 
+STARTS = ("race", "parallel")
+
 
 def _featured(points: DataFrame) -> DataFrame:
     return points.withColumn("features", array_to_vector("x"))
 
 
 def kmeans_fit(points: DataFrame, k: int, rounds: int, seed: int = 42) -> KMeansModel:
-    """k-means|| start and at most ``rounds`` Lloyd rounds; may find fewer than ``k`` centers.
+    """Spark ML's model: k-means|| start and at most ``rounds`` Lloyd rounds; may find fewer than ``k`` centers.
 
     Spark ML asks for ``k`` of at least 2.
     """
     return KMeans(k=k, maxIter=rounds, seed=seed).fit(_featured(points).select("features"))
 
 
-def kmeans_assign(points: DataFrame, model: KMeansModel) -> DataFrame:
-    """``points`` with ``cluster``, the model's nearest center."""
-    assigned = model.transform(_featured(points))
-    return assigned.select(*points.columns, F.col("prediction").alias("cluster"))
+def kmeans_centers(points: DataFrame, k: int, rounds: int, seed: int = 42) -> np.ndarray | None:
+    """Centers by the ``race`` start and at most ``rounds`` moves; None without points.
+
+    There are fewer than ``k`` when the points have fewer places.
+    """
+    points = points.select("id", "x")
+    picks = seed_centers(points, k, seed, power=2)
+    return moved(points, coordinates(picks), rounds) if picks else None
+
+
+def kmeans_assign(points: DataFrame, model: KMeansModel | np.ndarray) -> DataFrame:
+    """``points`` with ``cluster``, the nearest center of the model or of the matrix."""
+    if isinstance(model, KMeansModel):
+        assigned = model.transform(_featured(points))
+        return assigned.select(*points.columns, F.col("prediction").alias("cluster"))
+    found = nearest_center(points, model)
+    return found.select(*points.columns, F.col("cid").alias("cluster"))
 
 
 def kmeans_sweep(
-    points: DataFrame, k_start: int, h: int, rounds: int, sample: float, seed: int = 42
+    points: DataFrame,
+    k_start: int,
+    h: int,
+    rounds: int,
+    sample: float,
+    seed: int = 42,
+    start: str = "race",
 ) -> DataFrame:
     """``(k, centers, silhouette)`` for ``k`` from ``k_start`` to ``k_start + h - 1``.
 
@@ -38,6 +69,8 @@ def kmeans_sweep(
     """
     if k_start < 1 or h < 1:
         raise ValueError("k_start and h must be at least 1")
+    if start not in STARTS:
+        raise ValueError(f"start must be one of {STARTS}")
     points = points.select("id", "x").persist()
     found = []
     try:
@@ -45,13 +78,21 @@ def kmeans_sweep(
             if k == 1:
                 found.append((1, 1, None))
                 continue
-            model = kmeans_fit(points, k, rounds, seed)
+            if start == "race":
+                model = kmeans_centers(points, k, rounds, seed)
+                centers = 0 if model is None else len(model)
+            else:
+                model = kmeans_fit(points, k, rounds, seed)
+                centers = len(model.clusterCenters())
+            if not centers:
+                found.append((k, 0, None))
+                continue
             assigned = kmeans_assign(points, model).persist()
             try:
                 score = mean_silhouette(assigned, sample / k, seed, clusters=k).first().silhouette
             finally:
                 assigned.unpersist()
-            found.append((k, len(model.clusterCenters()), score))
+            found.append((k, centers, score))
     finally:
         points.unpersist()
     return points.sparkSession.createDataFrame(found, "k int, centers int, silhouette double")

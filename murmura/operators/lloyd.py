@@ -103,3 +103,14 @@ def run_weights(points: DataFrame, centers: list[np.ndarray]) -> list[np.ndarray
 
 def lloyd(points: DataFrame, start: np.ndarray, rounds: int) -> np.ndarray:
     return lloyd_runs(points, [start], [rounds])[0]
+
+
+def moved(points: DataFrame, start: np.ndarray, rounds: int) -> np.ndarray:
+    """``start`` after ``rounds`` moves to the weighted means, whatever the cost; as k-means has it."""
+    points, centers = weighted(points), as_matrix(start)
+    for _ in range(rounds):
+        (after,), _ = _move(_pass(points, [None], [centers], [0]), [centers])
+        if np.array_equal(after, centers):
+            break
+        centers = after
+    return centers

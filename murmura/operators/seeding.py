@@ -1,16 +1,18 @@
 """Weighted seeding: points drawn as first centers, far ones more likely.
 
 The first center is uniform; each next one is drawn with probability
-proportional to weight times distance (not squared) to the nearest center so
-far.  A draw is a race: every row arrives at ``-ln(u) / (w d)`` and the first
-to arrive is picked.
+proportional to weight times distance to the nearest center so far, squared
+only where asked for (``power`` 2, for k-means).  A draw is a race: every row
+arrives at ``-ln(u) / (w d)`` and the first to arrive is picked.
 
 Distances only shrink as centers are added, so a row's time with today's
 centers is a lower bound of its time in any later turn.  One pass therefore
 gathers, for several turns ahead, the few rows with the least bounds.  The
 driver replays those turns on them: if the winner's true time is below every
 bound that was left out, no other row can have won; if not, the next pass
-starts at that turn.  The picks are those of one pass per turn.
+starts at that turn.  The picks are those of one pass per turn.  The more
+centers there are, the less a new one changes, so a pass looks as many turns
+ahead as there are centers, within limits.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from murmura.functions import kernels as K
 from murmura.functions.uniform import row_state
 
-# Turns prepared by one pass, candidates for each from a partition, and from all.
+# Turns prepared by one pass at least and at most, candidates for each from a partition, and from all.
 AHEAD = 8
+MOST_AHEAD = 128
 KEPT = 8
 SENT = 32
 GROUPS = 64
@@ -63,7 +66,9 @@ def _least(candidates: DataFrame) -> dict[tuple[int, int], list[Row]]:
     return found
 
 
-def _winner(rows: list[Row], chosen: np.ndarray, first: bool) -> tuple[Row | None, bool]:
+def _winner(
+    rows: list[Row], chosen: np.ndarray, first: bool, power: int
+) -> tuple[Row | None, bool]:
     """The pick among the candidates of one turn, and whether it is certain.
 
     In the ``first`` turn of a pass the bounds are the times themselves.
@@ -72,7 +77,9 @@ def _winner(rows: list[Row], chosen: np.ndarray, first: bool) -> tuple[Row | Non
         return None, True
     keys = K.arrivals(
         np.array([row.draw for row in rows]),
-        K.chances(np.array([row.x for row in rows]), np.array([row.w for row in rows]), chosen),
+        K.chances(
+            np.array([row.x for row in rows]), np.array([row.w for row in rows]), chosen, power
+        ),
     )
     key, _, _, best = min((key, row.id, list(row.x), at) for at, (key, row) in enumerate(zip(keys, rows)))
     left_out = min(row.beyond for row in rows)
@@ -82,7 +89,14 @@ def _winner(rows: list[Row], chosen: np.ndarray, first: bool) -> tuple[Row | Non
     return winner, first or key < left_out or not np.isfinite(left_out)
 
 
-def seed_runs(points: DataFrame, ks: list[int], seeds: list[int]) -> list[Picks]:
+def _ahead(chosen: int, k: int) -> int:
+    """Turns that a pass looks ahead; with no center there is no bound, so the first looks at one."""
+    return min(max(AHEAD, min(chosen, MOST_AHEAD)), k - chosen) if chosen else 1
+
+
+def seed_runs(
+    points: DataFrame, ks: list[int], seeds: list[int], power: int = 1
+) -> list[Picks]:
     """Independent seedings that share every pass: ``ks[i]`` centers by ``seeds[i]``.
 
     The i-th result lists ``(id, x)`` in the order of picking, and is shorter
@@ -97,10 +111,11 @@ def seed_runs(points: DataFrame, ks: list[int], seeds: list[int]) -> list[Picks]
     picks: list[Picks] = [[] for _ in ks]
     running = list(range(len(ks)))
     while running:
-        # With no center there is no bound, so the first pass looks at one turn.
-        turns = [min(AHEAD, ks[r] - len(picks[r])) if picks[r] else 1 for r in running]
+        turns = [_ahead(len(picks[r]), ks[r]) for r in running]
         chosen = [coordinates(picks[r]) for r in running]
-        race = K.race(chosen, running, [seeds[r] for r in running], turns, KEPT, to_arrow_type(id_type))
+        race = K.race(
+            chosen, running, [seeds[r] for r in running], turns, KEPT, to_arrow_type(id_type), power
+        )
         candidates = points.mapInArrow(
             race,
             f"run int, turn int, id {id_type.simpleString()}, x array<double>, w double, "
@@ -111,7 +126,7 @@ def seed_runs(points: DataFrame, ks: list[int], seeds: list[int]) -> list[Picks]
         for at, (run, count) in enumerate(zip(running, turns)):
             exhausted = False
             for turn in range(count):
-                winner, certain = _winner(found[at, turn], coordinates(picks[run]), turn == 0)
+                winner, certain = _winner(found[at, turn], coordinates(picks[run]), turn == 0, power)
                 if not certain:
                     break
                 if winner is None:
@@ -124,6 +139,6 @@ def seed_runs(points: DataFrame, ks: list[int], seeds: list[int]) -> list[Picks]
     return picks
 
 
-def seed_centers(points: DataFrame, k: int, seed: int = 42) -> Picks:
+def seed_centers(points: DataFrame, k: int, seed: int = 42, power: int = 1) -> Picks:
     """At most ``k`` picks ``(id, x)`` in order."""
-    return seed_runs(points, [k], [seed])[0]
+    return seed_runs(points, [k], [seed], power)[0]

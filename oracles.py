@@ -9,6 +9,7 @@ from __future__ import annotations
 TRIAL_KS = [2, 4]
 TRIAL_ROUNDS = [0, 2]
 TRIALS = 2
+SWEEP_KS = [2, 3, 4]
 
 REVIEWS = "SELECT l_partkey AS product, l_suppkey AS \"user\", l_quantity AS rating FROM lineitem"
 NORMALIZED = f"""
@@ -115,12 +116,15 @@ def _nearest(points: str, centers: str, out: str) -> str:
     )"""
 
 
-def _seeding(base: str, name: str, k: int) -> list[str]:
-    """Picks of every group of ``base`` (grp, id, x, w, k, seed) as ``name`` (grp, cid, id, x)."""
+def _seeding(base: str, name: str, k: int, gap: str = "d") -> list[str]:
+    """Picks of every group of ``base`` (grp, id, x, w, k, seed) as ``name`` (grp, cid, id, x).
+
+    Chances are weights times ``gap``, an expression of the distance ``d``.
+    """
     ctes = []
     for turn in range(k):
         source = base if turn == 0 else f"{name}_d{turn - 1}"
-        arrival = _arrival("seed", turn, "id") + ("" if turn == 0 else " / (w * d)")
+        arrival = _arrival("seed", turn, "id") + ("" if turn == 0 else f" / (w * {gap})")
         chance = "" if turn == 0 else "AND w * d > 0"
         ctes.append(f"""
     {name}_p{turn} AS MATERIALIZED (
@@ -142,6 +146,18 @@ def _seeding(base: str, name: str, k: int) -> list[str]:
     return [*ctes, f"{name} AS MATERIALIZED ({union})"]
 
 
+def _means(near: str, out: str) -> str:
+    """Weighted mean of each center's points."""
+    return f"""
+    {out} AS MATERIALIZED (
+        SELECT grp, cid, list(mean ORDER BY axis) AS x FROM (
+            SELECT grp, cid, axis, sum(w * x[axis]) / sum(w) AS mean
+            FROM {near}, unnest(range(1, len(x) + 1)) AS dims(axis)
+            GROUP BY grp, cid, axis
+        ) GROUP BY grp, cid
+    )"""
+
+
 def _lloyd(base: str, start: str, name: str, rounds: int) -> list[str]:
     """``start`` (grp, cid, x) refined over ``base`` (grp, id, x, w, rounds) as ``name``."""
     ctes = [
@@ -153,14 +169,7 @@ def _lloyd(base: str, start: str, name: str, rounds: int) -> list[str]:
     for turn in range(rounds):
         old, new = f"{name}_c{turn}", f"{name}_n{turn}"
         ctes.append(_nearest(base, old, f"{name}_a{turn}"))
-        ctes.append(f"""
-    {name}_m{turn} AS MATERIALIZED (
-        SELECT grp, cid, list(mean ORDER BY axis) AS x FROM (
-            SELECT grp, cid, axis, sum(w * x[axis]) / sum(w) AS mean
-            FROM {name}_a{turn}, unnest(range(1, len(x) + 1)) AS dims(axis)
-            GROUP BY grp, cid, axis
-        ) GROUP BY grp, cid
-    )""")
+        ctes.append(_means(f"{name}_a{turn}", f"{name}_m{turn}"))
         ctes.append(f"""
     {new} AS MATERIALIZED (
         SELECT c.grp, c.cid, coalesce(m.x, c.x) AS x
@@ -184,6 +193,21 @@ def _lloyd(base: str, start: str, name: str, rounds: int) -> list[str]:
     return [*ctes, f"{name} AS MATERIALIZED (SELECT * FROM {name}_c{rounds})"]
 
 
+def _moved(base: str, start: str, name: str, rounds: int) -> list[str]:
+    """``start`` after ``rounds`` moves to the means, as ``name``."""
+    ctes = [f"{name}_c0 AS MATERIALIZED (SELECT grp, cid, x FROM {start})"]
+    for turn in range(rounds):
+        old = f"{name}_c{turn}"
+        ctes.append(_nearest(base, old, f"{name}_a{turn}"))
+        ctes.append(_means(f"{name}_a{turn}", f"{name}_m{turn}"))
+        ctes.append(f"""
+    {name}_c{turn + 1} AS MATERIALIZED (
+        SELECT c.grp, c.cid, coalesce(m.x, c.x) AS x
+        FROM {old} c LEFT JOIN {name}_m{turn} m ON m.grp = c.grp AND m.cid = c.cid
+    )""")
+    return [*ctes, f"{name} AS MATERIALIZED (SELECT * FROM {name}_c{rounds})"]
+
+
 def _query(ctes: list[str], final: str) -> str:
     return "WITH " + ",".join(ctes) + final
 
@@ -194,6 +218,29 @@ def _base(k: int, rounds: int, seed: int, w: str = "1.0::DOUBLE", grp: str = "0"
         FROM ({POINTS}))"""
 
 
+def _kmeans_sweep(ks: list[int], rounds: int, sample: float, seed: int) -> str:
+    runs = ", ".join(f"({k}, {k}, {rounds}, {seed})" for k in ks)
+    scores = []
+    for k in ks:
+        points = f"""SELECT id, x, cid AS cluster, count(*) OVER (PARTITION BY cid) AS size
+        FROM near WHERE grp = {k}"""
+        drawn = f"SELECT * FROM ({points}) WHERE {_uniform(seed, 0, 'id')} <= least({sample / k} / size, 1)"
+        scored = _scores(points, drawn, f"least({sample / k}, max(s.size))")
+        scores.append(f"""
+    SELECT {k}::INTEGER AS k,
+           CAST((SELECT count(*) FROM final WHERE grp = {k}) AS INTEGER) AS centers, silhouette
+    FROM ({_mean_score(scored)})""")
+    ctes = [
+        f"runs(grp, k, rounds, seed) AS (VALUES {runs})",
+        f"""base AS MATERIALIZED (
+        SELECT grp, id, x, 1.0::DOUBLE AS w, k, rounds, seed FROM ({POINTS}), runs)""",
+        *_seeding("base", "picks", max(ks), "(d * d)"),
+        *_moved("base", "picks", "final", rounds),
+        _nearest("base", "final", "near"),
+    ]
+    return _query(ctes, " UNION ALL ".join(scores))
+
+
 def _first_centers(k: int) -> str:
     return f"""first AS MATERIALIZED (
         SELECT 0 AS grp, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cid, x
@@ -386,4 +433,14 @@ def statements(
         ),
         "kmedian_coreset": _kmedian_coreset(k, parts, rounds, seed),
         "kmedian_trials": _trials(seed),
+        "kmeans_assign": _query(
+            [
+                _base(k, rounds, seed),
+                *_seeding("base", "picks", k, "(d * d)"),
+                *_moved("base", "picks", "final", rounds),
+                _nearest("base", "final", "near"),
+            ],
+            "\n    SELECT id, cid AS cluster FROM near",
+        ),
+        "kmeans_sweep": _kmeans_sweep(SWEEP_KS, rounds, 5.0 * sample, seed),
     }

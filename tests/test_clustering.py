@@ -294,14 +294,47 @@ def test_kmeans_on_fewer_points_than_clusters(spark):
     assert len(KM.kmeans_fit(df, 5, 3).clusterCenters()) <= 5
 
 
-def test_sweep(cloud):
+def test_kmeans_by_races_does_not_depend_on_partitioning(spark):
+    points = tables.points(spark, FOLDER)
+    found = [KM.kmeans_centers(points.repartition(n), 5, 4, 7) for n in (1, 3, 8)]
+    assert len(found[0]) == 5
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=1e-9)
+    sweeps = [
+        [tuple(r) for r in KM.kmeans_sweep(points.repartition(n), 2, 2, 3, 100).collect()] for n in (1, 8)
+    ]
+    assert sweeps[0] == [pytest.approx(row) for row in sweeps[1]]
+
+
+def test_kmeans_by_races_moves_to_means(cloud):
+    df, rows = cloud
+    centers = rows[[0, 1, 150]]
+    for _ in range(3):
+        which = brute(rows, centers)[0]
+        centers = np.array([rows[which == i].mean(0) for i in range(3)])
+    assert L.moved(df, rows[[0, 1, 150]], 3) == pytest.approx(centers)
+    assert L.moved(df, centers, 0) == pytest.approx(centers)
+    got = {r.id: r.cluster for r in KM.kmeans_assign(df, centers).collect()}
+    assert [got[i] for i in range(len(rows))] == brute(rows, centers)[0].tolist()
+
+
+def test_kmeans_by_races_on_few_points(spark):
+    assert len(KM.kmeans_centers(frame(spark, [(0,), (0,), (5,)]), 5, 3)) == 2
+    none = frame(spark, [(1, 2)]).limit(0)
+    assert KM.kmeans_centers(none, 2, 3) is None
+    assert [tuple(r) for r in KM.kmeans_sweep(none, 2, 1, 3, 10).collect()] == [(2, 0, None)]
+
+
+@pytest.mark.parametrize("start", KM.STARTS)
+def test_sweep(cloud, start):
     df, _ = cloud
-    rows = {r.k: r for r in KM.kmeans_sweep(df, 1, 4, 10, 10_000).collect()}
+    rows = {r.k: r for r in KM.kmeans_sweep(df, 1, 4, 10, 10_000, start=start).collect()}
     assert rows[1].silhouette is None and rows[1].centers == 1
     assert max((2, 3, 4), key=lambda k: rows[k].silhouette) == 3
     assert rows[3].silhouette > 0.9
-    with pytest.raises(ValueError):
-        KM.kmeans_sweep(df, 0, 1, 1, 1)
+    for wrong in ({"k_start": 0}, {"start": "other"}):
+        with pytest.raises(ValueError):
+            KM.kmeans_sweep(df, **{"k_start": 1, "h": 1, "rounds": 1, "sample": 1, **wrong})
 
 
 @pytest.mark.parametrize("offset", [0.0, 1e6, 1e12])
@@ -327,6 +360,19 @@ def test_picks_do_not_depend_on_how_many_turns_a_pass_prepares(
     assert got == [picks_by_definition(rows, 12, 3), picks_by_definition(rows, 7, 4)]
 
 
+def test_passes_look_further_ahead_the_more_centers_there_are(spark, monkeypatch):
+    rows = np.random.default_rng(5).normal(0, 1, (3000, 4))
+    df = frame(spark, rows).repartition(8, "id").cache()
+    passes, least = [], S._least
+    monkeypatch.setattr(S, "_least", lambda found: passes.append(1) or least(found))
+    got = S.seed_centers(df, 200, 3)
+    many = len(passes)
+    monkeypatch.setattr(S, "MOST_AHEAD", 0)
+    assert S.seed_centers(df, 200, 3) == got == picks_by_definition(rows, 200, 3)
+    assert 2 * many <= len(passes) - many
+    df.unpersist()
+
+
 def picks_by_definition(rows, k, seed):
     """One race over all rows per turn."""
     ids = [int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i in range(len(rows))]
