@@ -30,6 +30,7 @@ from murmura.operators import (
     silhouette,
     words,
 )
+from murmura.plans import programs
 from murmura.sources import lines, tables
 
 TOP = 20
@@ -66,6 +67,22 @@ def normalized_ratings(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(ratings.normalized_ratings(tables.reviews(spark, folder)))
 
 
+def normalized_ratings_light(spark: SparkSession, folder: str) -> DataFrame:
+    """As above with an order as the user: many users, each with few reviews."""
+    by_order = tables.table(spark, folder, "lineitem").select(
+        F.col("l_partkey").alias("product"),
+        F.col("l_orderkey").alias("user"),
+        F.col("l_quantity").alias("rating"),
+    )
+    return _rounded(ratings.normalized_ratings(by_order))
+
+
+def report_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The products rated best, as lines of a report."""
+    best = ratings.top_normalized(tables.reviews(spark, folder), TOP)
+    return programs.product_lines(best).select("product", "line")
+
+
 def _word_count(method: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: words.word_count(tables.documents(spark, folder), method, KEYS)
 
@@ -130,20 +147,21 @@ def _written_points(spark: SparkSession, folder: str, separator: str) -> DataFra
     return rows.select(F.array_join(pieces, separator).alias("value"))
 
 
+def _coordinates(rows: DataFrame) -> DataFrame:
+    """A row for each coordinate of the vectors ``x``, beside the other columns."""
+    rest = [c for c in rows.columns if c != "x"]
+    return rows.select(*rest, F.posexplode("x").alias("axis", "coordinate"))
+
+
 def parsed_points(spark: SparkSession, folder: str) -> DataFrame:
     parsed = lines.parse_points(_written_points(spark, folder, " "))
-    return parsed.select(
-        F.size("x").alias("d"), F.get("x", 0).alias("first"), F.get("x", 63).alias("last")
-    )
+    return _coordinates(parsed.select(F.size("x").alias("d"), F.get("x", 0).alias("first"), "x"))
 
 
 def parsed_labelled_points(spark: SparkSession, folder: str) -> DataFrame:
     parsed = lines.parse_labelled_points(_written_points(spark, folder, ","))
-    return parsed.select(
-        "cluster",
-        F.size("x").alias("d"),
-        F.get("x", 0).alias("first"),
-        F.get("x", 63).alias("last"),
+    return _coordinates(
+        parsed.select("cluster", F.size("x").alias("d"), F.get("x", 0).alias("first"), "x")
     )
 
 
@@ -188,6 +206,13 @@ def nearest_center(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(found.select("id", "cid", "d"))
 
 
+def nearest_center_low_dim(spark: SparkSession, folder: str) -> DataFrame:
+    """As above in the first three dimensions."""
+    points = tables.points(spark, folder).select("id", F.slice("x", 1, 3).alias("x"))
+    found = centers.nearest_center(points, centers.first_centers(points, K))
+    return _rounded(found.select("id", "cid", "d"))
+
+
 def vector_arithmetic(spark: SparkSession, folder: str) -> DataFrame:
     """Each vector against its own double less the unit vector: ``x`` and ``2x - 1``."""
     points = tables.points(spark, folder).select("id", F.col("x").cast("array<double>").alias("x"))
@@ -222,20 +247,16 @@ def _weighted_points(spark: SparkSession, folder: str) -> DataFrame:
     return tables.points(spark, folder).withColumn("w", F.col("id") % 5 + 1)
 
 
-def _exploded(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    return _rounded(rows.select("cid", F.posexplode("x").alias("axis", "coordinate")))
-
-
 def lloyd_step(spark: SparkSession, folder: str) -> DataFrame:
     points = _weighted_points(spark, folder)
-    return _exploded(spark, lloyd.lloyd_step(points, centers.first_centers(points, K)))
+    return _rounded(_coordinates(lloyd.lloyd_step(points, centers.first_centers(points, K))))
 
 
 def lloyd_centers(spark: SparkSession, folder: str) -> DataFrame:
     points = _weighted_points(spark, folder)
     refined = lloyd.lloyd(points, centers.first_centers(points, K), ROUNDS)
     rows = spark.createDataFrame(list(enumerate(refined.tolist())), "cid int, x array<double>")
-    return _exploded(spark, rows)
+    return _rounded(_coordinates(rows))
 
 
 def weighted_seeding(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,7 +268,7 @@ def weighted_seeding(spark: SparkSession, folder: str) -> DataFrame:
 
 def coreset_weights(spark: SparkSession, folder: str) -> DataFrame:
     core = coreset.coreset(tables.points(spark, folder), K, PARTS, ROUNDS, SEED)
-    return _rounded(core.select("id", "w", F.get("x", 0).alias("first")))
+    return _rounded(_coordinates(core.select("id", "w", "x")))
 
 
 def kmedian_coreset(spark: SparkSession, folder: str) -> DataFrame:
@@ -304,6 +325,8 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_normalized": top_normalized,
         "max_norm_rating": max_norm_rating,
         "normalized_ratings": normalized_ratings,
+        "normalized_ratings_light": normalized_ratings_light,
+        "report_lines": report_lines,
         "word_count": _word_count("plain"),
         "word_count_salted": _word_count("salted"),
         "word_count_partitioned": _word_count("partitioned"),
@@ -330,6 +353,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "silhouette_sample": silhouette_sample,
         "silhouette_points": silhouette_points,
         "nearest_center": nearest_center,
+        "nearest_center_low_dim": nearest_center_low_dim,
         "vector_arithmetic": vector_arithmetic,
         "center_weights": center_weights,
         "kmedian_objective": kmedian_objective,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from murmura.functions import kernels as K
 from murmura.functions.vectors import distance_to
-from murmura.session import cut_lineage
+from murmura.session import Chain
 
 # Coordinates of centers sent to a task at once, 32 MB.  More centers than
 # that take several passes.
@@ -75,14 +75,14 @@ def nearest_center(points: DataFrame, centers: np.ndarray) -> DataFrame:
 
     Of equally close centers the one with the smaller id is taken.
     """
-    found = points
+    found, chain = points, Chain()
     for number, (start, block) in enumerate(blocks(as_matrix(centers))):
         candidate = _nearest_in(start, block, F.col("x"))
         if number == 0:
             found = found.withColumn("_near", candidate)
         else:
             # One block of centers per job, so that no task holds them all.
-            found = cut_lineage(found).withColumn("_near", F.least("_near", candidate))
+            found = chain.cut(found).withColumn("_near", F.least("_near", candidate))
     return found.select(
         *points.columns, F.col("_near.cid").alias("cid"), F.col("_near.d").alias("d")
     )

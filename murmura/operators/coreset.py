@@ -16,7 +16,7 @@ from murmura.functions.uniform import row_state, uniform
 from murmura.operators import centers as C
 from murmura.operators.lloyd import lloyd, lloyd_runs, run_weights
 from murmura.operators.seeding import AHEAD, MOST_AHEAD, SENT, coordinates, seed_centers, seed_runs
-from murmura.session import cut_lineage
+from murmura.session import cut_lineage, scratch, taken
 
 # Coordinates of one part that a task holds at once, 64 MB.
 PART_DOUBLES = 8_000_000
@@ -135,17 +135,20 @@ def kmedian_coreset(
     The coreset is drawn once and written; seeding and refinement then run on
     it as on any weighted points, and the objective is taken on all points.
     """
-    core = cut_lineage(coreset(points, k, parts, rounds, seed))
-    picks = seed_centers(core, k, seed)
-    if not picks:
-        return points.sparkSession.createDataFrame(
-            [(0, 0, None)], "coreset_points bigint, centers int, objective double"
+    with scratch():
+        core = cut_lineage(coreset(points, k, parts, rounds, seed))
+        picks = seed_centers(core, k, seed)
+        if not picks:
+            return points.sparkSession.createDataFrame(
+                [(0, 0, None)], "coreset_points bigint, centers int, objective double"
+            )
+        centers = lloyd(core, coordinates(picks), rounds)
+        size = core.agg(F.count("*").alias("n")).scalar()
+        return taken(
+            C.objective(points, centers).select(
+                size.alias("coreset_points"), F.lit(len(centers)).alias("centers"), "objective"
+            )
         )
-    centers = lloyd(core, coordinates(picks), rounds)
-    size = core.agg(F.count("*").alias("n")).scalar()
-    return C.objective(points, centers).select(
-        size.alias("coreset_points"), F.lit(len(centers)).alias("centers"), "objective"
-    )
 
 
 def kmedian_trials(

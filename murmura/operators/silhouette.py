@@ -23,7 +23,7 @@ from murmura.functions import kernels as K
 from murmura.functions.uniform import uniform
 from murmura.operators.centers import BLOCK_DOUBLES
 from murmura.operators.per_key import join_per_key
-from murmura.session import cut_lineage
+from murmura.session import Chain, cut_lineage, scratch, taken
 
 EVERY_POINT = float("inf")
 # Sizes of that many clusters, about 1 MB, are broadcast when the bound is known.
@@ -115,12 +115,12 @@ def point_scores(points: DataFrame, moments: DataFrame) -> DataFrame:
     """``(id, cluster, a, b, score)`` of each point against the sampled clusters."""
     scored = points.select("id", "x", "cluster")
     no_value = F.lit(None).cast("double")
-    previous = None
+    previous, chain = None, Chain()
     for block in _blocks(moments):
         found = _parts(block, F.col("x"), F.col("cluster"))
         if previous is not None:
             # One block of clusters per job, so that no task holds them all.
-            scored = cut_lineage(previous)
+            scored = chain.cut(previous)
             found = F.struct(
                 F.coalesce("_ab.a", found["a"]).alias("a"),
                 F.least("_ab.b", found["b"]).alias("b"),
@@ -152,5 +152,20 @@ def mean_silhouette(
 def sample_silhouette(points: DataFrame, t: float, seed: int = 42) -> DataFrame:
     """``(silhouette, points)`` of the sample against itself, by its own sizes."""
     # Drawn once, then read for the moments and for the scores.
-    sample = cut_lineage(cluster_sample(points, t, seed).drop("size"))
-    return mean_silhouette(sample, EVERY_POINT)
+    with scratch():
+        sample = cut_lineage(cluster_sample(points, t, seed).drop("size"))
+        return taken(mean_silhouette(sample, EVERY_POINT))
+
+
+def sampled_and_exact(points: DataFrame, t: float, seed: int = 42) -> DataFrame:
+    """``(approximate, exact_of_sample)``: all points against one sample, and that sample against itself."""
+    points = points.select("id", "x", "cluster")
+    with scratch():
+        sample = cut_lineage(cluster_sample(points, t, seed))
+        approximate = point_scores(points, sample_moments(sample, t)).agg(F.avg("score").alias("s"))
+        exact = mean_silhouette(sample.drop("size"), EVERY_POINT)
+        return taken(
+            exact.select(
+                approximate.scalar().alias("approximate"), F.col("silhouette").alias("exact_of_sample")
+            )
+        )

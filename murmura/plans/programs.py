@@ -6,7 +6,7 @@ tables behind it are the operators' own results.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,32 +14,47 @@ from pyspark.sql import functions as F
 
 from murmura.functions.numbers import decimal_text
 from murmura.operators import coreset, kmeans, numbers, ratings, silhouette, words
+from murmura.session import taken
 from murmura.sources import lines
 
 
-def top_products(spark: SparkSession, path: str, top: int) -> DataFrame:
-    """``(product, max_norm, line)``: the best products of a file of reviews."""
-    best = ratings.top_normalized(lines.read_reviews(spark, path), top)
+def _from_parsed(parsed: DataFrame, report: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The report on ``parsed``, which is parsed once however often the report reads it.
+
+    A report has the few rows that were asked for.
+    """
+    parsed = parsed.persist()
+    try:
+        return taken(report(parsed))
+    finally:
+        parsed.unpersist()
+
+
+def product_lines(best: DataFrame) -> DataFrame:
+    """``(product, max_norm, line)`` of ranked products."""
     shown = F.concat(
-        F.lit("Product "),
-        F.col("product"),
-        F.lit(" maxNormRating "),
-        decimal_text(F.col("max_norm")),
+        F.col("product"), F.lit(": best normalized rating "), decimal_text(F.col("max_norm"))
     )
-    return best.withColumn("line", shown).orderBy(F.desc("max_norm"), "product")
+    return best.withColumn("line", shown)
+
+
+def top_products(spark: SparkSession, path: str, top: int) -> DataFrame:
+    """``(product, max_norm, line)``: the best products of a file of reviews."""
+    reviews = lines.read_reviews(spark, path).select("product", "user", "rating")
+    best = _from_parsed(reviews, lambda parsed: product_lines(ratings.top_normalized(parsed, top)))
+    return best.orderBy(F.desc("max_norm"), "product")
 
 
 def silhouettes(spark: SparkSession, path: str, t: float, seed: int = 42) -> DataFrame:
     """``(approximate, exact_of_sample)`` of a file of labelled points, with five decimals shown."""
-    points = lines.read_labelled_points(spark, path)
-    approximate = silhouette.mean_silhouette(points, t, seed).select("silhouette").scalar()
-    exact = silhouette.sample_silhouette(points, t, seed).select(
-        F.col("silhouette").alias("exact_of_sample")
+    scores = _from_parsed(
+        lines.read_labelled_points(spark, path),
+        lambda points: silhouette.sampled_and_exact(points, t, seed),
     )
-    return exact.select(approximate.alias("approximate"), "exact_of_sample").withColumn(
+    return scores.withColumn(
         "line",
         F.format_string(
-            "approxSilhFull = %.5f, exactSilhSample = %.5f", "approximate", "exact_of_sample"
+            "silhouette by the sample %.5f, of the sample %.5f", "approximate", "exact_of_sample"
         ),
     )
 
@@ -75,7 +90,7 @@ def histogram(spark: SparkSession, path: str) -> DataFrame:
     """``(hi, n, label, line)`` of a file of non-negative numbers."""
     table = numbers.normalized_histogram(lines.read_numbers(spark, path))
     return table.withColumn(
-        "line", F.format_string("Elements in %s: %d", "label", "n")
+        "line", F.format_string("%s holds %d", "label", "n")
     ).orderBy("hi")
 
 

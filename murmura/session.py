@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("_scope", default=None)
+
 
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
     """A session with adaptive execution on; ``settings`` win over the defaults.
@@ -34,8 +43,8 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``, or one set for the session before.
 
-    Only a local session may go without it and gets a temporary folder; a
-    cluster needs one that all executors share.
+    Only a local session may go without it and gets a temporary folder for as
+    long as the process runs; a cluster needs one that all executors share.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -44,11 +53,70 @@ def checkpoint_folder(spark: SparkSession) -> str:
             if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="murmura-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    try:
+        _remove(spark, folder)
+    except (Py4JError, OSError, AttributeError):
+        pass  # the JVM has gone before; its folder is the cluster's to clean
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    scope = _scope.get()
+    if scope is None:
+        atexit.register(_remove_at_exit, spark, folder)
+    else:
+        scope.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; later reads do not recompute it."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the checkpoint folder; later reads do not recompute it.
+
+    The table is removed at the end of the enclosing ``scratch``, or else with the process.
+    """
+    return _written(df)[0]
+
+
+class Chain:
+    """Cuts the lineage of one table after the other, each made from the one before, which is removed."""
+
+    def __init__(self) -> None:
+        self._last: str | None = None
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        found, folder = _written(df)
+        if self._last is not None:
+            _remove(df.sparkSession, self._last)
+        self._last = folder
+        return found
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written by ``cut_lineage`` inside are removed at the end; nothing may read them later."""
+    written: list[tuple[SparkSession, str]] = []
+    token = _scope.set(written)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for spark, folder in written:
+            _remove(spark, folder)
+
+
+def taken(df: DataFrame) -> DataFrame:
+    """The few rows of a result by themselves, computed now."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -12,9 +12,13 @@ TRIALS = 2
 SWEEP_KS = [2, 3, 4]
 
 REVIEWS = "SELECT l_partkey AS product, l_suppkey AS \"user\", l_quantity AS rating FROM lineitem"
-NORMALIZED = f"""
+def _normalized(reviews: str) -> str:
+    return f"""
     SELECT product, "user", rating, rating - avg(rating) OVER (PARTITION BY "user") AS norm
-    FROM ({REVIEWS})"""
+    FROM ({reviews})"""
+
+
+NORMALIZED = _normalized(REVIEWS)
 MAX_NORM = f"SELECT product, max(norm) AS max_norm FROM ({NORMALIZED}) GROUP BY product"
 
 OCCURRENCES = r"""
@@ -29,6 +33,7 @@ LABELLED = f"""
     SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, label AS cluster, size
     FROM embeddings JOIN ({SIZES}) s ON s.cluster = label"""
 POINTS = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+POINTS_3D = f"SELECT id, x[1:3] AS x FROM ({POINTS})"
 
 
 WORD = "18446744073709551616::UHUGEINT"
@@ -212,10 +217,12 @@ def _query(ctes: list[str], final: str) -> str:
     return "WITH " + ",".join(ctes) + final
 
 
-def _base(k: int, rounds: int, seed: int, w: str = "1.0::DOUBLE", grp: str = "0") -> str:
+def _base(
+    k: int, rounds: int, seed: int, w: str = "1.0::DOUBLE", grp: str = "0", points: str = POINTS
+) -> str:
     return f"""base AS MATERIALIZED (
         SELECT {grp} AS grp, id, x, {w} AS w, {k} AS k, {rounds} AS rounds, {seed} AS seed
-        FROM ({POINTS}))"""
+        FROM ({points}))"""
 
 
 def _kmeans_sweep(ks: list[int], rounds: int, sample: float, seed: int) -> str:
@@ -241,10 +248,10 @@ def _kmeans_sweep(ks: list[int], rounds: int, sample: float, seed: int) -> str:
     return _query(ctes, " UNION ALL ".join(scores))
 
 
-def _first_centers(k: int) -> str:
+def _first_centers(k: int, points: str = POINTS) -> str:
     return f"""first AS MATERIALIZED (
         SELECT 0 AS grp, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cid, x
-        FROM ({POINTS}) ORDER BY id LIMIT {k})"""
+        FROM ({points}) ORDER BY id LIMIT {k})"""
 
 
 AXES = """
@@ -253,9 +260,9 @@ AXES = """
 WEIGHT = "(id % 5 + 1)::DOUBLE"
 
 
-def _nearest_to_first(k: int, rounds: int, seed: int, final: str) -> str:
+def _nearest_to_first(k: int, rounds: int, seed: int, final: str, points: str = POINTS) -> str:
     near = _nearest("base", "first", "near")
-    return _query([_base(k, rounds, seed), _first_centers(k), near], final)
+    return _query([_base(k, rounds, seed, points=points), _first_centers(k, points), near], final)
 
 
 def _coreset(k: int, parts: int, rounds: int, seed: int) -> list[str]:
@@ -318,17 +325,25 @@ def statements(
 ) -> dict[str, str]:
     sampled = _sample(sample, seed)
     of_sample = f"least({float(sample)}, max(s.size))"
-    ends = """
+    top_rows = f"""
+    SELECT product, round(max_norm, 9) AS max_norm FROM ({MAX_NORM})
+    ORDER BY max_norm DESC, product LIMIT {top}"""
+    parsed = """
     SELECT {}CAST(len(embedding) AS INTEGER) AS d, embedding[1]::DOUBLE AS first,
-           embedding[64]::DOUBLE AS last
-    FROM embeddings"""
+           CAST(axis - 1 AS INTEGER) AS axis, embedding[axis]::DOUBLE AS coordinate
+    FROM embeddings, unnest(range(1, len(embedding) + 1)) AS dims(axis)"""
     return {
-        "top_normalized": f"""
-    SELECT product, round(max_norm, 9) AS max_norm FROM ({MAX_NORM})
-    ORDER BY max_norm DESC, product LIMIT {top}""",
+        "top_normalized": top_rows,
+        "report_lines": rf"""
+    SELECT product, product || ': best normalized rating ' ||
+           regexp_replace(printf('%.7f', max_norm), '(\.\d+?)0+$', '\1') AS line
+    FROM ({top_rows})""",
         "max_norm_rating": f"SELECT product, round(max_norm, 9) AS max_norm FROM ({MAX_NORM})",
         "normalized_ratings": f"""
     SELECT product, "user", rating, round(norm, 9) AS norm FROM ({NORMALIZED})""",
+        "normalized_ratings_light": f"""
+    SELECT product, "user", rating, round(norm, 9) AS norm
+    FROM ({_normalized('SELECT l_partkey AS product, l_orderkey AS "user", l_quantity AS rating FROM lineitem')})""",
         "word_count": COUNTS,
         "word_count_salted": COUNTS,
         "word_count_partitioned": COUNTS,
@@ -370,8 +385,8 @@ def statements(
     FROM lineitem""",
         "parsed_numbers": """
     SELECT value FROM events UNION ALL SELECT CAST(event_id AS DOUBLE) AS value FROM events""",
-        "parsed_points": ends.format(""),
-        "parsed_labelled_points": ends.format("label AS cluster, "),
+        "parsed_points": parsed.format(""),
+        "parsed_labelled_points": parsed.format("label AS cluster, "),
         "cluster_sizes": SIZES,
         "points_with_sizes": f"SELECT id, cluster, size FROM ({LABELLED})",
         "cluster_sample": f"SELECT id, cluster, size FROM ({sampled})",
@@ -384,6 +399,9 @@ def statements(
         "nearest_center": _nearest_to_first(
             k, rounds, seed, "\n    SELECT id, cid, round(d, 9) AS d FROM near"
         ),
+        "nearest_center_low_dim": _nearest_to_first(
+            k, rounds, seed, "\n    SELECT id, cid, round(d, 9) AS d FROM near", POINTS_3D
+        ),
         "vector_arithmetic": f"""
     SELECT id, round(d * d, 9) AS squared, round(d, 9) AS distance FROM (
         SELECT id, list_distance(x, list_transform(x, lambda p: 2 * p - 1)) AS d FROM ({POINTS}))""",
@@ -429,7 +447,9 @@ def statements(
         ),
         "coreset_weights": _query(
             _coreset(k, parts, rounds, seed),
-            "\n    SELECT id, w, round(x[1], 9) AS first FROM core",
+            """
+    SELECT id, w, CAST(axis - 1 AS INTEGER) AS axis, round(x[axis], 9) AS coordinate
+    FROM core, unnest(range(1, len(x) + 1)) AS dims(axis)""",
         ),
         "kmedian_coreset": _kmedian_coreset(k, parts, rounds, seed),
         "kmedian_trials": _trials(seed),

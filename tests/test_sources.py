@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from murmura import session
 from murmura.plans import programs
 from murmura.sources import lines as L
 
@@ -73,7 +76,7 @@ def test_documents_and_splits(spark, tmp_path):
 def test_top_products(spark, tmp_path):
     path = write(tmp_path, "P1,U1,5,1\nP2,U1,1,1\nP1,U2,4,1\nP3,U2,2,1\n")
     assert [r.line for r in programs.top_products(spark, path, 2).collect()] == [
-        "Product P1 maxNormRating 2.0", "Product P3 maxNormRating -1.0"
+        "P1: best normalized rating 2.0", "P3: best normalized rating -1.0"
     ]
 
 
@@ -88,7 +91,7 @@ def test_number_programs(spark, tmp_path):
     path = write(tmp_path, "1 2 3 4\n5 6 7 8 9 10\n")
     assert programs.sum_of_squares(spark, path).first()[0] == 385.0
     shown = [r.line for r in programs.histogram(spark, path).collect()]
-    assert shown[0] == "Elements in [0,0.1]: 1" and shown[-1] == "Elements in (0.9,1.0]: 1"
+    assert shown[0] == "[0,0.1] holds 1" and shown[-1] == "(0.9,1.0] holds 1"
 
 
 def test_clustering_programs(spark, tmp_path):
@@ -97,7 +100,7 @@ def test_clustering_programs(spark, tmp_path):
     plain = write(tmp_path, "".join(f"{x} {y}\n" for x, y in spots), "p.txt")
     row = programs.silhouettes(spark, labelled, 100).first()
     assert row.approximate == pytest.approx(row.exact_of_sample)
-    assert row.line.startswith("approxSilhFull = 0.9")
+    assert row.line.startswith("silhouette by the sample 0.9")
     assert [r.k for r in programs.sweep(spark, plain, 1, 3, 5, 100).collect()] == [1, 2, 3]
     assert programs.kmedian(spark, plain, 2, 2, 2).first().objective < 2
     trials = programs.kmedian_trials(spark, plain, [1, 2], [0, 2], 3).collect()
@@ -107,4 +110,47 @@ def test_clustering_programs(spark, tmp_path):
 def test_print_report(spark, tmp_path, capsys):
     path = write(tmp_path, "P1,U1,5,1\nP2,U1,1,1\n")
     programs.print_report(programs.top_products(spark, path, 1))
-    assert capsys.readouterr().out == "Product P1 maxNormRating 2.0\n"
+    assert capsys.readouterr().out == "P1: best normalized rating 2.0\n"
+
+
+def test_files_are_parsed_once(spark, tmp_path, monkeypatch):
+    reviews = write(tmp_path, "P1,U1,5,1\nP2,U1,1,1\n", "r.txt")
+    labelled = write(tmp_path, "".join(f"{i},{i % 2 * 9},{i % 2}\n" for i in range(6)), "l.txt")
+    leaves, run = [], programs.taken
+
+    def watched(df):
+        with_cache = df._jdf.queryExecution().withCachedData().collectLeaves()
+        leaves.extend(with_cache.apply(i).nodeName() for i in range(with_cache.size()))
+        return run(df)
+
+    monkeypatch.setattr(programs, "taken", watched)
+    assert programs.top_products(spark, reviews, 1).count() == 1
+    assert leaves and set(leaves) == {"InMemoryRelation"}
+    assert programs.silhouettes(spark, labelled, 10).first().approximate > 0.5
+
+
+def files_below(folder):
+    return [name for _, _, names in os.walk(folder) for name in names]
+
+
+def test_tables_between_steps_are_removed(spark, tmp_path):
+    folder = session.checkpoint_folder(spark).removeprefix("file:")
+    before = files_below(folder)
+    spots = [(0, 0), (0, 1), (9, 9), (9, 8), (0, 2), (8, 9)]
+    labelled = write(tmp_path, "".join(f"{x},{y},{int(x > 5)}\n" for x, y in spots), "l.txt")
+    plain = write(tmp_path, "".join(f"{x} {y}\n" for x, y in spots), "p.txt")
+    assert programs.kmedian(spark, plain, 2, 2, 2).first().centers == 2
+    assert programs.silhouettes(spark, labelled, 100).count() == 1
+    assert files_below(folder) == before
+
+
+def test_chain_keeps_one_table(spark):
+    folder = session.checkpoint_folder(spark).removeprefix("file:")
+    before = len(os.listdir(folder))
+    chain, rows = session.Chain(), spark.range(5)
+    with session.scratch():
+        for _ in range(3):
+            rows = chain.cut(rows.withColumn("id", F.col("id") + 1))
+            assert len(os.listdir(folder)) == before + 1
+        assert sorted(r.id for r in rows.collect()) == [3, 4, 5, 6, 7]
+    assert len(os.listdir(folder)) == before
