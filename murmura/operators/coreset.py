@@ -15,7 +15,7 @@ from murmura.functions import kernels as K
 from murmura.functions.uniform import row_state, uniform
 from murmura.operators import centers as C
 from murmura.operators.lloyd import lloyd, lloyd_runs, run_weights
-from murmura.operators.seeding import AHEAD, MOST_AHEAD, SENT, coordinates, seed_centers, seed_runs
+from murmura.operators.seeding import coordinates, seed_centers, seed_runs, vectors_held
 from murmura.session import cut_lineage, scratch, taken
 
 # Coordinates of one part that a task holds at once, 64 MB.
@@ -100,17 +100,12 @@ def coreset(
     return reduce(DataFrame.unionByName, done, held)
 
 
-def _held(k: int) -> int:
-    """Vectors of a run on the driver: its centers, and the candidates of a pass."""
-    return max(min(max(AHEAD, k), MOST_AHEAD) * SENT, k)
-
-
 def _by_passes(
     placed: DataFrame, large: list[int], width: int, k: int, rounds: int, seed: int, schema: str
 ) -> list[DataFrame]:
     """Centers of the ``large`` parts, each a run; as many share their passes as memory allows."""
     spark, done = placed.sparkSession, []
-    together = max(1, RUN_DOUBLES // (_held(k) * width))
+    together = max(1, RUN_DOUBLES // (vectors_held(k) * width))
     for start in range(0, len(large), together):
         batch = large[start : start + together]
         runs = spark.createDataFrame(list(zip(batch, range(len(batch)))), "part int, _run int")
@@ -189,7 +184,7 @@ def _objectives(points: DataFrame, runs: list[tuple[int, int, int]], seed: int)
     first = points.first()
     if first is None:
         return []
-    vectors = _held(max(k for k, _, _ in runs))
+    vectors = vectors_held(max(k for k, _, _ in runs))
     together = max(1, RUN_DOUBLES // (vectors * max(1, len(first.x))))
     outcome: list[tuple] = []
     for start in range(0, len(runs), together):

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.operators.centers import nearest_center
-from murmura.operators.lloyd import moved
-from murmura.operators.seeding import coordinates, seed_centers
+from murmura.operators.coreset import RUN_DOUBLES
+from murmura.operators.lloyd import moved_runs
+from murmura.operators.seeding import coordinates, seed_runs, vectors_held
 from murmura.operators.silhouette import mean_silhouette
 
 STARTS = ("race", "parallel")
@@ -34,14 +35,30 @@ def kmeans_fit(points: DataFrame, k: int, rounds: int, seed: int = 42) -> KMeans
     return KMeans(k=k, maxIter=rounds, seed=seed).fit(_featured(points).select("features"))
 
 
-def kmeans_centers(points: DataFrame, k: int, rounds: int, seed: int = 42) -> np.ndarray | None:
-    """Centers by the ``race`` start and at most ``rounds`` moves; None without points.
+def kmeans_runs(
+    points: DataFrame, ks: list[int], rounds: int, seed: int = 42
+) -> list[np.ndarray | None]:
+    """For each ``k`` centers by the ``race`` start and ``rounds`` moves; None without points.
 
-    There are fewer than ``k`` when the points have fewer places.
+    There are fewer than ``k`` when the points have fewer places.  As many runs
+    as memory allows share every pass.
     """
     points = points.select("id", "x")
-    picks = seed_centers(points, k, seed, power=2)
-    return moved(points, coordinates(picks), rounds) if picks else None
+    first = points.first()
+    if first is None:
+        return [None for _ in ks]
+    together = max(1, RUN_DOUBLES // (vectors_held(max(ks)) * max(1, len(first.x or []))))
+    found: list[np.ndarray | None] = []
+    for start in range(0, len(ks), together):
+        batch = ks[start : start + together]
+        picks = seed_runs(points, batch, [seed] * len(batch), power=2)
+        found += moved_runs(points, [coordinates(p) for p in picks], rounds)
+    return found
+
+
+def kmeans_centers(points: DataFrame, k: int, rounds: int, seed: int = 42) -> np.ndarray | None:
+    """``kmeans_runs`` for one ``k``."""
+    return kmeans_runs(points, [k], rounds, seed)[0]
 
 
 def kmeans_assign(points: DataFrame, model: KMeansModel | np.ndarray) -> DataFrame:
@@ -72,14 +89,13 @@ def kmeans_sweep(
     if start not in STARTS:
         raise ValueError(f"start must be one of {STARTS}")
     points = points.select("id", "x").persist()
-    found = []
+    ks = [k for k in range(k_start, k_start + h) if k > 1]
+    found = [(1, 1, None)] if k_start == 1 else []
     try:
-        for k in range(k_start, k_start + h):
-            if k == 1:
-                found.append((1, 1, None))
-                continue
+        by_races = dict(zip(ks, kmeans_runs(points, ks, rounds, seed))) if start == "race" and ks else {}
+        for k in ks:
             if start == "race":
-                model = kmeans_centers(points, k, rounds, seed)
+                model = by_races[k]
                 centers = 0 if model is None else len(model)
             else:
                 model = kmeans_fit(points, k, rounds, seed)

@@ -105,12 +105,17 @@ def lloyd(points: DataFrame, start: np.ndarray, rounds: int) -> np.ndarray:
     return lloyd_runs(points, [start], [rounds])[0]
 
 
-def moved(points: DataFrame, start: np.ndarray, rounds: int) -> np.ndarray:
-    """``start`` after ``rounds`` moves to the weighted means, whatever the cost; as k-means has it."""
-    points, centers = weighted(points), as_matrix(start)
+def moved_runs(points: DataFrame, starts: list[np.ndarray], rounds: int) -> list[np.ndarray]:
+    """Each start after ``rounds`` moves to the weighted means, whatever the cost; as k-means has it."""
+    points = weighted(points)
+    current = [as_matrix(start) for start in starts]
+    running = list(range(len(current)))
     for _ in range(rounds):
-        (after,), _ = _move(_pass(points, [None], [centers], [0]), [centers])
-        if np.array_equal(after, centers):
+        if not running:
             break
-        centers = after
-    return centers
+        before = [current[run] for run in running]
+        after, _ = _move(_pass(points, [None for _ in running], before, running), before)
+        current = [dict(zip(running, after)).get(run, c) for run, c in enumerate(current)]
+        # What stays now stays for ever.
+        running = [run for run, old in zip(running, before) if not np.array_equal(current[run], old)]
+    return current

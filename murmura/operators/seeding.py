@@ -94,6 +94,11 @@ def _ahead(chosen: int, k: int) -> int:
     return min(max(AHEAD, min(chosen, MOST_AHEAD)), k - chosen) if chosen else 1
 
 
+def vectors_held(k: int) -> int:
+    """Vectors of a run on the driver: its centers, and the candidates of a pass."""
+    return max(min(max(AHEAD, k), MOST_AHEAD) * SENT, k)
+
+
 def seed_runs(
     points: DataFrame, ks: list[int], seeds: list[int], power: int = 1
 ) -> list[Picks]:

@@ -312,8 +312,11 @@ def test_kmeans_by_races_moves_to_means(cloud):
     for _ in range(3):
         which = brute(rows, centers)[0]
         centers = np.array([rows[which == i].mean(0) for i in range(3)])
-    assert L.moved(df, rows[[0, 1, 150]], 3) == pytest.approx(centers)
-    assert L.moved(df, centers, 0) == pytest.approx(centers)
+    start = rows[[0, 1, 150]]
+    got = L.moved_runs(df, [start, start[:1]], 3)
+    assert got[0] == pytest.approx(centers)
+    assert got[1] == pytest.approx(rows.mean(0)[None])
+    assert L.moved_runs(df, [start], 0)[0] == pytest.approx(start)
     got = {r.id: r.cluster for r in KM.kmeans_assign(df, centers).collect()}
     assert [got[i] for i in range(len(rows))] == brute(rows, centers)[0].tolist()
 
