@@ -4,9 +4,11 @@ Only the histogram of piece lengths, at most ``capacity`` numbers, decides how
 sequences are composed: a configuration is a multiset of lengths that fits
 one.  The linear program "fewest configurations covering the histogram" is
 solved by multiplicative weights: lengths still badly covered weigh more, a
-knapsack by dynamic programming finds the configuration worth most, and so on.
-The solution is rounded down, and what is left is packed best fit, longest
-first, on the histogram too.  Pieces then find their sequence by their rank
+knapsack by dynamic programming finds the configurations worth most, steps are as
+wide as their scarcest length allows, and so on until every length is covered to
+``1 - TOLERANCE``.  The solution is rounded, and the program solved again for what is
+left, until that is at most ``REST`` of the tokens.  The rest is packed best fit,
+longest first, on the histogram too.  Pieces then find their sequence by their rank
 among pieces of the same length, without meeting each other.
 
 NULL texts count as empty; a document always has its end id, so it has a
@@ -15,6 +17,7 @@ piece.  Repeated rows are packed one by one.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,59 +30,105 @@ from murmura.llm import storage, tokens
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 200
+#: Steps in which a length is covered, times lengths: the fewer lengths, the smaller the steps.
+STEPS = 5_000
+FEWEST, MOST = 5, 200
+#: Every length is covered by the program but for this part.
+TOLERANCE = 0.02
+#: At most this part of the tokens is left to best fit.
+REST = 0.03
 
 Pattern = tuple[tuple[int, int], ...]
 """``(length, how many)`` of a sequence, longest first."""
 
 
-def knapsack(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of ``lengths`` (ascending) within ``capacity`` that is worth most."""
+def knapsacks(
+    worth: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int
+) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """For each room up to ``capacity``, what a filling can be worth and one such filling.
+
+    A filling lists places in ``lengths`` (ascending) and how many of each, a place
+    possibly several times, at most ``most`` in all.
+    """
+    chunks = []
+    for k in np.flatnonzero(worth > 0)[::-1].tolist():
+        left, count = min(int(most[k]), capacity // int(lengths[k])), 1
+        while left:
+            count = min(count, left)
+            chunks.append((k, count))
+            left, count = left - count, 2 * count
     best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if fit := fitting[room]:
-            values = best[room - lengths[:fit]] + worth[:fit]
-            top = int(values.argmax())
-            if values[top] > best[room]:
-                best[room], choice[room] = values[top], top
-    found: Counter = Counter()
-    room = capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            found[int(lengths[choice[room]])] += 1
-            room -= int(lengths[choice[room]])
-    return found
-
-
-def fractional(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[Pattern, float]:
-    """Configurations with the amounts in which they cover ``histogram`` about evenly."""
+    taken = np.zeros((len(chunks), capacity + 1), bool)
+    for row, (k, count) in zip(taken, chunks):
+        size = int(lengths[k]) * count
+        more = best[:-size] + worth[k] * count
+        np.greater(more, best[size:] * (1 + 1e-12), out=row[size:])
+        np.copyto(best[size:], more, where=row[size:])
+    room = np.arange(capacity + 1)
+    found: list[list[tuple[int, int]]] = [[] for _ in room]
+    for row, (k, count) in zip(taken[::-1], chunks[::-1]):
+        those = np.flatnonzero(row[room])
+        room[those] -= int(lengths[k]) * count
+        for place in those.tolist():
+            found[place].append((k, count))
+    return best, found
+
+
+def fractional(histogram: dict[int, int], capacity: int, steps: int | None = None) -> dict[Pattern, float]:
+    """Configurations with amounts that cover each length of ``histogram`` to ``1 - TOLERANCE`` at least, none beyond 1.
+
+    Every round takes up its best configuration, which covers ``1 / steps`` of a
+    length or all that it lacks: there are at most ``steps + 1`` rounds per length.
+    """
     lengths = np.array(sorted(histogram))
-    needed = np.array([histogram[x] for x in lengths], float)
-    share = max(1.0, float(lengths @ needed) / capacity) / rounds
-    rate = np.sqrt(np.log(len(lengths) + 1) * rounds) / 4
+    steps = steps or min(MOST, max(FEWEST, STEPS // len(lengths)))
+    # Smaller steps go with weights that tell more, and with configurations nearer to the best.
+    rate = math.sqrt(steps / FEWEST)
+    slack = 1 / math.sqrt(steps * FEWEST)
+    sizes, needed = lengths.tolist(), [float(histogram[x]) for x in lengths.tolist()]
     covered = np.zeros(len(lengths))
     amounts: dict[Pattern, float] = {}
-    for turn in range(rounds):
-        weights = np.exp(np.minimum(rate * (turn / rounds - covered / needed), 50.0))
+    while (covered < 1 - TOLERANCE).any():
         # Worth per token, so that weights steer and lengths do not.
-        found = knapsack(weights * lengths, lengths, capacity)
-        pattern = tuple(sorted(found.items(), reverse=True))
-        amounts[pattern] = amounts.get(pattern, 0.0) + share
-        for length, count in pattern:
-            covered[np.searchsorted(lengths, length)] += share * count
+        worth = np.where(covered < 1, np.exp(-rate * covered), 0.0) * lengths
+        best, fillings = knapsacks(worth, lengths, np.array(needed), capacity)
+        enough, worths, shares = (1 - slack) * best[-1], worth.tolist(), covered.tolist()
+        # The best configuration, then the best with each length, as long as they
+        # are still worth enough: worths only fall, so ``best`` bounds them from above.
+        with_one = worth + best[capacity - lengths]
+        places = np.argsort(-with_one, kind="stable")
+        places = places[(covered < 1)[places] & (with_one[places] >= enough)].tolist()
+        for place in (None, *places):
+            found: Counter = Counter() if place is None else Counter({place: 1})
+            for k, count in fillings[capacity if place is None else capacity - sizes[place]]:
+                found[k] += count
+            if sum(worths[k] * n for k, n in found.items()) < enough:
+                continue
+            if any(n > needed[k] or not worths[k] for k, n in found.items()):
+                continue
+            share = min(min(1 / steps, 1 - shares[k]) * needed[k] / n for k, n in found.items())
+            pattern = tuple((sizes[k], found[k]) for k in sorted(found, reverse=True))
+            amounts[pattern] = amounts.get(pattern, 0.0) + share
+            for k, n in found.items():
+                shares[k] += share * n / needed[k]
+                if shares[k] > 1 - 1e-9:
+                    shares[k] = 1.0
+                worths[k] = sizes[k] * math.exp(-rate * shares[k]) if shares[k] < 1 else 0.0
+        covered = np.array(shares)
     return amounts
 
 
 def rounded(amounts: dict[Pattern, float], histogram: dict[int, int]) -> tuple[Counter, dict[int, int]]:
-    """Whole configurations, as far as pieces suffice, and the pieces left over."""
+    """Whole configurations, as far as pieces suffice, and the pieces left over.
+
+    Amounts are rounded down, then up where the pieces of all lengths allow it,
+    largest fractions first.
+    """
     left, chosen = dict(histogram), Counter()
-    for pattern, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
-        times = min([int(amount), *(left[length] // count for length, count in pattern)])
+    down = [(p, int(x)) for p, x in sorted(amounts.items(), key=lambda x: (-x[1], x[0]))]
+    up = [(p, 1) for p, _ in sorted(amounts.items(), key=lambda x: (-(x[1] % 1), x[0]))]
+    for pattern, amount in down + up:
+        times = min([amount, *(left[length] // count for length, count in pattern)])
         if times:
             chosen[pattern] += times
             for length, count in pattern:
@@ -87,9 +136,22 @@ def rounded(amounts: dict[Pattern, float], histogram: dict[int, int]) -> tuple[C
     return chosen, {length: n for length, n in left.items() if n}
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
-    """Configurations by best fit, longest first; equal sequences are filled together."""
+def program(histogram: dict[int, int], capacity: int, steps: int | None = None) -> tuple[Counter, dict[int, int]]:
+    """Whole configurations by the program, solved again for what rounding leaves, and at most ``REST`` of the tokens left over."""
+    tokens_ = lambda x: sum(length * n for length, n in x.items())
+    chosen, left, most = Counter(), histogram, REST * tokens_(histogram)
+    while left and tokens_(left) > most:
+        # The first configuration rounded up always fits, as none asks for more than there is.
+        found, left = rounded(fractional(left, capacity, steps), left)
+        chosen += found
+    return chosen, left
+
+
+def best_fit(histogram: dict[int, int], capacity: int, begun: Counter = Counter()) -> Counter:
+    """``begun`` and what else it takes, filled by best fit, longest first; equal sequences are filled together."""
     open_: dict[int, dict[Pattern, int]] = {}  # by room left
+    for pattern, times in begun.items():
+        open_.setdefault(capacity - sum(a * n for a, n in pattern), {})[pattern] = times
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
@@ -117,18 +179,15 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return Counter({p: n for group in open_.values() for p, n in group.items()})
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Counter:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int | None = None) -> Counter:
     """Whole configurations that hold exactly the pieces of ``histogram``."""
     histogram = {length: n for length, n in histogram.items() if n}
     if not histogram:
         return Counter()
     if min(histogram) < 1 or max(histogram) > capacity:
         raise ValueError(f"a piece must have 1 to {capacity} tokens")
-    chosen, left = rounded(fractional(histogram, capacity, rounds), histogram)
-    linear = chosen + best_fit(left, capacity)
-    greedy = best_fit(histogram, capacity)
-    # The program's rounding can lose where there are few sequences.
-    return min(linear, greedy, key=lambda x: x.total())
+    chosen, left = program(histogram, capacity, steps)
+    return best_fit(left, capacity, chosen)
 
 
 def slots(patterns: Counter) -> dict[str, np.ndarray]:

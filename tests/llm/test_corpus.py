@@ -247,6 +247,36 @@ def test_plan_holds_exactly_the_histogram(seed):
     assert held == collections.Counter(histogram)
 
 
+def spread(seed, lengths, capacity):
+    """A histogram of many lengths, most of them rare, and of full pieces."""
+    draw = np.random.Generator(np.random.PCG64(seed))
+    counts = collections.Counter(np.minimum(draw.lognormal(5.5, 1.3, 6 * lengths), capacity).astype(int).tolist())
+    return {length: n for length, n in counts.items() if length}
+
+
+@pytest.mark.parametrize(("seed", "lengths", "capacity"), [(0, 30, 2048), (1, 300, 2048), (2, 200, 256)])
+def test_program_covers_every_length_and_places_most_tokens(seed, lengths, capacity):
+    histogram = spread(seed, lengths, capacity)
+    tokens_ = sum(length * n for length, n in histogram.items())
+    covered = collections.Counter()
+    amounts = packing.fractional(histogram, capacity)
+    for pattern, amount in amounts.items():
+        for length, n in pattern:
+            covered[length] += amount * n
+    assert all(0.98 * n <= covered[length] + 1e-6 <= n + 2e-6 for length, n in histogram.items())
+    assert sum(amounts.values()) <= 1.03 * tokens_ / capacity + 1
+    chosen, left = packing.program(histogram, capacity)
+    placed = sum(length * n * times for pattern, times in chosen.items() for length, n in pattern)
+    assert placed >= 0.97 * tokens_
+    assert placed + sum(length * n for length, n in left.items()) == tokens_
+    # What the program has composed stays; best fit only adds to it.
+    kept = collections.Counter()
+    for pattern, times in packing.plan(histogram, capacity).items():
+        kept[pattern] += times
+    assert sum(min(n, kept[p]) for p, n in chosen.items()) >= 0.8 * chosen.total()
+    assert kept.total() <= 1.02 * tokens_ / capacity + 1
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (7, 4), (20, 21), (5, 5)] + [(k, k + 1) for k in range(100, 160)]
     got = dict(components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
