@@ -338,6 +338,55 @@ def test_contamination(spark, awkward, empty):
     assert all(r.similarity >= 0.75 for r in run(spark, "op4_decontamination"))
 
 
+def passages(docs, items):
+    """``{(doc_id, item_id): (similarity, first_word, n_words)}`` by all windows of all documents that share a shingle."""
+    def shingled(w):
+        return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+    split = lambda text: words((text or "").translate(LOW))
+    benchmark = {k: (len(split(t)), collections.Counter(shingled(split(t)))) for k, t in items}
+    holders = collections.defaultdict(set)
+    for k, (_, counts) in benchmark.items():
+        for x in counts:
+            holders[x].add(k)
+    found = {}
+    for doc, text in docs:
+        w = split(text)
+        whole = shingled(w)
+        for item in sorted(set().union(*(holders.get(x, ()) for x in whole))):
+            size, wanted = benchmark[item]
+            n = min(size, len(w))
+            width, have, shared = max(1, n - 4), collections.Counter(), 0
+            for i, x in enumerate(whole):
+                shared += have[x] < wanted.get(x, 0)
+                have[x] += 1
+                if i >= width:
+                    gone = whole[i - width]
+                    have[gone] -= 1
+                    shared -= have[gone] < wanted.get(gone, 0)
+                if i >= width - 1:
+                    alike = shared / (width + wanted.total() - shared)
+                    if 100 * alike >= 75 and alike > found.get((doc, item), (0,))[0]:
+                        found[doc, item] = (alike, i - width + 1, n)
+    return found
+
+
+def test_contamination_is_that_of_all_windows(spark, documents):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    want = passages(documents.items(), items)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in run(spark, "op4_decontamination")}
+    assert want and got == {k: (round(a, 9), b, c) for k, (a, b, c) in want.items()}
+    # Passages near the threshold: a run of words changed at different places.
+    w = [f"i{k}" for k in range(60)]
+    rows = [(at, " ".join(["before"] * 7 + w[:at] + ["x"] * n + w[at + n :] + ["after"] * 3)) for at, n in ((8, 1), (20, 2), (30, 3), (40, 4))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one = spark.createDataFrame([(7, " ".join(w))], "item_id bigint, text string")
+    want = passages(rows, [(7, " ".join(w))])
+    assert any(0.75 <= x[0] <= 0.8 for x in want.values())
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in decontamination.contaminated(docs, one).collect()}
+    assert got == want
+
+
 def test_grammar():
     model = toxicity.Model(frozenset({"fool"}), frozenset({"scoun"}))
     events = lambda text: [dict(c) for _, _, c in model.clauses(text)]
