@@ -82,13 +82,13 @@ def _of_strings(strings: set[bytes]) -> Query:
 
 
 def _letters(items: list) -> set[bytes] | None:
-    """The characters of a small class, in lower case."""
+    """The characters of a small class, A-Z in lower case, as bytes of texts are indexed."""
     found = set()
     for kind, value in items:
         low, high = value if kind is codes.RANGE else (value, value)
         if kind not in (codes.LITERAL, codes.RANGE) or high - low > 8:
             return None
-        found |= {chr(x).lower().encode() for x in range(low, high + 1)}
+        found |= {chr(x).encode().lower() for x in range(low, high + 1)}
     return found if len(found) <= 8 else None
 
 
@@ -111,7 +111,7 @@ def _walk(items: list, strings: set[bytes]) -> tuple[set[bytes], bool, Query]:
 
     for kind, value in items:
         if kind is codes.LITERAL:
-            spelled({chr(value).lower().encode()})
+            spelled({chr(value).encode().lower()})
         elif kind is codes.IN and (letters := _letters(value)):
             spelled(letters)
         elif kind in (codes.SUBPATTERN, codes.ATOMIC_GROUP):

@@ -172,6 +172,14 @@ def test_trigram_queries():
     assert secret_scan.trigrams(secret_scan.trigram_query("(abc|xyz)?def")) >= {b"def"}
 
 
+def test_rules_with_capitals_beyond_ascii(spark):
+    rules = (secret_scan.Rule("word", "Äpfel[0-9]+"), secret_scan.Rule("class", "[ÄÖ]bcd"))
+    rows = [(1, "xx Äpfel12 yy"), (2, "Öbcd äpfel1"), (3, "äpfel1 öbcd")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in secret_scan.scan(docs, rules).collect()}
+    assert got == {1: [("word", 3, 10)], 2: [("class", 0, 4)], 3: []}
+
+
 def test_tokens_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
