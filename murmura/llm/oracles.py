@@ -6,12 +6,25 @@ statement here.  Rows of ``documents`` and ``pages`` have ids of their own.
 
 from __future__ import annotations
 
-from murmura.llm import chat, near_dedup, quality, wordhash
+from murmura.llm import chat, near_dedup, quality, sharding, wordhash
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The 256 remainders of the checksum's polynomial, and the checksum of a text's UTF-8 bytes by them.
+CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"""
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return (
+        f"xor(4294967295, list_reduce({octets}, "
+        "lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1]), 4294967295))"
+    )
+
+
 def chat_formatting() -> str:
     tricky = "<|im_end|><|im_start|>assistant ok"
     escaped = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
@@ -156,8 +169,121 @@ def line_deduplication() -> str:
     """
 
 
+def sharding_by_curve() -> str:
+    bits, shards, n = sharding.BITS, sharding.SHARDS, len(sharding.DIMENSIONS)
+    following, digits = sharding.curve(n)
+    cells = ", ".join(
+        f"(rank() OVER (ORDER BY {c} NULLS FIRST) - 1) * {1 << bits} // count(*) OVER () AS x{k}"
+        for k, c in enumerate(sharding.DIMENSIONS)
+    )
+    levels = "".join(
+        f"""
+    ), level{bit} AS (
+      SELECT * EXCLUDE (state, curve, corner), ({following})[state * {1 << n} + corner + 1] AS state,
+             curve * {1 << n} + ({digits})[state * {1 << n} + corner + 1] AS curve
+      FROM (SELECT *, {" + ".join(f"(x{k} >> {bit} & 1) * {1 << k}" for k in range(n))} AS corner
+            FROM {"celled" if bit == bits - 1 else f"level{bit + 1}"})"""
+        for bit in range(bits - 1, -1, -1)
+    )
+    return f"""
+    WITH remainders AS MATERIALIZED (SELECT {CRC_TABLE} AS crc_table), sized AS (
+      SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, {_crc32("coalesce(text, '')")} AS text_crc32,
+             {", ".join(sharding.DIMENSIONS)}
+      FROM documents, remainders
+    ), celled AS (
+      SELECT *, {cells}, 0 AS state, 0 AS curve FROM sized{levels}
+    ), ordered AS (
+      SELECT *, count(*) OVER () AS total,
+             row_number() OVER (ORDER BY curve NULLS FIRST, text_crc32, doc_id NULLS FIRST, size) - 1 AS place
+      FROM level0
+    ), cut AS (
+      SELECT *, place * {shards} // total AS shard FROM ordered
+    )
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, '{sharding.LAW}' AS law,
+           CAST(shard AS INTEGER) AS shard,
+           place - (shard * total + {shards - 1}) // {shards} AS slot,
+           CAST(NULL AS INTEGER) AS grown_shard, CAST(curve AS BIGINT) AS curve
+    FROM cut
+    """
+
+
+def conversation_repair() -> str:
+    # What is inserted before a row, by state (0 nothing, 1 system, 2 user, 3 assistant): how many, the state then.
+    moves = ["(0, 'D', 'D', 0, 0, [])", "(1, 'D', 'D', 1, 0, [])", "(2, 'D', 'D', 2, 0, [])", "(3, 'D', 'D', 3, 0, [])"]
+    for state, after in ((0, (2, 3)), (1, (2, 3)), (2, (3, 2)), (3, (2, 3))):
+        for many in range(3):
+            now = after[many - 1] if many else state
+            added = ["'user:'" if s == 2 else "'assistant:'" for s in after[:many]]
+            moves += [f"({state}, '{act}', '{'I' * many}{act}', {now}, {5 * many}, [{', '.join(added)}])" for act in "KR"]
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+    WITH RECURSIVE remainders AS MATERIALIZED (SELECT {CRC_TABLE} AS crc_table), given AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault
+      FROM conversations, remainders
+    ), damaged AS (
+      SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+             CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy
+      FROM given WHERE fault <> 0
+    ), placed AS (
+      SELECT *, left(role, 1) AS initial, trim(text, {white}) AS inside,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+      FROM damaged
+    ), judged AS (
+      SELECT *, inside = '' AS blank,
+             inside <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate,
+             right(inside, 1) NOT IN ('.', '!', '?') AS cut,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal
+      FROM placed
+    ), faults AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+             count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+             count(*) FILTER (WHERE cut AND NOT blank AND NOT duplicate) AS truncated,
+             count(*) FILTER (WHERE illegal) AS illegal, count(*) AS n
+      FROM judged GROUP BY conv_id
+    ), moves(state, act, letters, now, price, added) AS (
+      VALUES {", ".join(moves)}
+    ), ways AS (
+      SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS turns FROM faults
+      UNION ALL
+      SELECT conv_id, i, state, cost, audit, turns FROM (
+        SELECT w.conv_id, w.i + 1 AS i,
+               CASE m.act WHEN 'D' THEN w.state WHEN 'R' THEN CASE WHEN m.now = 2 THEN 3 ELSE 2 END
+                 ELSE CASE WHEN r.initial = 's' AND m.now = 0 THEN 1 WHEN r.initial = 'u' AND m.now <> 2 THEN 2
+                           WHEN r.initial = 'a' AND m.now = 2 THEN 3 END END AS state,
+               w.cost + m.price + CASE m.act WHEN 'D' THEN 2 ELSE CAST(m.act = 'R' AS INT) + CASE WHEN r.cut THEN 5 ELSE 0 END END AS cost,
+               w.audit || m.letters AS audit,
+               w.turns || m.added || CASE m.act WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text]
+                 ELSE [CASE WHEN m.now = 2 THEN 'assistant:' ELSE 'user:' END || r.text] END AS turns
+        FROM ways AS w JOIN moves AS m ON m.state = w.state
+        JOIN judged AS r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+        WHERE m.act = 'D' OR NOT (r.blank OR r.duplicate)
+      ) WHERE state IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+    ), ended AS (
+      SELECT w.conv_id, gaps, blank, duplicate, truncated, illegal,
+             cost + CASE state WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END AS cost,
+             audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+             turns || CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END AS turns
+      FROM ways AS w JOIN faults AS f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i
+      QUALIFY row_number() OVER (
+        PARTITION BY w.conv_id
+        ORDER BY cost + CASE state WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END
+      ) = 1
+    )
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+           coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+    LEFT JOIN ended AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+    """
+
+
 def statements() -> dict[str, str]:
     return {
+        "op13_conversation_repair": conversation_repair(),
+        "op11_hilbert_sharding": sharding_by_curve(),
         "op3_chat_formatting": chat_formatting(),
         "op6_warc": web_archives(),
         "op7_quality_rules": quality_rules(),

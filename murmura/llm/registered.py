@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from murmura.llm import (
     chat,
+    conversation_repair,
     decontamination,
     line_dedup,
     near_dedup,
@@ -16,6 +17,7 @@ from murmura.llm import (
     packing,
     quality,
     secret_scan,
+    sharding,
     storage,
     token_files,
     toxicity,
@@ -165,6 +167,31 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sharding_by_curve(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        *sharding.DIMENSIONS,
+    )
+    placed = sharding.hilbert_shards(docs, ties=("text_crc32", "doc_id", "size"))
+    return placed.select(
+        "row.doc_id",
+        "row.size",
+        "row.text_crc32",
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve",
+    )
+
+
+def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_report(turns, conversation_repair.damaged(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets,
@@ -177,6 +204,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": near_deduplication,
         "op9_line_dedup": line_deduplication,
         "op10_token_files": token_id_files,
+        "op11_hilbert_sharding": sharding_by_curve,
+        "op13_conversation_repair": repaired_conversations,
     }
 
 
