@@ -280,8 +280,47 @@ def conversation_repair() -> str:
     """
 
 
+def spelling_variants() -> str:
+    return rf"""
+    WITH RECURSIVE remainders AS MATERIALIZED (SELECT {CRC_TABLE} AS crc_table), runs AS (
+      SELECT doc_id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+      GROUP BY ALL
+    ), hashed AS (
+      SELECT run, n, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, remainders
+    ), words AS (
+      SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+             CAST(sum(n) AS BIGINT) AS n
+      FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+    ), shorter AS (
+      SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), pairs AS (
+      SELECT a.word, b.word AS near, b.n AS near_n
+      FROM shorter AS a JOIN shorter AS b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT shorter.word, words.word, words.n FROM shorter JOIN words ON less = words.word
+      UNION SELECT words.word, shorter.word, shorter.n FROM shorter JOIN words ON less = words.word
+    ), best AS (
+      SELECT word, count(*) OVER (PARTITION BY word) AS n_near, near, near_n FROM pairs
+      QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+    ), formed AS (
+      SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+             CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+      FROM words LEFT JOIN best USING (word)
+    ), led AS (
+      SELECT word, word AS root FROM formed
+      UNION ALL
+      SELECT led.word, formed.form FROM led JOIN formed ON formed.word = led.root WHERE form IS NOT NULL
+    ), ends AS (
+      SELECT led.word, led.root FROM led JOIN formed ON formed.word = led.root WHERE formed.form IS NULL
+    )
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+    """
+
+
 def statements() -> dict[str, str]:
     return {
+        "op12_spelling_variants": spelling_variants(),
         "op13_conversation_repair": conversation_repair(),
         "op11_hilbert_sharding": sharding_by_curve(),
         "op3_chat_formatting": chat_formatting(),

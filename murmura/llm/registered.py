@@ -18,6 +18,7 @@ from murmura.llm import (
     quality,
     secret_scan,
     sharding,
+    spelling,
     storage,
     token_files,
     toxicity,
@@ -187,6 +188,10 @@ def sharding_by_curve(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_documents(spark, folder))
+
+
 def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_repair.repair_report(turns, conversation_repair.damaged(turns))
@@ -205,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_deduplication,
         "op10_token_files": token_id_files,
         "op11_hilbert_sharding": sharding_by_curve,
+        "op12_spelling_variants": spelling_variants,
         "op13_conversation_repair": repaired_conversations,
     }
 
