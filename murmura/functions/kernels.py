@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ Batches = Iterator[pa.RecordBatch]
 # Rows compared at once, and cells of the matrix of their distances, so that
 # intermediate results stay in the cache and bounded for any number of centers.
 TILE_ROWS = 4096
+# Clusters that a silhouette passes over together.
+TOGETHER = 8
 TILE_CELLS = 2_000_000
 
 # Increment and multipliers of the splitmix64 generator.
@@ -191,27 +194,34 @@ def race(
     Turn 0 is the pick after those chosen.  Per run and turn the ``kept`` rows
     of least arrival time come out as ``(run, turn, id, x, w, draw, bound,
     beyond)``: ``bound`` is the time with the centers chosen so far, and
-    ``beyond`` the least bound of the rows left out.
+    ``beyond`` the least bound of the rows left out.  Rows that bring ``d``, the
+    distance to the nearest of those chosen, are compared with none; an entry of
+    ``chosen_of_run`` may then be how many there are.
     """
 
+    def chance_of(points: np.ndarray, weights: np.ndarray, known: np.ndarray | None, chosen: object) -> np.ndarray | None:
+        return chances(points, weights, chosen, power) if known is None else weights * known**power
+
     def run_race(batches: Batches) -> Batches:
         least: dict[tuple[int, int], list[tuple]] = {}
-        width = next((chosen.shape[1] for chosen in chosen_of_run if len(chosen)), None)
+        width = next((c.shape[1] for c in chosen_of_run if not isinstance(c, int) and len(c)), None)
         for batch in batches:
             if len(batch) == 0:
                 continue
             points, states = matrix(batch.column("x"), width), _states(batch)
             width = points.shape[1]
             weights, ids = _weights(batch), batch.column("id")
+            known = batch.column("d").to_numpy(zero_copy_only=False) if "d" in batch.schema.names else None
             for run, (chosen, turns) in enumerate(zip(chosen_of_run, turns_of_run)):
                 own = _of_run(batch, numbers[run])
                 if len(own) == 0:
                     continue
                 theirs = points[own]
-                chance = chances(theirs, weights[own], chosen, power)
+                chance = chance_of(theirs, weights[own], None if known is None else known[own], chosen)
                 draw_of = draws(states[own], seeds[run])
+                count = chosen if isinstance(chosen, int) else len(chosen)
                 for turn in range(turns):
-                    draw = draw_of(len(chosen) + turn)
+                    draw = draw_of(count + turn)
                     keys = arrivals(draw, chance)
                     held = least.setdefault((run, turn), [])
                     limit = held[-1][0] if len(held) > kept else np.inf
@@ -320,13 +330,45 @@ def mean_distances(centers_of_run: list[np.ndarray]) -> Callable[[Batches], Batc
     return run_mean
 
 
+def place_of(labels: pa.Array, clusters: list) -> np.ndarray:
+    """Where each label stands among ``clusters``, NULL being a label too; -1 for those that do not."""
+    known = pa.array(clusters, labels.type)
+    return pc.fill_null(pc.index_in(labels, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
+class Balls(NamedTuple):
+    """Clusters in groups by their means: a center and a radius each, and the least values that bound a score."""
+
+    members: list[np.ndarray]
+    centers: np.ndarray
+    radii: np.ndarray
+    spreads: np.ndarray
+    ratios: np.ndarray
+
+
+def balls(means: np.ndarray, spreads: np.ndarray, ratios: np.ndarray) -> Balls:
+    """Groups of about ``TOGETHER`` clusters with means close to each other."""
+    many = max(1, len(means) // TOGETHER)
+    centers = means[np.linspace(0, len(means) - 1, many).astype(int)]
+    which, _ = nearest(means, centers)
+    for _ in range(2):
+        _, moved = weighted_means(means, np.ones(len(means)), which, len(centers))
+        centers = moved[np.unique(which)]
+        which, _ = nearest(means, centers)
+    members = [m for m in (np.flatnonzero(which == g) for g in range(len(centers))) if len(m)]
+    centers = np.array([means[m].mean(axis=0) for m in members])
+    radii = np.array([np.sqrt(square_distance(means[m], c).max()) for m, c in zip(members, centers)])
+    least = lambda values: np.array([values[m].min() for m in members])
+    return Balls(members, centers, radii, least(spreads), least(ratios))
+
+
 def silhouette_parts(
     points: np.ndarray,
     own: np.ndarray,
-    clusters: np.ndarray,
     means: np.ndarray,
     spreads: np.ndarray,
     ratios: np.ndarray,
+    groups: Balls,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Average square distance to the own cluster, and the least one to another.
 
@@ -334,17 +376,55 @@ def silhouette_parts(
     square distance to their mean plus their spread (mean square distance from
     the mean); ``ratios`` holds ``n`` over the divisor.  NaN where the block
     of clusters has no answer.
+
+    A point is at least as far from a mean as from its group's center less the
+    group's radius.  It meets the group for which that bounds its value least, and
+    then only groups whose bound is not above its least value so far.
     """
     a = np.full(len(points), np.nan)
-    b = np.full(len(points), np.nan)
-    for cluster, mean, spread, ratio in zip(clusters, means, spreads, ratios):
-        average = ratio * (square_distance(points, mean) + spread)
-        mine = own == cluster
-        a[mine] = average[mine]
-        b[~mine] = np.fmin(b[~mine], average[~mine])
+    b = np.full(len(points), np.inf)
+    rows = max(1, TILE_CELLS // len(groups.members))
+    for first in range(0, len(points), rows):
+        tile = slice(first, first + rows)
+        _silhouette_tile(points[tile], own[tile], means, spreads, ratios, groups, a[tile], b[tile])
+    b[np.isinf(b)] = np.nan
     return a, b
 
 
+def _silhouette_tile(
+    points: np.ndarray,
+    own: np.ndarray,
+    means: np.ndarray,
+    spreads: np.ndarray,
+    ratios: np.ndarray,
+    groups: Balls,
+    a: np.ndarray,
+    b: np.ndarray,
+) -> None:
+    inside = np.flatnonzero(own >= 0)
+    gap = points[inside] - means[own[inside]]
+    a[inside] = ratios[own[inside]] * (np.einsum("ij,ij->i", gap, gap) + spreads[own[inside]])
+    bounds = np.empty((len(points), len(groups.members)))
+    for g, center in enumerate(groups.centers):
+        clear = np.maximum(np.sqrt(square_distance(points, center)) - groups.radii[g], 0.0)
+        # A little less, so that rounding loses no cluster.
+        bounds[:, g] = (1 - 1e-9) * groups.ratios[g] * (clear * clear * (1 - 1e-9) + groups.spreads[g])
+    first = bounds.argmin(axis=1)
+
+    def meet(there: np.ndarray, group: int) -> None:
+        for cluster in groups.members[group].tolist():
+            others = there[own[there] != cluster]
+            value = ratios[cluster] * (square_distance(points[others], means[cluster]) + spreads[cluster])
+            b[others] = np.fmin(b[others], value)
+
+    for group in np.unique(first).tolist():
+        meet(np.flatnonzero(first == group), group)
+    for group in range(len(groups.members)):
+        there = np.flatnonzero((bounds[:, group] <= b) & (first != group))
+        if len(there):
+            meet(there, group)
+
+
 def seed_in_memory(points: np.ndarray, states: np.ndarray, seed: int, k: int) -> np.ndarray:
     """Seeding of one bounded block of points of equal weight."""
     draw_of = draws(states, seed)
@@ -377,34 +457,20 @@ def refine_in_memory(points: np.ndarray, centers: np.ndarray, rounds: int) -> np
     return centers
 
 
-def summarize_part(
-    part: str, batches: Batches, k: int, rounds: int, seed: int, block_doubles: float
-) -> Batches:
-    """A part's rows ``(x, state)`` to its weighted centers ``(id, x, w)``.
-
-    A part that turns out larger than a block is summarized block by block:
-    the union of their centers summarizes the part.
-    """
-
-    def summary(number: int, points: np.ndarray, states: np.ndarray) -> pa.RecordBatch:
+def summarize_part(part: str, batches: Batches, k: int, rounds: int, seed: int) -> Batches:
+    """A part's rows ``(x, state)`` to its weighted centers ``(id, x, w)``."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    width = None
+    for batch in batches:
+        if len(batch):
+            held.append((matrix(batch.column("x"), width), _states(batch)))
+            width = held[-1][0].shape[1]
+    if held:
+        points, states = map(np.concatenate, zip(*held))
         centers = refine_in_memory(points, seed_in_memory(points, states, seed, k), rounds)
         which, _ = nearest(points, centers)
         weights = np.bincount(which, minlength=len(centers)).astype(np.float64)
-        names = [f"{part}:{number}:{index}" for index in range(len(centers))]
-        return pa.RecordBatch.from_arrays(
+        names = [f"{part}:0:{index}" for index in range(len(centers))]
+        yield pa.RecordBatch.from_arrays(
             [pa.array(names), vectors(centers), pa.array(weights)], names=["id", "x", "w"]
         )
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    doubles, number, width = 0, 0, None
-    for batch in batches:
-        if len(batch) == 0:
-            continue
-        held.append((matrix(batch.column("x"), width), _states(batch)))
-        width = held[-1][0].shape[1]
-        doubles += held[-1][0].size
-        if doubles >= block_doubles:
-            yield summary(number, *map(np.concatenate, zip(*held)))
-            held, doubles, number = [], 0, number + 1
-    if held:
-        yield summary(number, *map(np.concatenate, zip(*held)))

@@ -8,6 +8,7 @@ clustering, ``k`` vectors, and do not grow with the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,36 @@ def blocks(centers: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(start, centers[start : start + size]) for start in range(0, len(centers), size)]
 
 
+def fit_a_pass(centers_of_run: Sequence[np.ndarray]) -> bool:
+    """Whether all these centers may go to a task at once."""
+    return sum(c.size for c in centers_of_run) <= BLOCK_DOUBLES
+
+
+def _gap_in(start: int, centers: np.ndarray, x: Column, which: Column) -> Column:
+    """Distance to the center of a block whose number is given, NULL where that is not in the block."""
+    matrix = K.matrix
+
+    @F.arrow_udf("double")
+    def distance(column: pa.Array, given: pa.Array) -> pa.Array:
+        at = given.to_numpy(zero_copy_only=False) - start
+        here = (at >= 0) & (at < len(centers))
+        gap = matrix(column, centers.shape[1])[here] - centers[at[here]]
+        result = np.full(len(at), np.nan)
+        result[here] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        return pa.array(result, from_pandas=True)
+
+    return distance(x, which)
+
+
+def distance_to_given(points: DataFrame, centers: np.ndarray, which: str) -> DataFrame:
+    """``points`` with ``gap``: the distance to the center whose number is in the column ``which``."""
+    found, chain = points, Chain()
+    for number, (start, block) in enumerate(blocks(as_matrix(centers))):
+        gap = _gap_in(start, block, F.col("x"), F.col(which))
+        found = found.withColumn("gap", gap) if number == 0 else chain.cut(found).withColumn("gap", F.coalesce("gap", gap))
+    return found
+
+
 def _nearest_in(start: int, centers: np.ndarray, x: Column) -> Column:
     """``struct<d, cid>``: the nearest of a block of centers, of equal ones the first."""
     if centers.size <= UNROLLED_DOUBLES:
@@ -101,7 +132,14 @@ def mean_distance_runs(points: DataFrame, centers_of_run: list[np.ndarray]) -> D
     """``(run, objective)``: mean distance to the nearest center, all runs in one pass.
 
     Partitions give their means; these are merged weighted by their counts.
+    More centers than a task may hold go run by run, in blocks.
     """
+    if not fit_a_pass(centers_of_run):
+        each = [
+            objective(points, centers).select(F.lit(run).alias("run"), "objective")
+            for run, centers in enumerate(centers_of_run)
+        ]
+        return reduce(DataFrame.unionByName, each)
     partial = points.select("x").mapInArrow(
         K.mean_distances(centers_of_run), "run int, n bigint, mean double"
     )

@@ -5,14 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import kernels as K
-from murmura.functions.uniform import row_state, uniform
+from murmura.functions.uniform import row_state, salt, uniform
 from murmura.operators import centers as C
 from murmura.operators.lloyd import lloyd, lloyd_runs, run_weights
 from murmura.operators.seeding import coordinates, seed_centers, seed_runs, vectors_held
@@ -23,6 +22,8 @@ PART_DOUBLES = 8_000_000
 PARTS_PER_TASK = 16
 # The list of parts too large for a task is broadcast up to here.
 BROADCAST_PARTS = 1_000_000
+# Files of a batch of large parts, for each partition of the shuffle that writes it at most.
+BATCH_FILES = 64
 # Coordinates of the centers and candidates of all runs that share a pass.
 RUN_DOUBLES = 1_000_000
 
@@ -32,9 +33,7 @@ def _check(k: int, parts: int = 1, rounds: int = 0) -> None:
         raise ValueError("k and parts must be at least 1, rounds at least 0")
 
 
-def coreset(
-    points: DataFrame, k: int, parts: int | None, rounds: int, seed: int = 42
-) -> DataFrame:
+def coreset(points: DataFrame, k: int, parts: int, rounds: int, seed: int = 42) -> DataFrame:
     """Weighted centers ``(id, x, w)``, at most ``k`` for each of ``parts`` parts.
 
     A point's part is a hash of its id.  Each part is seeded, refined and
@@ -42,31 +41,13 @@ def coreset(
     each center.  A part that a task can hold is done in one; a larger one is a
     run of the distributed seeding and refinement, with the same draws and
     hence the same centers, at the price of several passes over it.
-
-    With ``parts`` None the input partitions are the parts, likewise block by
-    block: no point is shuffled, but the outcome depends on how the input is
-    split.
     """
-    _check(k, 1 if parts is None else parts, rounds)
+    _check(k, parts, rounds)
     points = points.select("id", "x")
     state = row_state(F.col("id")).alias("state")
     schema = "id string, x array<double>, w double"
     summarize = K.summarize_part
 
-    if parts is None:
-        block = PART_DOUBLES
-
-        def reduce_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for first in batches:
-                if len(first):
-                    part = str(first.column("part")[0].as_py())
-                    yield from summarize(
-                        part, chain([first], batches), k, rounds, seed, block
-                    )
-
-        here = F.spark_partition_id().alias("part")
-        return points.select(here, "x", state).mapInArrow(reduce_partition, schema)
-
     first = points.first()
     width = max(1, len(first.x or [])) if first else 1
     part = F.floor(uniform(seed, "part", F.col("id")) * parts).cast("int")
@@ -83,7 +64,7 @@ def coreset(
     def reduce_part(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        yield from summarize(str(key[0].as_py()), batches, k, rounds, seed, math.inf)
+        yield from summarize(str(key[0].as_py()), batches, k, rounds, seed)
 
     # About 1 GB per task at most; where the session's own number of shuffle
     # partitions gives that, adaptive execution may still coalesce them.
@@ -100,17 +81,32 @@ def coreset(
     return reduce(DataFrame.unionByName, done, held)
 
 
+def stored_by_batch(placed: DataFrame, large: list[int], together: int) -> DataFrame:
+    """``(id, x, _run, _batch)`` of the ``large`` parts, written once with a folder for each batch.
+
+    The passes of a batch read its folder, so what is read grows with the part and
+    not with the table.
+    """
+    runs = [(part, at % together, at // together) for at, part in enumerate(large)]
+    table = placed.sparkSession.createDataFrame(runs, "part int, _run int, _batch int")
+    few = len(large) <= BROADCAST_PARTS
+    own = placed.join(F.broadcast(table) if few else table, "part").select("id", "x", "_run", "_batch")
+    # A batch lies in several files, so that many tasks read it.
+    return cut_lineage(own.repartition("_batch", salt(BATCH_FILES, F.col("id"))), "_batch")
+
+
 def _by_passes(
     placed: DataFrame, large: list[int], width: int, k: int, rounds: int, seed: int, schema: str
 ) -> list[DataFrame]:
     """Centers of the ``large`` parts, each a run; as many share their passes as memory allows."""
     spark, done = placed.sparkSession, []
+    if not large:
+        return done
     together = max(1, RUN_DOUBLES // (vectors_held(k) * width))
-    for start in range(0, len(large), together):
+    stored = stored_by_batch(placed, large, together)
+    for number, start in enumerate(range(0, len(large), together)):
         batch = large[start : start + together]
-        runs = spark.createDataFrame(list(zip(batch, range(len(batch)))), "part int, _run int")
-        # At most ``RUN_DOUBLES`` rows.
-        own = placed.join(F.broadcast(runs), "part").select("id", "x", "_run")
+        own = stored.where(F.col("_batch") == number).select("id", "x", "_run")
         picks = seed_runs(own, [k] * len(batch), [seed] * len(batch))
         centers = lloyd_runs(own, [coordinates(p) for p in picks], [rounds] * len(batch))
         rows = [
@@ -123,7 +119,7 @@ def _by_passes(
 
 
 def kmedian_coreset(
-    points: DataFrame, k: int, parts: int | None, rounds: int, seed: int = 42
+    points: DataFrame, k: int, parts: int, rounds: int, seed: int = 42
 ) -> DataFrame:
     """``(coreset_points, centers, objective)`` of a three-round k-median.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import kernels as K
-from murmura.operators.centers import as_matrix
+from murmura.operators.centers import as_matrix, distance_to_given, fit_a_pass, nearest_center
 from murmura.operators.seeding import weighted
 
 
@@ -22,8 +24,15 @@ def _pass(
     """``(run, cid, w, x, cost)`` over all points; see ``kernels.refine``.
 
     A partition's result is itself a set of weighted points, one per run and
-    center, so only those are shuffled.
+    center, so only those are shuffled.  More centers than a task may hold are
+    met in blocks, run by run.
     """
+    if not fit_a_pass([*current, *(p for p in previous if p is not None)]):
+        each = [
+            _pass_in_blocks(points, before, now, number).withColumn("run", F.lit(run))
+            for run, (before, now, number) in enumerate(zip(previous, current, numbers))
+        ]
+        return reduce(DataFrame.unionByName, each)
     partial = points.drop("id").mapInArrow(
         K.refine(previous, current, numbers), "run int, cid int, w double, x array<double>, cost double"
     )
@@ -33,6 +42,21 @@ def _pass(
     )
 
 
+def _pass_in_blocks(
+    points: DataFrame, previous: np.ndarray | None, current: np.ndarray, number: int
+) -> DataFrame:
+    """``(cid, w, x, cost)`` of one run, in two stages: each point's nearest center, then means by center."""
+    own = points.where(F.col("_run") == number) if "_run" in points.columns else points
+    rows, gap = own.select("x", "w"), F.lit(0.0)
+    if previous is not None:
+        before = nearest_center(rows, previous).select("x", "w", F.col("cid").alias("_before"))
+        rows, gap = distance_to_given(before, current, "_before").select("x", "w", "gap"), F.col("gap")
+    mean = Summarizer.mean(array_to_vector("x"), F.col("w"))
+    return nearest_center(rows, current).groupBy("cid").agg(
+        F.sum("w").alias("w"), vector_to_array(mean).alias("x"), F.sum(F.col("w") * gap).alias("cost")
+    )
+
+
 def _move(
     result: DataFrame, before: list[np.ndarray]
 ) -> tuple[list[np.ndarray], list[float]]:

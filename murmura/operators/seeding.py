@@ -20,12 +20,15 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from murmura.functions import kernels as K
 from murmura.functions.uniform import row_state
+from murmura.operators.centers import blocks, fit_a_pass
+from murmura.session import Chain
 
 # Turns prepared by one pass at least and at most, candidates for each from a partition, and from all.
 AHEAD = 8
@@ -99,6 +102,38 @@ def vectors_held(k: int) -> int:
     return max(min(max(AHEAD, k), MOST_AHEAD) * SENT, k)
 
 
+def _closer(block: np.ndarray, x: Column, d: Column) -> Column:
+    """The distance to the nearest of the block, or ``d`` if that is less."""
+    nearest, matrix = K.nearest, K.matrix
+
+    @F.arrow_udf("double")
+    def closer(column: pa.Array, known: pa.Array) -> pa.Array:
+        found = nearest(matrix(column, block.shape[1]), block)[1]
+        return pa.array(np.minimum(found, known.to_numpy(zero_copy_only=False)))
+
+    return closer(x, d)
+
+
+class _Distances:
+    """A run's points with the distance ``d`` to the nearest center so far, when there are too many for a pass.
+
+    New centers are compared in blocks with the distances kept from those before.
+    """
+
+    def __init__(self, points: DataFrame, run: int) -> None:
+        own = points.where(F.col("_run") == run) if "_run" in points.columns else points
+        self._points, self._met, self._chain = own.withColumn("d", F.lit(np.inf)), 0, Chain()
+
+    def upto(self, chosen: np.ndarray) -> DataFrame:
+        for _, block in blocks(chosen[self._met :]) if len(chosen) > self._met else ():
+            self._points = self._chain.cut(self._points.withColumn("d", _closer(block, F.col("x"), F.col("d"))))
+        self._met = len(chosen)
+        return self._points
+
+    def close(self) -> None:
+        self._chain.close()
+
+
 def seed_runs(
     points: DataFrame, ks: list[int], seeds: list[int], power: int = 1
 ) -> list[Picks]:
@@ -107,7 +142,8 @@ def seed_runs(
     The i-th result lists ``(id, x)`` in the order of picking, and is shorter
     than ``ks[i]`` when every point lies on a center.  Rows with a number in
     ``_run`` take part in that run only, others in all.  Distances are computed
-    anew from the few centers in each pass: nothing is kept per point.
+    anew from the few centers in each pass: nothing is kept per point, unless the centers
+    are too many for a task.
     """
     if min(ks) < 1:
         raise ValueError("k must be at least 1")
@@ -115,18 +151,27 @@ def seed_runs(
     id_type = points.schema["id"].dataType
     picks: list[Picks] = [[] for _ in ks]
     running = list(range(len(ks)))
+    candidate = (
+        f"run int, turn int, id {id_type.simpleString()}, x array<double>, w double, "
+        "draw double, bound double, beyond double"
+    )
+    far: dict[int, _Distances] = {}
     while running:
         turns = [_ahead(len(picks[r]), ks[r]) for r in running]
         chosen = [coordinates(picks[r]) for r in running]
-        race = K.race(
-            chosen, running, [seeds[r] for r in running], turns, KEPT, to_arrow_type(id_type), power
-        )
-        candidates = points.mapInArrow(
-            race,
-            f"run int, turn int, id {id_type.simpleString()}, x array<double>, w double, "
-            "draw double, bound double, beyond double",
-        )
-        found = _least(candidates)
+        if fit_a_pass(chosen):
+            race = K.race(
+                chosen, running, [seeds[r] for r in running], turns, KEPT, to_arrow_type(id_type), power
+            )
+            found = _least(points.mapInArrow(race, candidate))
+        else:
+            found = {}
+            for at, run in enumerate(running):
+                ready = far.setdefault(run, _Distances(points, run)).upto(chosen[at])
+                race = K.race(
+                    [len(chosen[at])], [run], [seeds[run]], [turns[at]], KEPT, to_arrow_type(id_type), power
+                )
+                found |= {(at, turn): rows for (_, turn), rows in _least(ready.mapInArrow(race, candidate)).items()}
         going = []
         for at, (run, count) in enumerate(zip(running, turns)):
             exhausted = False
@@ -140,6 +185,9 @@ def seed_runs(
                 picks[run].append((winner.id, list(winner.x)))
             if not exhausted and len(picks[run]) < ks[run]:
                 going.append(run)
+        for run in set(running) - set(going):
+            if run in far:
+                far.pop(run).close()
         running = going
     return picks
 

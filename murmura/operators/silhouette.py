@@ -5,7 +5,7 @@ cluster over ``min(t, |C|)``, the point itself included, ``b`` the least such
 value over the other clusters, and the score ``(b - a) / max(a, b)``.  The
 sample keeps a point of cluster ``C`` with probability ``min(t / |C|, 1)``.
 A score is NULL, and left out of the mean, when the own sample is empty, no
-other cluster has one, or both values are 0.
+other cluster has one, or both values are 0.  NULL is a cluster like any other.
 """
 
 from __future__ import annotations
@@ -42,7 +42,10 @@ def with_sizes(points: DataFrame, clusters: int | None = None) -> DataFrame:
     """
     sizes = cluster_sizes(points)
     if clusters is not None and clusters <= BROADCAST_CLUSTERS:
-        return points.join(F.broadcast(sizes), "cluster").select(*points.columns, "size")
+        # NULL is a cluster like any other, as in the join by key.
+        known = sizes.withColumnRenamed("cluster", "_cluster")
+        same = F.col("cluster").eqNullSafe(F.col("_cluster"))
+        return points.join(F.broadcast(known), same).select(*points.columns, "size")
     return join_per_key(points, sizes, "cluster", "size")
 
 
@@ -94,16 +97,17 @@ def _blocks(moments: DataFrame) -> Iterator[list]:
 
 
 def _parts(block: list, x: Column, cluster: Column) -> Column:
-    clusters = np.array([row.cluster for row in block])
+    clusters = [row.cluster for row in block]
     means = np.array([row.mean for row in block])
     spreads = np.array([row.spread for row in block])
     ratios = np.array([row.n / row.divisor for row in block])
-    parts, matrix = K.silhouette_parts, K.matrix
+    balls = K.balls(means, spreads, ratios)
+    parts, matrix, place_of = K.silhouette_parts, K.matrix, K.place_of
 
     @F.arrow_udf("struct<a double, b double>")
     def compare(column: pa.Array, own: pa.Array) -> pa.Array:
-        labels = own.to_numpy(zero_copy_only=False)
-        a, b = parts(matrix(column, means.shape[1]), labels, clusters, means, spreads, ratios)
+        places = place_of(own, clusters)
+        a, b = parts(matrix(column, means.shape[1]), places, means, spreads, ratios, balls)
         return pa.StructArray.from_arrays(
             [pa.array(a, from_pandas=True), pa.array(b, from_pandas=True)], names=["a", "b"]
         )

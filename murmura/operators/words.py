@@ -90,21 +90,24 @@ def merged_words(docs: DataFrame, parts: int) -> DataFrame:
     its first and last visible documents vanish, and every other empty piece
     counts.  Knowing those two ids per part gives the tokens of the joined
     text without building it in any task.
+
+    Documents without an id have no place in a part's order, so each of them is a
+    text of its own.
     """
-    docs = docs.select("doc_id", "text", F.pmod("doc_id", F.lit(parts)).alias("part"))
+    text, blanks = F.col("text"), F.lit(T.BLANKS)
+    alone = docs.where(F.col("doc_id").isNull() & T.has_visible(text)).select("doc_id", F.trim(text, blanks).alias("text"))
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod("doc_id", F.lit(parts)).alias("part"))
     ends = (
         docs.where(T.has_visible(F.col("text")))
         .groupBy("part")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     )
-    text, blanks = F.col("text"), F.lit(T.BLANKS)
     text = F.when(F.col("doc_id") == F.col("first"), F.ltrim(text, blanks)).otherwise(text)
     text = F.when(F.col("doc_id") == F.col("last"), F.rtrim(text, blanks)).otherwise(text)
     # ``ends`` has at most ``parts`` rows: small enough to broadcast up to here.
     placed = docs.join(F.broadcast(ends) if parts <= 100_000 else ends, "part")
-    return placed.where(F.col("doc_id").between(F.col("first"), F.col("last"))).select(
-        "doc_id", F.explode(T.split_keeping_empty(text)).alias("word")
-    )
+    inside = placed.where(F.col("doc_id").between(F.col("first"), F.col("last"))).select("doc_id", text.alias("text"))
+    return inside.unionByName(alone).select("doc_id", F.explode(T.split_keeping_empty(F.col("text"))).alias("word"))
 
 
 def _merged(docs: DataFrame, parts: int) -> DataFrame:

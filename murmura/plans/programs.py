@@ -70,15 +70,19 @@ def word_statistics(
     spark: SparkSession, path: str, methods: Sequence[str] = tuple(words.METHODS), parts: int = 16
 ) -> DataFrame:
     """``(method, documents, distinct_words, avg_length, avg_all, avg_distinct)`` per method."""
-    docs = lines.read_documents(spark, path)
-    n_docs = docs.agg(F.count("*").alias("documents")).scalar()
-    rows = [
-        words.statistics(words.word_count(docs, method, parts)).select(
-            F.lit(method).alias("method"), n_docs.alias("documents"), "*"
-        )
-        for method in methods
-    ]
-    return reduce(DataFrame.unionByName, rows)
+
+
+    def report(docs: DataFrame) -> DataFrame:
+        n_docs = docs.agg(F.count("*").alias("documents")).scalar()
+        rows = [
+            words.statistics(words.word_count(docs, method, parts)).select(
+                F.lit(method).alias("method"), n_docs.alias("documents"), "*"
+            )
+            for method in methods
+        ]
+        return reduce(DataFrame.unionByName, rows)
+
+    return _from_parsed(lines.read_documents(spark, path), report)
 
 
 def sum_of_squares(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +92,7 @@ def sum_of_squares(spark: SparkSession, path: str) -> DataFrame:
 
 def histogram(spark: SparkSession, path: str) -> DataFrame:
     """``(hi, n, label, line)`` of a file of non-negative numbers."""
-    table = numbers.normalized_histogram(lines.read_numbers(spark, path))
+    table = _from_parsed(lines.read_numbers(spark, path), numbers.normalized_histogram)
     return table.withColumn(
         "line", F.format_string("%s holds %d", "label", "n")
     ).orderBy("hi")
@@ -98,8 +102,10 @@ def kmedian(
     spark: SparkSession, path: str, k: int, parts: int, rounds: int, seed: int = 42
 ) -> DataFrame:
     """``(coreset_points, centers, objective)`` of a file of points, read in ``parts`` splits."""
-    points = lines.read_points(spark, path, parts)
-    return coreset.kmedian_coreset(points, k, parts, rounds, seed)
+    return _from_parsed(
+        lines.read_points(spark, path, parts),
+        lambda points: coreset.kmedian_coreset(points, k, parts, rounds, seed),
+    )
 
 
 def kmedian_trials(

@@ -70,10 +70,10 @@ def _remove_at_exit(spark: SparkSession, folder: str) -> None:
         pass  # the JVM has gone before; its folder is the cluster's to clean
 
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.partitionBy(*by).parquet(folder)
     scope = _scope.get()
     if scope is None:
         atexit.register(_remove_at_exit, spark, folder)
@@ -82,12 +82,13 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(folder), folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as a table in the checkpoint folder; later reads do not recompute it.
 
-    The table is removed at the end of the enclosing ``scratch``, or else with the process.
+    With columns ``by`` it has a folder for each of their values, so that filters on
+    them read only those.  The table is removed at the end of the enclosing ``scratch``, or else with the process.
     """
-    return _written(df)[0]
+    return _written(df, by)[0]
 
 
 class Chain:
@@ -100,9 +101,15 @@ class Chain:
         found, folder = _written(df)
         if self._last is not None:
             _remove(df.sparkSession, self._last)
-        self._last = folder
+        self._last, self._spark = folder, df.sparkSession
         return found
 
+    def close(self) -> None:
+        """Removes the last table; nothing may read it later."""
+        if self._last is not None:
+            _remove(self._spark, self._last)
+            self._last = None
+
 
 @contextmanager
 def scratch() -> Iterator[None]:

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
     """``(value)``, one row per line of a file, folder or pattern.
 
-    With ``min_partitions`` the lines are dealt into that many partitions.  The
-    session's own split settings are left alone: they would reach every later read.
+    With ``min_partitions`` lines that Spark would read in fewer partitions are dealt
+    into that many; others stay where they are.  The session's own split settings are
+    left alone: they would reach every later read.
     """
     rows = spark.read.text(path)
-    return rows if min_partitions is None else rows.repartition(min_partitions)
+    if min_partitions is None or rows.rdd.getNumPartitions() >= min_partitions:
+        return rows
+    return rows.repartition(min_partitions)
 
 
 def with_ids(rows: DataFrame, name: str = "id") -> DataFrame:

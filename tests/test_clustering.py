@@ -222,15 +222,84 @@ def test_large_parts_give_what_small_ones_give(spark, monkeypatch, partitions, c
     assert got == expected
 
 
-def test_input_partitions_as_parts(cloud, monkeypatch):
+def test_passes_over_large_parts_read_their_own_folder(spark, monkeypatch):
+    rows = spark.range(600).select("id", F.array(F.sqrt("id"), F.col("id") % 5.0).alias("x"))
+    placed = rows.withColumn("part", (F.col("id") % 6).cast("int"))
+    stored = M.stored_by_batch(placed, [0, 2, 4, 5], 3)
+    one = stored.where("_batch = 1")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_batch" in plan and "(_batch" in plan.split("PartitionFilters")[1]
+    # Three parts share the first folder, the last part is alone in the second.
+    assert {(r._batch, r._run, r.id % 6) for r in stored.collect()} == {(0, 0, 0), (0, 1, 2), (0, 2, 4), (1, 0, 5)}
+    assert sorted(r.id for r in one.collect()) == list(range(5, 600, 6))
+    files = {r[0] for r in one.select(F.input_file_name()).distinct().collect()}
+    assert files and all("_batch=1/" in f for f in files)
+
+
+def test_batches_of_large_parts_give_what_one_batch_gives(spark, monkeypatch):
+    rows = spark.range(900).select("id", F.array(F.sqrt("id"), F.col("id") % 7.0).alias("x"))
+
+    def found():
+        return {r.id: (pytest.approx(list(r.x)), r.w) for r in M.coreset(rows, 3, 5, 2).collect()}
+
+    expected = found()
+    monkeypatch.setattr(M, "PART_DOUBLES", 20)
+    monkeypatch.setattr(M, "RUN_DOUBLES", 2 * S.vectors_held(3) * 2)
+    batches = []
+    stored = M.stored_by_batch
+    monkeypatch.setattr(M, "stored_by_batch", lambda *a: batches.append(stored(*a)) or batches[-1])
+    got = {r.id: (list(r.x), r.w) for r in M.coreset(rows, 3, 5, 2).collect()}
+    assert got == expected
+    assert {r._batch for r in batches[0].select("_batch").distinct().collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("power", [1, 2])
+@pytest.mark.parametrize("parted", [False, True])
+def test_centers_in_blocks_are_picked_alike(spark, cloud, monkeypatch, power, parted):
+    df, rows = cloud
+    if parted:
+        df = df.withColumn("_run", (F.col("id") % 2).cast("int"))
+    expected = S.seed_runs(df.repartition(3), [20, 9], [1, 2], power)
+    monkeypatch.setattr(C, "BLOCK_DOUBLES", 12)
+    seen, upto = [], S._Distances.upto
+    monkeypatch.setattr(S._Distances, "upto", lambda self, chosen: seen.append(len(chosen)) or upto(self, chosen))
+    assert S.seed_runs(df.repartition(2), [20, 9], [1, 2], power) == expected
+    assert seen and max(seen) * rows.shape[1] > 12
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_centers_in_blocks_move_alike(spark, cloud, monkeypatch, rounds):
+    df, rows = cloud
+    weighed = df.withColumn("w", (F.col("id") % 3 + 1).cast("double"))
+    starts = [rows[::9], rows[4:6]]
+    expected = L.lloyd_runs(weighed, starts, [rounds, rounds])
+    moved = L.moved_runs(weighed, starts, rounds)
+    weights = L.run_weights(weighed, expected)
+    means = {r.run: r.objective for r in C.mean_distance_runs(df, expected).collect()}
+    step = {r.cid: list(r.x) for r in L.lloyd_step(weighed, starts[0]).collect()}
+    monkeypatch.setattr(C, "BLOCK_DOUBLES", 12)
+    monkeypatch.setattr(K, "refine", None)
+    monkeypatch.setattr(K, "mean_distances", None)
+    assert not C.fit_a_pass(starts)
+    for mine, theirs in zip(L.lloyd_runs(weighed, starts, [rounds, rounds]), expected):
+        assert mine == pytest.approx(theirs)
+    for mine, theirs in zip(L.moved_runs(weighed, starts, rounds), moved):
+        assert mine == pytest.approx(theirs)
+    for mine, theirs in zip(L.run_weights(weighed, expected), weights):
+        assert mine == pytest.approx(theirs)
+    found = {r.run: r.objective for r in C.mean_distance_runs(df, expected).collect()}
+    assert found == {run: pytest.approx(v) for run, v in means.items()}
+    assert {r.cid: pytest.approx(list(r.x)) for r in L.lloyd_step(weighed, starts[0]).collect()} == step
+
+
+def test_runs_of_their_own_points_move_alike_in_blocks(spark, cloud, monkeypatch):
     df, rows = cloud
-    split = df.repartition(4)
-    core = M.coreset(split, 3, None, 2)
-    assert "Exchange hashpartitioning" not in core._jdf.queryExecution().executedPlan().toString()
-    found = core.collect()
-    assert sum(r.w for r in found) == len(rows)
-    assert len({r.id for r in found}) == len(found) == 12
-    assert M.kmedian_coreset(split, 3, None, 3).first().objective < 2.5
+    parted = df.withColumn("_run", (F.col("id") % 2).cast("int"))
+    starts = [rows[0:12:2], rows[1:13:2]]
+    expected = L.lloyd_runs(parted, starts, [3, 3])
+    monkeypatch.setattr(C, "BLOCK_DOUBLES", 9)
+    for mine, theirs in zip(L.lloyd_runs(parted, starts, [3, 3]), expected):
+        assert mine == pytest.approx(theirs)
 
 
 def test_three_rounds_find_the_groups(cloud):
@@ -251,7 +320,7 @@ def test_many_parts_get_tasks_of_their_own(cloud, monkeypatch):
 
 def test_no_points(spark):
     none = frame(spark, [])
-    assert M.coreset(none, 2, 3, 1).collect() == M.coreset(none, 2, None, 1).collect() == []
+    assert M.coreset(none, 2, 3, 1).collect() == []
     assert tuple(M.kmedian_coreset(none, 2, 3, 1).first()) == (0, 0, None)
     assert M.kmedian_trials(none, [2], [1], 2).collect() == []
     assert C.objective(none, [[0.0]]).first().objective is None

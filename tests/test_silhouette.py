@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from murmura.functions import kernels as K
 from murmura.operators import kmeans as KM
 from murmura.operators import per_key
 from murmura.operators import silhouette as S
@@ -137,3 +138,71 @@ def test_score_of_a_model_equals_brute_force(labelled):
     x, labels = [r.x for r in rows], [r.cluster for r in rows]
     mean, _ = brute(x, labels, x, labels, np.inf)
     assert S.mean_silhouette(assigned).first().silhouette == pytest.approx(mean, abs=1e-12)
+
+
+def labelled_with_null(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(i % 3 * 4, 1, 2).tolist(), None if i % 3 == 2 else i % 3) for i in range(90)]
+    return spark.createDataFrame(rows, "id bigint, x array<double>, cluster int"), rows
+
+
+def test_null_is_a_cluster_whether_or_not_the_number_is_known(spark):
+    points, rows = labelled_with_null(spark)
+    few = points.where("id < 3")
+    for clusters in (None, 5, 60_000):
+        sized = {(r.id, r.cluster, r.size) for r in S.with_sizes(points, clusters).collect()}
+        assert sized == {(i, c, 30) for i, _, c in rows}
+        assert S.with_sizes(few, clusters).count() == 3
+        picked = {r.id for r in S.cluster_sample(points, 9, clusters=clusters).collect()}
+        assert picked == {r.id for r in S.cluster_sample(points, 9).collect()}
+        assert any(rows[i][2] is None for i in picked)
+    plan = S.with_sizes(points, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("t", [9, S.EVERY_POINT])
+def test_null_has_scores_like_any_cluster(spark, t):
+    points, rows = labelled_with_null(spark)
+    named = frame(spark, [x for _, x, _ in rows], [2 if c is None else c for _, _, c in rows])
+    for clusters in (None, 5):
+        got = S.mean_silhouette(points, t, clusters=clusters).first()
+        assert tuple(got) == pytest.approx(tuple(S.mean_silhouette(named, t, clusters=clusters).first()))
+        assert got.points == 90
+    # Labels may be texts.
+    text = points.withColumn("cluster", points.cluster.cast("string"))
+    assert tuple(S.mean_silhouette(text, t).first()) == pytest.approx(tuple(S.mean_silhouette(points, t).first()))
+
+
+def test_far_clusters_are_passed_over(monkeypatch):
+    rng = np.random.default_rng(11)
+    k, d, n = 5000, 8, 400
+    means = rng.normal(0, 30, (k, d))
+    own = rng.integers(-1, k, n)
+    points = means[own] + rng.normal(0, 1, (n, d))
+    spreads, ratios = rng.uniform(0, 5, k), rng.uniform(0.5, 1, k)
+    met, plain = [], K.square_distance
+    monkeypatch.setattr(K, "square_distance", lambda p, c: met.append(len(p)) or plain(p, c))
+    a, b = K.silhouette_parts(points, own, means, spreads, ratios, K.balls(means, spreads, ratios))
+    assert 2 * sum(met) < n * k
+    for i in range(n):
+        values = ratios * (plain(means, points[i]) + spreads)
+        if own[i] >= 0:
+            assert a[i] == pytest.approx(values[own[i]], rel=1e-12)
+            values[own[i]] = np.inf
+        else:
+            assert np.isnan(a[i])
+        assert b[i] == pytest.approx(values.min(), rel=1e-12)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 30])
+def test_equal_means_and_few_clusters(k):
+    rng = np.random.default_rng(2)
+    means = np.repeat(rng.normal(0, 1, (max(1, k // 2), 3)), 2, axis=0)[:k]
+    spreads, ratios = np.zeros(len(means)), np.ones(len(means))
+    points, own = rng.normal(0, 1, (50, 3)), rng.integers(0, len(means), 50)
+    a, b = K.silhouette_parts(points, own, means, spreads, ratios, K.balls(means, spreads, ratios))
+    for i in range(50):
+        values = K.square_distance(means, points[i])
+        others = np.delete(values, own[i])
+        assert a[i] == pytest.approx(values[own[i]])
+        assert (np.isnan(b[i]) and not len(others)) or b[i] == pytest.approx(others.min())

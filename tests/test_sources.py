@@ -129,6 +129,46 @@ def test_files_are_parsed_once(spark, tmp_path, monkeypatch):
     assert programs.silhouettes(spark, labelled, 10).first().approximate > 0.5
 
 
+def test_no_program_reads_its_file_again(spark, tmp_path, monkeypatch):
+    """The file is taken away once it is parsed; what is parsed is released at the end."""
+    spots = [(0, 0), (0, 1), (9, 9), (9, 8), (0, 2), (8, 9)]
+    numbers, texts, points, labelled, reviews = (str(tmp_path / name) for name in "ntplr")
+    contents = {
+        numbers: "1 2 3 4\n5 6 7 8 9 10\n",
+        texts: "a bb a\nccc bb\n",
+        points: "".join(f"{x} {y}\n" for x, y in spots),
+        labelled: "".join(f"{x},{y},{int(x > 5)}\n" for x, y in spots),
+        reviews: "P1,U1,5,1\nP2,U1,1,1\n",
+    }
+    run = programs._from_parsed
+    for path, program in (
+        (numbers, lambda: programs.histogram(spark, numbers)),
+        (texts, lambda: programs.word_statistics(spark, texts)),
+        (points, lambda: programs.kmedian(spark, points, 2, 2, 2)),
+        (labelled, lambda: programs.silhouettes(spark, labelled, 10)),
+        (reviews, lambda: programs.top_products(spark, reviews, 1)),
+    ):
+        with open(path, "w") as file:
+            file.write(contents[path])
+
+        def once(parsed, report, path=path):
+            parsed.persist().count()
+            os.remove(path)
+            return run(parsed, report)
+
+        monkeypatch.setattr(programs, "_from_parsed", once)
+        assert program().count() > 0 and not os.path.exists(path)
+        assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_lines_in_enough_partitions_stay_where_they_are(spark, tmp_path):
+    for name in "abc":
+        write(tmp_path, "1\n2\n", f"{name}.txt")
+    rows = L.read_lines(spark, str(tmp_path), 1)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert L.read_lines(spark, str(tmp_path), 50).rdd.getNumPartitions() == 50
+
+
 def files_below(folder):
     return [name for _, _, names in os.walk(folder) for name in names]
 

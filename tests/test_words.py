@@ -142,3 +142,19 @@ def test_one_word_may_fill_a_third_of_the_text(spark):
     for method in W.METHODS:
         counts = as_dict(W.word_count(docs, method))
         assert counts["hot"] == 1000 and len(counts) == 2001
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_documents_without_an_id_count_in_every_method(spark, parts):
+    rows = [(0, "a b"), (1, "c"), (None, "d a"), (None, "d a"), (None, "e"), (None, None), (None, " "), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = Counter(w for _, text in rows for w in tokens_of(text or ""))
+    for method in W.METHODS:
+        assert as_dict(W.word_count(docs, method, parts)) == expected
+
+
+def test_a_document_without_an_id_is_merged_with_none(spark):
+    rows = [(None, " a  b "), (None, " a  b "), (0, " c "), (1, " c ")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # Each of the first two is trimmed by itself, the others as one text.
+    assert as_dict(W.word_count(docs, "merged", 1)) == {"a": 2, "b": 2, "": 2 + 2, "c": 2}
