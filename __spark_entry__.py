@@ -31,6 +31,7 @@ from murmura.operators import (
     words,
 )
 from murmura.plans import programs
+from murmura.session import shared_folder
 from murmura.sources import lines, tables
 
 TOP = 20
@@ -40,6 +41,7 @@ PARTS = 8
 ROUNDS = 3
 KEYS = 16
 SEED = 42
+FILE_PARTITIONS = 16
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -123,12 +125,15 @@ def normalized_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return numbers.normalized_histogram(tables.numbers(spark, folder))
 
 
-def parsed_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    written = tables.table(spark, folder, "lineitem").select(
+def _written_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.table(spark, folder, "lineitem").select(
         F.concat_ws(",", "l_partkey", "l_suppkey", "l_quantity", "l_orderkey", "l_returnflag")
         .alias("value")
     )
-    return lines.parse_reviews(written)
+
+
+def parsed_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.parse_reviews(_written_reviews(spark, folder))
 
 
 def parsed_numbers(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,6 +170,37 @@ def parsed_labelled_points(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _through_files(spark: SparkSession, written: DataFrame, read: Callable[..., DataFrame]) -> DataFrame:
+    """The lines written to files in the shared folder and read back, in as many partitions at least as asked for."""
+    folder = shared_folder(spark)
+    lines.write_lines(written, folder)
+    return read(spark, folder, FILE_PARTITIONS)
+
+
+def file_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return _through_files(spark, _written_reviews(spark, folder), lines.read_reviews)
+
+
+def file_points(spark: SparkSession, folder: str) -> DataFrame:
+    read = _through_files(spark, _written_points(spark, folder, " "), lines.read_points)
+    return _coordinates(read.select(F.size("x").alias("d"), F.get("x", 0).alias("first"), "x"))
+
+
+def file_labelled_points(spark: SparkSession, folder: str) -> DataFrame:
+    read = _through_files(spark, _written_points(spark, folder, ","), lines.read_labelled_points)
+    return _coordinates(read.select("cluster", F.size("x").alias("d"), F.get("x", 0).alias("first"), "x"))
+
+
+def file_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The products rated best, by the program that reads a file of reviews."""
+    reviews = tables.reviews(spark, folder).select(
+        F.concat_ws(",", "product", "user", "rating", F.lit(0)).alias("value")
+    )
+    program = lambda spark, path, parts: programs.top_products(spark, path, TOP)
+    best = _through_files(spark, reviews, program)
+    return _rounded(best.select("product", "max_norm"))
+
+
 def cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return silhouette.cluster_sizes(tables.labelled_points(spark, folder))
 
@@ -308,7 +344,8 @@ def _optional(*modules: str) -> list:
 # The corpus operators and their pipeline can be left out of a checkout.
 _CORPUS = (
     _optional("murmura.llm.registered", "corpus_pipeline")
-    if importlib.util.find_spec("murmura.llm")
+    # A folder that only holds compiled files counts as none.
+    if importlib.util.find_spec("murmura.llm") and importlib.util.find_spec("murmura.llm.registered")
     else []
 )
 
@@ -343,6 +380,10 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "normalized_histogram": normalized_histogram,
         "parsed_reviews": parsed_reviews,
         "parsed_numbers": parsed_numbers,
+        "file_reviews": file_reviews,
+        "file_points": file_points,
+        "file_labelled_points": file_labelled_points,
+        "file_top_products": file_top_products,
         "parsed_points": parsed_points,
         "parsed_labelled_points": parsed_labelled_points,
         "cluster_sizes": cluster_sizes,

@@ -82,6 +82,13 @@ def _written(df: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(folder), folder
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A path in the checkpoint folder, not yet there; what is written to it goes with the process."""
+    folder = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_exit, spark, folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as a table in the checkpoint folder; later reads do not recompute it.
 

@@ -25,6 +25,11 @@ def read_lines(spark: SparkSession, path: str, min_partitions: int | None = None
     return rows.repartition(min_partitions)
 
 
+def write_lines(rows: DataFrame, path: str) -> None:
+    """Text files below ``path`` with a line for each ``value``, a file for each partition."""
+    rows.select("value").write.text(path)
+
+
 def with_ids(rows: DataFrame, name: str = "id") -> DataFrame:
     """``rows`` with a unique id, counted within input partitions: no shuffle.
 

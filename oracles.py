@@ -332,6 +332,10 @@ def statements(
     SELECT {}CAST(len(embedding) AS INTEGER) AS d, embedding[1]::DOUBLE AS first,
            CAST(axis - 1 AS INTEGER) AS axis, embedding[axis]::DOUBLE AS coordinate
     FROM embeddings, unnest(range(1, len(embedding) + 1)) AS dims(axis)"""
+    reviews = """
+    SELECT CAST(l_partkey AS VARCHAR) AS product, CAST(l_suppkey AS VARCHAR) AS "user",
+           l_quantity AS rating, l_orderkey AS ts
+    FROM lineitem"""
     return {
         "top_normalized": top_rows,
         "report_lines": rf"""
@@ -379,10 +383,13 @@ def statements(
            CASE WHEN hi = 0.1::DOUBLE THEN '[0' ELSE '(' || printf('%.1f', hi - 0.1) END
            || ',' || printf('%.1f', hi) || ']' AS label
     FROM counts WHERE n >= total // 10 ORDER BY hi""",
-        "parsed_reviews": """
-    SELECT CAST(l_partkey AS VARCHAR) AS product, CAST(l_suppkey AS VARCHAR) AS "user",
-           l_quantity AS rating, l_orderkey AS ts
-    FROM lineitem""",
+        "parsed_reviews": reviews,
+        "file_reviews": reviews,
+        "file_points": parsed.format(""),
+        "file_labelled_points": parsed.format("label AS cluster, "),
+        "file_top_products": f"""
+    SELECT CAST(product AS VARCHAR) AS product, round(max_norm, 9) AS max_norm
+    FROM ({MAX_NORM}) ORDER BY max_norm DESC, 1 LIMIT {top}""",
         "parsed_numbers": """
     SELECT value FROM events UNION ALL SELECT CAST(event_id AS DOUBLE) AS value FROM events""",
         "parsed_points": parsed.format(""),
