@@ -8,9 +8,12 @@ bands, and a pair goes on if its Jaccard estimate, corrected for accidental
 collisions of compressed registers, is not clearly too low.  Links are
 confirmed on the full sets.
 
-Pairs that pivots leave undecided, members of a band that are not connected
-yet, are then compared in blocks of bounded size by longer sketches, so that
-no band's pairs are ever listed, whatever its size.
+In bands whose members are not connected yet, the largest component is settled,
+and further pivots drawn from it meet the members outside, a row each in every
+round.  Those still outside are then compared, with each other and with the settled ones, in blocks of bounded size by longer sketches, so that
+no band's pairs are ever listed.  What is copied into blocks grows with the
+band times the number of blocks of members outside; a group whose members are
+all alike but mostly below the threshold has many.
 
 Texts with equal sets take part once.  A text without words is linked with
 nothing.  Rows of one ``doc_id`` are one document; rows without ``doc_id`` join the
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import storage, wordhash
@@ -40,6 +43,10 @@ DEVIATIONS = 5.5
 SKETCH = 1024
 #: Members of a band in a block, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Settled members in a block; each of them meets few.
+SETTLED_BLOCK = 2048
+#: Further pivots at most for bands that are not connected.
+PIVOT_ROUNDS = 3
 #: Up to so many ids (16 MB) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -93,8 +100,12 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(wordhash.shingles(hashes[bounds[k] : bounds[k + 1]]))
 
 
+def _text_hash() -> Column:
+    return F.md5(F.coalesce("text", F.lit(""))).alias("_text")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, h1, h2, registers)``; the two hashes stand for the set."""
+    """``(doc_id, _text, n_shingles, h1, h2, registers)``; the two hashes stand for the set, ``_text`` for the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,12 +117,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 out.append((len(s), h1, h2, registers(s).tobytes() if len(s) else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"].cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds))],
-                names=["doc_id", "n_shingles", "h1", "h2", "registers"],
+                [
+                    batch["doc_id"].cast(pa.int64()),
+                    batch["_text"],
+                    *(pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)),
+                ],
+                names=["doc_id", "_text", "n_shingles", "h1", "h2", "registers"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        rows, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, registers binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash()).mapInArrow(
+        rows, "doc_id bigint, _text string, n_shingles bigint, h1 bigint, h2 bigint, registers binary"
     )
 
 
@@ -207,55 +222,110 @@ def pivot_pairs(members: DataFrame) -> DataFrame:
     return _pairs(members.join(pivots, "key"), "id", "pivot")
 
 
-def block_links(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links ``(a, b)`` between members of a band that ``joined`` does not connect yet.
+def open_bands(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(key, id, component, settled)`` of bands whose members ``joined`` does not connect; written.
 
-    A band's members are dealt into blocks by hash; each pair of blocks is one
-    row, of bounded size, compared there: by sketches first, then by the full
-    sets.  Pairs that the row has connected meanwhile are passed over.
+    Members of a band's largest component are settled: they need not meet each other.
     """
-    sizes = sets.select("id", (F.octet_length("set") / 8).cast("long").alias("n"))
     labelled = members.where("size > 2").join(joined, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+    tops = parts.groupBy("key").agg(
+        F.max(F.struct("n", (-F.col("component")).alias("less"))).alias("top"), F.count("*").alias("parts")
+    )
+    several = tops.where("parts > 1").select("key", (-F.col("top.less")).alias("largest"))
+    return storage.written(
+        labelled.join(several, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("settled"))
+    )
+
+
+def pivot_rounds(
+    members: DataFrame, joined: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int = PERCENT
+) -> DataFrame:
+    """``joined`` after further pivots: in each open band a settled member, drawn anew, meets those that are not.
+
+    A round has one row for each of them, and they meet as many pivots as they have bands.
+    """
+    for turn in range(PIVOT_ROUNDS):
+        opened = open_bands(members, joined)
+        drawn = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("draw"), "id"))
+        pivots = opened.where("settled").groupBy("key").agg(drawn.alias("_drawn")).select("key", F.col("_drawn.id").alias("pivot"))
+        pairs = _pairs(opened.where("NOT settled").join(pivots, "key"), "id", "pivot")
+        found = storage.written(confirmed(likely(pairs, signatures, percent), sets, percent))
+        if found.isEmpty():
+            break
+        joined = components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(found))
+    return joined
+
+
+def tiles(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(key, id, component, settled, block, tile)``: in which tiles of an open band each of its members meets others.
+
+    Members that are not settled are dealt into blocks by hash, which all meet each
+    other, and meet the settled ones in larger blocks.  So what is copied grows with the
+    band times the blocks of those that are not settled.
+    """
+    opened = open_bands(members, joined)
+    sizes = sets.select("id", (F.octet_length("set") / 8).cast("long").alias("n"))
+    loose = ~F.col("settled")
     # Bands with the same members need one look.
-    open_ = (
-        labelled.join(sizes, "id")
+    bands = (
+        opened.join(sizes, "id")
         .groupBy("key")
         .agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
             F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
             F.count("*").alias("size"),
             F.sum("n").alias("elements"),
+            F.count_if(loose).alias("others"),
+            F.sum(F.when(loose, F.col("n")).otherwise(0)).alias("other_elements"),
         )
-        .where("low <> high")
         .groupBy("who", "size", "elements")
-        .agg(F.min("key").alias("key"))
-        .select(
-            "key",
-            F.expr(f"CAST(greatest(ceil(size / {BLOCK}), ceil(elements * 8 / {BLOCK_BYTES})) AS int)").alias("blocks"),
-        )
+        .agg(F.min(F.struct("key", "others", "other_elements")).alias("band"))
+    )
+    blocks = bands.select(
+        "band.key",
+        F.expr(
+            f"CAST(greatest(ceil(band.others / {BLOCK}), ceil(band.other_elements * 8 / {BLOCK_BYTES})) AS int)"
+        ).alias("blocks"),
+        F.expr(
+            f"""CAST(greatest(ceil((size - band.others) / {SETTLED_BLOCK}),
+                              ceil((elements - band.other_elements) * 8 / {BLOCK_BYTES})) AS int)"""
+        ).alias("settled_blocks"),
     )
-    rest = storage.written(labelled.join(open_, "key"))
-    dealt = (
-        rest.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-        .join(_picked(sets, rest.select("id").distinct()), "id")
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rest = opened.join(blocks, "key").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.when(F.col("settled"), F.col("settled_blocks")).otherwise(F.col("blocks"))).cast("int")
     )
-    tiles = (
-        dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .groupBy("key", "i", "j")
-        .agg(F.collect_list(F.struct("id", "component", "block", "set")).alias("members"))
+    where = F.expr(
+        """CASE WHEN settled THEN transform(sequence(0, blocks - 1), o -> struct(true AS settled, o AS i, block AS j))
+           ELSE concat(transform(sequence(0, blocks - 1), o -> struct(false AS settled, least(block, o) AS i, greatest(block, o) AS j)),
+                       transform(sequence(0, settled_blocks - 1), s -> struct(true AS settled, block AS i, s AS j))) END"""
+    )
+    return rest.select("key", "id", "component", "settled", "block", F.explode(where).alias("tile"))
+
+
+def block_links(members: DataFrame, joined: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links ``(a, b)`` between members of a band that ``joined`` does not connect yet.
+
+    Each of the ``tiles`` is one row, of bounded size, compared there: by sketches first,
+    then by the full sets.  Pairs that the row has connected meanwhile are passed over.
+    """
+    dealt = storage.written(tiles(members, joined, sets))
+    gathered = (
+        dealt.join(_picked(sets, dealt.select("id").distinct()), "id")
+        .groupBy("key", "tile")
+        .agg(F.collect_list(F.struct("id", "component", "settled", "block", "set")).alias("members"))
+        .select("tile.settled", "tile.i", "tile.j", "members")
     )
     least = lowest(SKETCH, percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, np.ndarray] = {}
         for batch in batches:
-            for members, i, j in zip(batch["members"], batch["i"].to_pylist(), batch["j"].to_pylist()):
+            for across, i, j, members in zip(*(batch[c].to_pylist() for c in ("settled", "i", "j")), batch["members"]):
                 members = members.values
                 ids, component, block = (members.field(c).to_numpy() for c in ("id", "component", "block"))
+                settled = members.field("settled").to_numpy(zero_copy_only=False)
                 full = [np.frombuffer(x, np.uint64) for x in members.field("set").to_pylist()]
                 n, component = np.array([len(x) for x in full]), component.copy()
                 if len(drawn) > 50_000:
@@ -265,11 +335,14 @@ def block_links(members: DataFrame, joined: DataFrame, sets: DataFrame, percent:
                         drawn[id_] = (registers(x, SKETCH) & 0xFF).astype(np.uint8)
                 sketch = np.array([drawn[x] for x in ids.tolist()])
                 a, b = [], []
-                for k in range(len(ids)):
-                    with_ = (ids > ids[k]) & (component != component[k])
+                # Settled ones meet the others; two blocks of others each other; a block itself.
+                one = ~settled if across else block == i
+                two = settled if across else block == j
+                for k in np.flatnonzero(one).tolist():
+                    with_ = two & (component != component[k])
+                    if not across and i == j:
+                        with_ &= ids > ids[k]
                     with_ &= 100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])
-                    if i != j:
-                        with_ &= block != block[k]
                     with_ = np.flatnonzero(with_)
                     alike = (sketch[with_] == sketch[k]).mean(1) if len(with_) else np.zeros(0)
                     # Bytes of different hashes agree once in 256.
@@ -280,15 +353,11 @@ def block_links(members: DataFrame, joined: DataFrame, sets: DataFrame, percent:
                             component[component == component[other]] = component[k]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return tiles.mapInArrow(rows, "a bigint, b bigint")
-
+    return gathered.mapInArrow(rows, "a bigint, b bigint")
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
-    ``component_id`` is the smallest ``doc_id`` reachable over links; ``kept``
-    tells the one document of each group that stays.
-    """
+def _marked(docs: DataFrame, percent: int) -> DataFrame:
+    """``(doc_id, _text, n_shingles, component_id, kept)``; see ``near_duplicates``."""
     signed = storage.written(signatures(docs))
     same = ["h1", "h2", "n_shingles"]
     equal = storage.written(signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id")))
@@ -301,7 +370,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = storage.written(banded.join(shared.hint("shuffle_hash"), "key"))
     sets = storage.written(full_sets(docs, members.select("id").distinct()))
     first = storage.written(confirmed(likely(pivot_pairs(members), own, percent), sets, percent))
-    joined = components(first)
+    joined = pivot_rounds(members, components(first), own, sets, percent)
     later = block_links(members, joined, sets, percent)
     # A document with several texts connects what they are linked with.
     placed = signed.where("doc_id IS NOT NULL").join(equal, same).select("doc_id", "id")
@@ -312,7 +381,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = equal.join(groups, "id", "left").select(*same, F.coalesce("component", "id").alias("_component"))
     return signed.join(named, same, "left").select(
         "doc_id",
+        "_text",
         "n_shingles",
         F.coalesce("_component", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("_component", "doc_id"), F.col("_component").isNull()).alias("kept"),
     )
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
+
+    ``component_id`` is the smallest ``doc_id`` reachable over links; ``kept``
+    tells the one document of each group that stays.
+    """
+    return _marked(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, by id and text.
+
+    Rows without an id go where a document with an id has an equal set, and stay elsewhere.
+    """
+    kept = _marked(docs, percent).where("kept").select(F.col("doc_id").alias("_staying"), F.col("_text").alias("_same")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("_doc"), _text_hash())
+    same = F.col("_doc").eqNullSafe(F.col("_staying")) & (F.col("_text") == F.col("_same"))
+    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").select("_row.*")
