@@ -14,11 +14,13 @@ of the output and must fit into one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 LEARNED = "assistant"
+#: Characters of a part of a text that is read by its mask.
+PART = 1024
 
 
 def escaped(text: Column) -> Column:
@@ -43,39 +45,42 @@ def unescaped(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """``(conv_id, formatted, loss)``; ``loss`` holds ``(start, chars)`` of each assistant text."""
-    row = F.struct(
+    """``(conv_id, formatted, loss)``; ``loss`` holds ``(start, chars)`` of each assistant text.
+
+    Marks and ends of the pieces come from one pass over the sorted turns, so the work
+    grows with their number and not its square.
+    """
+    rows = turns.select(
+        "conv_id",
         "turn",
         escaped_role(F.coalesce("role", F.lit(""))).alias("role"),
         escaped(F.coalesce("text", F.lit(""))).alias("text"),
     )
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("_turns"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    before = F.lag("role").over(order)
     # What stands before each text: marks for the first of a role, a separator for those merged into it.
-    marked = chats.withColumn(
-        "_pieces",
-        F.expr(
-            f"""transform(_turns, (t, i) -> struct(
-                CASE WHEN i > 0 AND _turns[i - 1].role = t.role THEN '{SEPARATOR}'
-                ELSE concat(CASE WHEN i > 0 THEN '{END}' ELSE '' END, '{START}', t.role, '\n') END AS mark,
-                t.text AS text,
-                t.role = '{LEARNED}' AS learned))"""
-        ),
+    opening = F.concat(
+        F.when(before.isNull(), "").otherwise(END), F.lit(START), F.col("role"), F.lit("\n")
     )
-    ends = F.expr(
-        """aggregate(_pieces, CAST(array(0L) AS array<bigint>), (ends, p) ->
-            concat(ends, array(element_at(ends, -1) + length(p.mark) + length(p.text))))"""
+    mark = F.when(before == F.col("role"), SEPARATOR).otherwise(opening)
+    piece = rows.withColumn("_mark", mark).select(
+        "conv_id", "turn", "role", "text",
+        F.concat("_mark", "text").alias("piece"),
+        F.length("text").cast("long").alias("chars"),
+        (F.col("role") == LEARNED).alias("learned"),
     )
-    return marked.withColumn("_ends", ends).select(
+    upto = F.sum(F.length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ended = piece.withColumn("end", upto)
+    # A piece is never empty, so its end tells its place.
+    chats = ended.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("end", "piece", "chars", "learned"))).alias("_pieces")
+    )
+    return chats.select(
         "conv_id",
-        F.concat(
-            F.array_join(F.transform("_pieces", lambda p: F.concat(p["mark"], p["text"])), ""), F.lit(END)
-        ).alias("formatted"),
-        F.expr(
-            """transform(filter(transform(_pieces, (p, i) -> struct(
-                p.learned AS learned,
-                _ends[i + 1] - length(p.text) AS start,
-                CAST(length(p.text) AS bigint) AS chars)), x -> x.learned),
-                x -> struct(x.start AS start, x.chars AS chars))"""
+        F.concat(F.array_join(F.transform("_pieces", lambda p: p["piece"]), ""), F.lit(END)).alias("formatted"),
+        F.transform(
+            F.filter("_pieces", lambda p: p["learned"]),
+            lambda p: F.struct((p["end"] - p["chars"]).alias("start"), p["chars"].alias("chars")),
         ).alias("loss"),
     )
 
@@ -99,8 +104,13 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    learned = F.transform(
-        "loss",
-        lambda x: unescaped(F.substr("formatted", (x["start"] + 1).cast("int"), x["chars"].cast("int"))),
+    # Finding the nth character of a long text means counting from its start; in parts of
+    # ``PART`` characters only from the part's.  A transform over one element evaluates them once.
+    learned = F.expr(
+        f"""transform(array(regexp_extract_all(formatted, '(?s).{{1,{PART}}}', 0)), parts -> transform(loss, x ->
+            substring(array_join(slice(parts, CAST(x.start DIV {PART} AS int) + 1,
+                                       CAST((x.start + x.chars) DIV {PART} - x.start DIV {PART} AS int) + 1), ''),
+                      CAST(x.start % {PART} AS int) + 1, CAST(x.chars AS int))))[0]"""
     )
+    learned = F.transform(learned, unescaped)
     return opened.select("conv_id", "formatted", turns.alias("turns"), learned.alias("learned"))
