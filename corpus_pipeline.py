@@ -10,30 +10,42 @@ from pyspark.sql import functions as F
 from murmura.llm import decontamination, line_dedup, near_dedup, packing, quality, registered, storage
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``(doc_id, text, given)``, so that no column of theirs meets an operator's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest or [F.lit(None).alias("none")]).alias("given"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from carried ``rows``."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("given")[c].alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality.decided(quality.ledger(docs)).where("kept").select(*docs.columns)
+    return _unpacked(quality.decided(quality.ledger(_carried(docs))).where("kept"), docs)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier one has; ``n_chars`` follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    kept = _unpacked(line_dedup.dedup_lines(_carried(docs)), docs)
     return kept.select(
-        *[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+        *[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     )
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    staying = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_staying")).distinct()
-    return docs.join(
-        staying.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_staying")), "left_semi"
-    )
+    """One document of each group of near-duplicates.
+
+    Rows without an id go only where a document with an id has the same words.
+    """
+    return _unpacked(near_dedup.one_of_each(_carried(docs)), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return _unpacked(decontamination.clean(_carried(docs), items), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
