@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE, least: int =
     records(pages, date, least).write.option("lineSep", CLOSE).option("compression", "gzip").text(folder)
 
 
-_RECORD = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, digest string, block binary"
+_RECORD = "type string, record_id string, concurrent_to array<string>, refers_to string, target_uri string, date string, digest string, block binary"
 _NAMES = {
     b"warc-type": "type",
     b"warc-record-id": "record_id",
@@ -154,12 +154,14 @@ def _parsed(record: bytes) -> dict | None:
     head, found, rest = record.partition(CLOSE.encode())
     if not found:
         return None
-    fields = dict.fromkeys(_COLUMNS)
+    fields: dict = dict.fromkeys(_COLUMNS) | {"concurrent_to": []}
     length = None
     for line in head.split(b"\r\n"):
         name, _, value = line.partition(b":")
         if name.lower() == b"content-length":
             length = int(value)
+        elif name.lower() == b"warc-concurrent-to":  # the one field that may be repeated
+            fields["concurrent_to"].append(value.strip().decode())
         elif name.lower() in _NAMES:
             fields[_NAMES[name.lower()]] = value.strip().decode()
     if length is None:
@@ -172,7 +174,7 @@ def _parsed(record: bytes) -> dict | None:
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the archives below ``folder``, in no order."""
-    kinds = [pa.string()] * len(_NAMES) + [pa.binary()]
+    kinds = [pa.list_(pa.string()) if c == "concurrent_to" else pa.string() for c in _COLUMNS[:-1]] + [pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, file, open_ = [], 0, None, None
@@ -210,39 +212,76 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.mapInArrow(rows, _RECORD)
 
 
+def _ids(capture: str) -> list[Column]:
+    """A row for each id that a record has or names, beside ``capture``."""
+    return [F.explode(F.array_distinct(F.concat(F.array("record_id"), "concurrent_to"))).alias("id"), F.col(capture)]
+
+
+def _first(ties: DataFrame) -> DataFrame:
+    """``(id, capture)``: one capture for each id, of several the least."""
+    return ties.where("id IS NOT NULL AND capture IS NOT NULL").groupBy("id").agg(F.min("capture").alias("capture"))
+
+
 def read_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """``(capture, page_id, refers_to_page, request, response, metadata)``, one row per capture.
+    """``(capture, page_id, refers_to_page, request, response, metadata)``, one row per response or revisit.
 
-    ``response`` is a struct with the record's type, ids, digest, the payload
+    Concurrent-to may stand in either record and be repeated.  A capture has the id that
+    its response names first, or else the response's own.  Requests belong to it that the response
+    names or that name it; metadata likewise, or through such a request.  Of several
+    requests that with the least id is taken, ``metadata`` is a list by ids, and the page ids are the first
+    that it gives.  What is missing is NULL or an empty list.  ``response`` is a struct with the record's type, ids, digest, the payload
     (NULL for revisits) and the payload's size.
     """
     stored = storage.written(read_records(spark, folder), compression="zstd")
     of = lambda *kinds: stored.where(F.col("type").isin(*kinds))
-    requests = of("request").select(
-        F.col("record_id").alias("capture"), F.struct("record_id", "target_uri", "date").alias("request")
-    )
     text = F.col("block").cast("string")
     body = F.expr("substring(block, position(X'0D0A0D0A' IN block) + 4)")
     said = F.regexp_extract(F.substring_index(text, CLOSE, 1), r"(?i)\r\ncontent-length: *(\d+)", 1)
+    own = F.coalesce(F.get("concurrent_to", 0), "record_id").alias("capture")
+    named = of("response", "revisit").select("record_id", "concurrent_to", own)
     responses = of("response", "revisit").select(
-        F.col("concurrent_to").alias("capture"),
+        own,
         F.struct(
             "type",
             "record_id",
             "refers_to",
             F.substring_index("digest", ":", -1).alias("digest"),
             F.when(F.col("type") == "response", body).alias("payload"),
-            said.cast("long").alias("payload_bytes"),
+            said.try_cast("long").alias("payload_bytes"),
         ).alias("response"),
     )
+    known = storage.written(_first(named.select(*_ids("capture"))))
+    asked = of("request").select(
+        F.struct("record_id", "target_uri", "date").alias("request"), "record_id", "concurrent_to"
+    )
+    tied = storage.written(asked.select(*_ids("request"), "record_id", "concurrent_to").join(known, "id"))
+    requests = tied.groupBy("capture").agg(F.min("request").alias("request"))
+    through = _first(known.unionAll(tied.select(*_ids("capture"))))
     field = lambda name: F.regexp_extract(text, rf"(?:^|\n){name}: *(-?\d+)", 1)
     number = lambda name: F.when(field(name) != "", field(name)).cast("long")
-    metadata = of("metadata").select(
-        F.col("concurrent_to").alias("capture"),
-        number("pageId").alias("page_id"),
-        number("refersToPage").alias("refers_to_page"),
-        F.struct("record_id", text.alias("fields")).alias("metadata"),
-    )
-    return responses.join(requests, "capture").join(metadata, "capture").select(
-        "capture", "page_id", "refers_to_page", "request", "response", "metadata"
+    described = of("metadata").select(
+        F.struct(
+            "record_id", text.alias("fields"), number("pageId").alias("page"), number("refersToPage").alias("refers")
+        ).alias("said"),
+        "record_id",
+        "concurrent_to",
+    )
+    metadata = (
+        described.select(*_ids("said"))
+        .join(through, "id")
+        .groupBy("capture")
+        .agg(F.sort_array(F.collect_set("said")).alias("_said"))
+    )
+    given = lambda name: F.get(
+        F.filter(F.transform("_said", lambda x: x[name]), lambda x: x.isNotNull()), F.lit(0)
+    )
+    listed = F.transform("_said", lambda x: F.struct(x["record_id"].alias("record_id"), x["fields"].alias("fields")))
+    none = F.array().cast("array<struct<record_id:string,fields:string>>")
+    return responses.join(requests, "capture", "left").join(metadata, "capture", "left").select(
+        "capture",
+        given("page").alias("page_id"),
+        given("refers").alias("refers_to_page"),
+        "request",
+        "response",
+        F.coalesce(listed, none).alias("metadata"),
     )
