@@ -2,8 +2,10 @@
 
 For each item size there are windows of that many words over every document.
 A window's SimHash (64 bits over its words) is looked up in an index of the
-items' fingerprints: cut into ``RADIUS + 1`` blocks, two fingerprints within
-the radius agree in a block, so the index finds all of them.  Candidates are
+items' fingerprints: cut into one block more than the radius, two fingerprints within
+the radius agree in a block, so the index finds all of them.  The radius follows from the
+sizes of window and item (``radius``), so that a passage at the threshold is missed about
+once in ``1 / MISSED``.  Candidates are
 verified by the weighted Jaccard similarity of their five-word shingles, each
 weighing as often as it occurs.  A document shorter than an item is one window.
 
@@ -16,22 +18,47 @@ matched one by one.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.llm import wordhash
+from murmura.llm import storage, wordhash
 
 PERCENT = 75
-RADIUS = 15
+#: Share of passages at the threshold whose fingerprint may lie beyond the radius.
+MISSED = 1e-4
+#: A fingerprint may differ by so many bits whatever the sizes.
+LEAST_RADIUS = 15
 #: Characters of items that go to the tasks at once; more take several passes over the documents.
 PASS_CHARS = 16 << 20
+#: Pairs of windows and items that are compared at once.
+PAIRS = 1 << 20
 
-_BOUNDS = np.linspace(0, 64, RADIUS + 2).astype(int)
+
+
+@lru_cache(1 << 14)
+def radius(length: int, size: int, percent: int = PERCENT) -> int:
+    """Bits in which fingerprints of a window and an item of so many words may differ.
+
+    What is alike has at least ``percent`` in a hundred and percent of the shingles of both, and
+    most words differ where those lie together.  A bit is a majority of random signs; two of
+    correlation r differ with probability ``acos(r) / pi``.
+    """
+    if min(length, size) < wordhash.WIDTH:
+        return LEAST_RADIUS
+    less = wordhash.WIDTH - 1
+    shared = math.ceil(percent * (length + size - 2 * less) / (100 + percent)) + less
+    differs = math.acos(min(1.0, shared / math.sqrt(length * size))) / math.pi
+    beyond, bits = 1.0, -1
+    while beyond > MISSED and bits < 63:
+        bits += 1
+        beyond -= math.comb(64, bits) * differs**bits * (1 - differs) ** (64 - bits)
+    return max(bits, LEAST_RADIUS)
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -74,12 +101,14 @@ def _running(among: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Blocks:
-    """Fingerprints of items of one size, sorted by each of their blocks."""
+    """Fingerprints of items of one size, sorted by each of ``radius + 1`` blocks of their bits."""
 
-    def __init__(self, prints: np.ndarray, places: np.ndarray) -> None:
-        self.prints, self.places = prints, places
+    def __init__(self, prints: np.ndarray, places: np.ndarray, radius: int) -> None:
+        self.prints, self.places, self.radius = prints, places, radius
+        self.bounds = np.linspace(0, 64, radius + 2).astype(int)
         self.sorted = []
-        for block in map(self._block, [prints] * (RADIUS + 1), _BOUNDS, _BOUNDS[1:]):
+        for low, high in zip(self.bounds, self.bounds[1:]):
+            block = self._block(prints, low, high)
             order = np.argsort(block, kind="stable")
             self.sorted.append((block[order], order))
 
@@ -87,20 +116,25 @@ class Blocks:
     def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
         return (prints >> np.uint64(low)) & np.uint64((1 << int(high - low)) - 1)
 
-    def near(self, prints: np.ndarray) -> list[tuple[int, int]]:
+    def near(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """``(which of prints, item)`` for all pairs within the radius."""
+        step = max(1, PAIRS // max(1, len(self.prints)))
+        for first in range(0, len(prints), step):
+            found = self._near(prints[first : first + step])
+            yield from ((first + int(x) // len(self.places), int(self.places[x % len(self.places)])) for x in found)
+
+    def _near(self, prints: np.ndarray) -> np.ndarray:
         found = []
-        for (values, order), low, high in zip(self.sorted, _BOUNDS, _BOUNDS[1:]):
+        for (values, order), low, high in zip(self.sorted, self.bounds, self.bounds[1:]):
             block = self._block(prints, low, high)
             first, end = (np.searchsorted(values, block, side) for side in ("left", "right"))
             counts = end - first
             which = np.repeat(np.arange(len(prints)), counts)
             nth = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
             item = order[first[which] + nth]
-            close = np.bitwise_count(prints[which] ^ self.prints[item]) <= RADIUS
+            close = np.bitwise_count(prints[which] ^ self.prints[item]) <= self.radius
             found.append(which[close] * len(self.places) + item[close])
-        pairs = np.unique(np.concatenate(found))
-        return [(int(x) // len(self.places), int(self.places[x % len(self.places)])) for x in pairs]
+        return np.unique(np.concatenate(found))
 
 
 class Index:
@@ -122,9 +156,15 @@ class Index:
         self.pairs = np.unique(np.concatenate(pairs))
         self.all_shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.shingles]))
         sizes, prints = np.array(words, int), np.array(prints, np.uint64)
-        self.sizes = {
-            int(size): Blocks(prints[sizes == size], np.flatnonzero(sizes == size)) for size in np.unique(sizes)
-        }
+        self.sizes = {int(size): (prints[sizes == size], np.flatnonzero(sizes == size)) for size in np.unique(sizes)}
+        self._blocks: dict[tuple[int, int], Blocks] = {}
+
+    def blocks(self, length: int, size: int) -> Blocks:
+        """The items of ``size`` words for windows of ``length``."""
+        key = size, radius(length, size, self.percent)
+        if key not in self._blocks:
+            self._blocks[key] = Blocks(*self.sizes[size], key[1])
+        return self._blocks[key]
 
     def _enough(self, length: int) -> int:
         """Shingles of a window that must be the item's, where ``length`` words have several."""
@@ -159,9 +199,9 @@ class Index:
                 shared = _running(self.all_shingles, whole)
                 texts = np.repeat(np.arange(end - first), np.diff(bounds))
                 room = bounds[texts + 1] - np.arange(len(hashes))
-                for size, blocks in self.sizes.items():
+                for size in self.sizes:
                     for starts, length in self._windows(bounds, counts, room, size):
-                        for which, item in blocks.near(fingerprints(hashes, starts, length)):
+                        for which, item in self.blocks(length, size).near(fingerprints(hashes, starts, length)):
                             start = int(starts[which])
                             if length < wordhash.WIDTH:
                                 own = wordhash.shingles(hashes[start : start + length])
@@ -177,22 +217,25 @@ class Index:
             yield from best
 
 
-def indexes(items: DataFrame, percent: int = PERCENT) -> Iterator[Index]:
-    """The items in parts of bounded size, each as an index to send to the tasks."""
+def indexes(items: DataFrame, percent: int = PERCENT) -> Iterator[tuple[Index, bool]]:
+    """The items in parts of bounded size, each as an index to send to the tasks, and whether it is the last.
+
+    A pass is to be written before the next index is asked for, so that the driver holds one.
+    """
     rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = total // PASS_CHARS + 1
     for number in range(passes):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).collect()
         part.sort(key=lambda x: (x["item_id"] is None, x["item_id"], x["text"]))
-        yield Index([x["item_id"] for x in part], [x["text"] for x in part], percent)
+        yield Index([x["item_id"] for x in part], [x["text"] for x in part], percent), number == passes - 1
 
 
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, item_id, similarity, first_word, n_words)``: the best window per document and item found in it."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for index in indexes(items, percent):
+    for index, last in indexes(items, percent):
 
         def rows(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -211,17 +254,19 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> D
         part = named.mapInArrow(
             rows, "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_words bigint"
         )
+        part = part if last else storage.written(part)
         found = part if found is None else found.unionAll(part)
     return found
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
-    for index in indexes(items, percent):
+    for index, last in indexes(items, percent):
 
         def rows(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not x for x in index.of_column(batch["text"])], pa.bool_()))
 
         docs = docs.mapInArrow(rows, docs.schema)
+        docs = docs if last else storage.written(docs)
     return docs
