@@ -170,10 +170,12 @@ class Index:
         """Shingles of a window that must be the item's, where ``length`` words have several."""
         return -(-self.percent * max(0, length - wordhash.WIDTH + 1) // 100)
 
-    def _windows(self, bounds: np.ndarray, counts: np.ndarray, room: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
-        """``(starts, length)`` of windows of ``size`` words, or of whole shorter texts, with enough known pairs.
+    def _windows(
+        self, bounds: np.ndarray, counts: np.ndarray, shared: np.ndarray, room: np.ndarray, size: int
+    ) -> list[tuple[np.ndarray, int]]:
+        """``(starts, length)`` of windows of ``size`` words, or of whole shorter texts, with enough known pairs and shingles.
 
-        ``counts`` are running sums of known pairs, ``room`` the words from each on to the end of its text.
+        ``counts`` and ``shared`` are running sums of these, ``room`` the words from each on to the end of its text.
         """
         # The pairs that an item's shingles begin with are the item's.
         found = []
@@ -186,7 +188,14 @@ class Index:
             starts = bounds[:-1][short & (lengths == length)]
             known = counts[starts + length - 1] - counts[starts]
             found.append((starts[known >= self._enough(length)], length))
-        return [(starts, length) for starts, length in found if len(starts)]
+        enough = []
+        for starts, length in found:
+            if length >= wordhash.WIDTH:
+                known = shared[starts + length - wordhash.WIDTH + 1] - shared[starts]
+                starts = starts[known >= self._enough(length)]
+            if len(starts):
+                enough.append((starts, length))
+        return enough
 
     def of_column(self, column: pa.Array) -> Iterator[dict[int, tuple[float, int, int]]]:
         """For each text, by item: similarity, first word and words of its best window, the first of equals."""
@@ -200,16 +209,13 @@ class Index:
                 texts = np.repeat(np.arange(end - first), np.diff(bounds))
                 room = bounds[texts + 1] - np.arange(len(hashes))
                 for size in self.sizes:
-                    for starts, length in self._windows(bounds, counts, room, size):
+                    for starts, length in self._windows(bounds, counts, shared, room, size):
                         for which, item in self.blocks(length, size).near(fingerprints(hashes, starts, length)):
                             start = int(starts[which])
                             if length < wordhash.WIDTH:
                                 own = wordhash.shingles(hashes[start : start + length])
                             else:
-                                end_ = start + length - wordhash.WIDTH + 1
-                                if shared[end_] - shared[start] < self._enough(length):
-                                    continue
-                                own = whole[start:end_]
+                                own = whole[start : start + length - wordhash.WIDTH + 1]
                             alike = similarity(own, self.shingles[item])
                             found = best[texts[start]]
                             if 100 * alike >= self.percent and alike > found.get(item, (0,))[0]:

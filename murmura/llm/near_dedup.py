@@ -227,17 +227,31 @@ def open_bands(members: DataFrame, joined: DataFrame) -> DataFrame:
 
     Members of a band's largest component are settled: they need not meet each other.
     """
-    labelled = members.where("size > 2").join(joined, "id", "left").select(
+    labelled = _labelled(members, joined)
+    several = _largest(labelled)
+    return storage.written(
+        labelled.join(several, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("settled"))
+    )
+
+
+def _labelled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(key, id, component)`` of bands of more than two."""
+    return members.where("size > 2").join(joined, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
+
+
+def _largest(labelled: DataFrame, *more: Column | str) -> DataFrame:
+    """``(key, largest)``, the largest component of each band that has several, of equal ones the least.
+
+    ``more`` may be an aggregate over the component's members, and its name.
+    """
+    own, names = more[:1], more[1:]
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), *own)
     tops = parts.groupBy("key").agg(
-        F.max(F.struct("n", (-F.col("component")).alias("less"))).alias("top"), F.count("*").alias("parts")
-    )
-    several = tops.where("parts > 1").select("key", (-F.col("top.less")).alias("largest"))
-    return storage.written(
-        labelled.join(several, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("settled"))
+        F.max(F.struct("n", (-F.col("component")).alias("less"), *names)).alias("top"), F.count("*").alias("parts")
     )
+    return tops.where("parts > 1").select("key", (-F.col("top.less")).alias("largest"), *[F.col(f"top.{x}") for x in names])
 
 
 def pivot_rounds(
@@ -248,10 +262,11 @@ def pivot_rounds(
     A round has one row for each of them, and they meet as many pivots as they have bands.
     """
     for turn in range(PIVOT_ROUNDS):
-        opened = open_bands(members, joined)
+        labelled = _labelled(members, joined)
         drawn = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("draw"), "id"))
-        pivots = opened.where("settled").groupBy("key").agg(drawn.alias("_drawn")).select("key", F.col("_drawn.id").alias("pivot"))
-        pairs = _pairs(opened.where("NOT settled").join(pivots, "key"), "id", "pivot")
+        tops = _largest(labelled, drawn.alias("drawn"), "drawn").select("key", "largest", F.col("drawn.id").alias("pivot"))
+        outside = labelled.join(tops, (labelled["key"] == tops["key"]) & (F.col("component") != F.col("largest")))
+        pairs = _pairs(outside.select("id", "pivot"), "id", "pivot")
         found = storage.written(confirmed(likely(pairs, signatures, percent), sets, percent))
         if found.isEmpty():
             break
