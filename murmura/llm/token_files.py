@@ -5,7 +5,8 @@ ids by text) within and across files.  ``ids`` is a list column, dictionary-enco
 vocabulary fits a dictionary page); the metadata columns are small sorted integers,
 delta-encoded.  Row groups and pages are bounded in bytes, and pages carry
 min/max indexes, so a reader of a range of documents, or of counts alone,
-fetches only those pages.
+fetches only those pages: ``read_documents`` for a range of ids, ``read_span`` for a
+range of positions in the whole sequence of ids.
 
 NULL texts count as empty: only the end id is written for them.
 """
@@ -72,19 +73,42 @@ def _encoded(path: str, end_id: int):
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    shards: int | None = None,
+    layout: dict[str, str] | None = None,
 ) -> None:
     """Writes the ids of ``docs`` below ``folder``, in one shard per range of ``doc_id``.
 
     Shards are numbered in ``doc_id`` order; ``local_start`` counts the ids
     before a document within its shard, so no task waits for another's total.
+    ``layout`` overrides settings of ``LAYOUT``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     encoded = ranged.mapInArrow(_encoded(tokenizer, end_id), SCHEMA)
-    encoded.withColumn("shard", F.spark_partition_id()).write.options(**LAYOUT).parquet(folder)
+    encoded.withColumn("shard", F.spark_partition_id()).write.options(**LAYOUT | (layout or {})).parquet(folder)
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(StructType(SCHEMA.fields + [StructField("shard", IntegerType())])).parquet(folder)
+
+
+def _bases(stored: DataFrame) -> DataFrame:
+    """``(shard, _base)``: the ids before each shard, from two small columns; one row per shard."""
+    totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("_total"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("shard", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+
+
+def _placed(rows: DataFrame, bases: DataFrame) -> DataFrame:
+    return rows.join(bases, "shard").select(
+        "doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids"
+    )
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,12 +117,46 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     The totals per shard come from two small columns; there are as many as
     shards.
     """
-    stored = spark.read.schema(StructType(SCHEMA.fields + [StructField("shard", IntegerType())])).parquet(folder)
-    totals = stored.groupBy("shard").agg(F.sum("n_tokens").alias("_total"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("shard", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    return stored.join(bases, "shard").select(
-        "doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids"
+    stored = _stored(spark, folder)
+    return _placed(stored, _bases(stored))
+
+
+def read_documents(spark: SparkSession, folder: str, first: int, last: int) -> DataFrame:
+    """``read_tokens`` of the documents with ``first <= doc_id <= last``, from their row groups and pages only."""
+    stored = _stored(spark, folder)
+    return _placed(stored.where(F.col("doc_id").between(first, last)), _bases(stored))
+
+
+def read_span(spark: SparkSession, folder: str, start: int, end: int) -> DataFrame:
+    """``(doc_id, start, ids)``: the ids at positions ``start`` to ``end`` (exclusive) of the whole sequence.
+
+    One row per document with ids there; ``ids`` are cut to the span and ``start`` is
+    the position of their first.  Row groups and pages outside the span are not
+    read.  Positions that are not there give no rows.
+    """
+    stored, start = _stored(spark, folder), max(0, start)
+    bases = _bases(stored)
+    # The shards in which the span begins and ends.
+    low = bases.where(F.col("_base") <= start).orderBy(F.desc("_base")).first()
+    high = bases.where(F.col("_base") < end).orderBy(F.desc("_base")).first()
+    shard, place = F.col("shard"), F.col("local_start")
+    if low is None or high is None or end <= start:
+        return _placed(stored.where("false"), bases).select("doc_id", "start", "ids")
+    opening = stored.where((shard == low["shard"]) & (place <= start - low["_base"])).agg(F.max(place)).first()[0]
+    within = (
+        shard.between(low["shard"], high["shard"])
+        & ((shard > low["shard"]) | (place >= opening))
+        & ((shard < high["shard"]) | (place < end - high["_base"]))
+    )
+    first, after = F.greatest(F.col("start"), F.lit(start)), F.col("start") + F.col("n_tokens")
+    return (
+        _placed(stored.where(within), bases)
+        .where(after > start)
+        .select(
+            "doc_id",
+            first.alias("start"),
+            F.slice("ids", (first - F.col("start") + 1).cast("int"), (F.least(after, F.lit(end)) - first).cast("int")).alias("ids"),
+        )
     )
 
 
