@@ -4,8 +4,9 @@ A word transducer turns words into symbols: insults and threats (learned:
 words, and stems that words begin with), targets, negations, words of
 reporting.  Three small transducers over symbols follow, for reported speech,
 negation and targets; composed they are one automaton that reads a clause and
-emits events, such as an insult at a target or a negated one.  A document's
-score is a logistic function of its clauses' events, whose weights are learned.
+emits events, such as an insult at a target or a negated one.  Its arcs have the
+learned weights of their events; a clause scores the weight of its path, and a
+document a logistic function of what its clauses score together.
 
 Labels, language, source and ids take no part in a score.  NULL and empty
 texts have no events and get the score of texts without any.
@@ -97,6 +98,14 @@ def composed(*chain: Transducer) -> Transducer:
     return table
 
 
+def _lower(text: str) -> str:
+    """``text`` in lower case; what has no lower case of one code point stays, so that places do not shift."""
+    lowered = text.lower()
+    if len(lowered) == len(text):
+        return lowered
+    return "".join(x if len(x.lower()) > 1 else x.lower() for x in text)
+
+
 @dataclass
 class Model:
     words: frozenset[str] = frozenset()
@@ -104,7 +113,10 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 + len(EVENTS)))
 
     def __post_init__(self) -> None:
-        self.grammar = composed(reported_speech(), negation(), target())
+        weight = dict(zip(EVENTS, self.weights[1:].tolist()))
+        grammar = composed(reported_speech(), negation(), target())
+        # (state, symbol) -> (state, event, weight)
+        self.arcs = {arc: (state, event, weight.get(event, 0.0)) for arc, (state, event) in grammar.items()}
         closed = ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT))
         self.classes = {w: kind for words, kind in closed for w in words} | dict.fromkeys(self.words, INSULT)
         self.lengths = sorted({len(x) for x in self.stems})
@@ -119,32 +131,40 @@ class Model:
             kind = INSULT
         return OTHER if kind is None else kind
 
-    def clauses(self, text: str) -> Iterator[tuple[int, int, Counter]]:
-        """``(start, end, events)`` of the clauses of ``text`` in which the grammar finds any."""
-        if not self.telling.search(lowered := text.lower()):
+    def paths(self, text: str) -> Iterator[tuple[int, int, Counter, float]]:
+        """``(start, end, events, weight)`` of the clauses of ``text`` in which the grammar finds any events."""
+        if not self.telling.search(lowered := _lower(text)):
             return
-        state, events, start, end = 0, Counter(), 0, 0
+        state, events, score, start, end = 0, Counter(), 0.0, 0, 0
         for match in _TOKEN.finditer(lowered):
             if match[0] in ".!?;\n":
                 if events:
-                    yield start, match.start(), events
-                state, events, start = 0, Counter(), match.end()
+                    yield start, match.start(), events, score
+                state, events, score, start = 0, Counter(), 0.0, match.end()
             else:
-                state, event = self.grammar[state, self.symbol(match[0])]
+                state, event, weight = self.arcs[state, self.symbol(match[0])]
                 if event:
                     events[event] += 1
+                    score += weight
                 end = match.end()
         if events:
+            yield start, end, events, score
+
+    def clauses(self, text: str) -> Iterator[tuple[int, int, Counter]]:
+        """``paths`` without weights."""
+        for start, end, events, _ in self.paths(text):
             yield start, end, events
 
     def features(self, text: str) -> np.ndarray:
+        """1 and how often each event occurs, to which the weights belong."""
         total: Counter = Counter()
         for _, _, events in self.clauses(text):
             total.update(events)
-        return np.array([1.0, *(np.log1p(total[x]) for x in EVENTS)])
+        return np.array([1.0, *(float(total[x]) for x in EVENTS)])
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-features @ self.weights))
+    def scores(self, paths: np.ndarray) -> np.ndarray:
+        """Of documents whose clauses weigh ``paths`` together."""
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + paths, -500, 500)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -155,7 +175,7 @@ def held_out(doc_id: Column) -> Column:
 def _grams(text: str) -> set[str]:
     """The words of ``text``, closed by a mark, and the stems they begin with."""
     found = set()
-    for word in set(_WORD.findall(text.lower())):
+    for word in set(_WORD.findall(_lower(text))):
         found.add(word + "$")
         found.update(word[:n] for n in range(STEM[0], min(STEM[1], len(word)) + 1))
     return found
@@ -268,28 +288,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     if seen:
         features = np.repeat(np.array([x["features"] for x in seen]), [x["n"] for x in seen], axis=0)
         labels_ = np.repeat([float(x["toxic"]) for x in seen], [x["n"] for x in seen])
-        model.weights = _logistic(features, labels_)
+        return Model(model.words, model.stems, _logistic(features, labels_))
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score, clauses)``; ``clauses`` holds ``(start, end, events)`` of matched clauses."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("events", pa.list_(pa.string()))]))
+    """``(doc_id, score, clauses)``; ``clauses`` holds ``(start, end, events, score)`` of matched clauses."""
+    fields = [("start", pa.int64()), ("end", pa.int64()), ("events", pa.list_(pa.string())), ("score", pa.float64())]
+    kind = pa.list_(pa.struct(fields))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.parts(batch):
-                features, found = [], []
+                weights, found = [], []
                 for text in tokens.texts(part["text"]):
-                    clauses = list(model.clauses(text))
-                    total = sum((c for _, _, c in clauses), Counter())
-                    features.append([1.0, *(np.log1p(total[x]) for x in EVENTS)])
-                    found.append([{"start": a, "end": b, "events": sorted(c)} for a, b, c in clauses])
+                    paths = list(model.paths(text))
+                    weights.append(sum(x for _, _, _, x in paths))
+                    found.append([{"start": a, "end": b, "events": sorted(c), "score": x} for a, b, c, x in paths])
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(model.scores(np.array(features))), pa.array(found, kind)],
+                    [part["doc_id"], pa.array(model.scores(np.array(weights, float))), pa.array(found, kind)],
                     names=["doc_id", "score", "clauses"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        rows, "doc_id bigint, score double, clauses array<struct<start: bigint, end: bigint, events: array<string>>>"
+        rows,
+        "doc_id bigint, score double, clauses array<struct<start: bigint, end: bigint, events: array<string>, score: double>>",
     )
