@@ -414,7 +414,7 @@ def test_toxicity(spark, awkward, empty):
         F.count_if(F.col("score") >= 0.7).alias("said"),
         F.sum("toxic").alias("toxic"),
     ).first()
-    assert right.hit >= 0.8 * right.toxic and right.hit >= 0.9 * right.said
+    assert right.hit >= 0.9 * right.toxic and right.hit >= 0.99 * right.said
     assert all(0 <= r.score <= 1 for r in toxicity.scored(awkward, model).collect())
     assert toxicity.scored(empty, model).count() == 0
     assert toxicity.fit(docs, labels.where("false")).words == frozenset()
