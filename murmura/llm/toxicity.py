@@ -194,14 +194,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _grams(text: str) -> Counter:
-    """Words of ``text``, closed by a mark, and stems, with how many different words begin with them; "" with all."""
-    found: Counter = Counter()
-    for word in set(_WORD.findall(_lower(text))):
-        found[""] += 1
-        found[word + "$"] += 1
-        for n in range(STEM[0], min(STEM[1], len(word)) + 1):
-            found[word[:n]] += 1
+def _grams(text: str, among: frozenset[str] | None = None) -> Counter:
+    """Words of ``text``, closed by a mark, and stems, with how many different words begin with them; "" with all.
+
+    Of those ``among`` if given.
+    """
+    words = set(_WORD.findall(_lower(text)))
+    grams = [word + "$" for word in words]
+    for n in range(STEM[0], STEM[1] + 1):
+        grams += [word[:n] for word in words if len(word) >= n]
+    found = Counter(grams if among is None else [g for g in grams if g in among])
+    found[""] = len(words)
     return found
 
 
@@ -244,9 +247,7 @@ def _counted(rows: DataFrame, among: frozenset[str] | None) -> DataFrame:
         for batch in batches:
             found, words = Counter(), Counter()
             for text in tokens.texts(batch["text"]):
-                own = _grams(text)
-                if among is not None:
-                    own = {g: own[g] for g in own.keys() & among}
+                own = _grams(text, among)
                 found.update(own.keys())
                 words.update(own)
             yield pa.RecordBatch.from_arrays(
