@@ -220,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encoder, end = tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in tokens.parts(batch):
+            for part in tokens.parts(batch, tokens.ENCODED_BYTES):
                 out: list[tuple] = []
                 for doc_id, ids in zip(part["doc_id"].to_pylist(), encoder.encode(tokens.texts(part["text"]))):
                     ids += end
@@ -235,6 +235,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     [pa.array(c, k) for c, k in zip(columns, kinds)],
                     names=["doc_id", "piece", "start", "length", "ids", "local_rank"],
                 )
+        tokens.released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         rows, "doc_id bigint, piece int, start bigint, length bigint, ids binary, local_rank bigint"

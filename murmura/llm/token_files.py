@@ -52,7 +52,7 @@ def _encoded(path: str, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = tokens.encoder(path), 0
         for batch in batches:
-            for part in tokens.parts(batch):
+            for part in tokens.parts(batch, tokens.ENCODED_BYTES):
                 encoded = encoder.encode(tokens.texts(part["text"]))
                 counts = np.array([len(x) // 4 + 1 for x in encoded], np.int64)
                 end = np.array([end_id], "<u4").tobytes()
@@ -68,6 +68,7 @@ def _encoded(path: str, end_id: int):
                     names=SCHEMA.names,
                 )
                 start += int(offsets[-1])
+        tokens.released()
 
     return rows
 

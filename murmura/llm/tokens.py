@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces remembered by a Python worker before it starts anew.
-REMEMBERED = 1_000_000
+#: Pieces remembered by a Python worker at most, but for those of one call; of more, the ones met last.
+REMEMBERED = 500_000
 _MARK = "\0"
 _PUNCTUATION = frozenset(",.;:!?")
 #: Letters below this one are letters for every version of Unicode.
@@ -41,7 +41,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        # Once the first has half of what is remembered it takes the place of the second, so common pieces stay.
         self._memory: dict[str, bytes | None] = {}
+        self._older: dict[str, bytes | None] = {}
         feed = self._whole("\n")
         # Only a tokenizer that keeps a lone line feed apart and cuts before a space may be fed pieces.
         probe = ["ab", " cd", "\n", "ef", ".", "\n", " gh", ",", " ij"]
@@ -61,15 +63,17 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self._cuttable:
             return [self._whole(x) for x in texts]
-        if len(self._memory) > REMEMBERED:
-            self._memory = {}
-        memory = self._memory
+        if len(self._memory) > REMEMBERED // 2:
+            self._memory, self._older = {}, self._memory
+        memory, older = self._memory, self._older
         cut = [x.replace("\n", "\0\n\0").replace(" ", "\0 ").split(_MARK) for x in texts]
         new: set[str] = set()
         for pieces in cut:
             new.update([x for x in pieces if x not in memory])
-        if new:
-            self._learn(new)
+        known = {x: older[x] for x in new if x in older}
+        memory.update(known)
+        if len(known) < len(new):
+            self._learn(new.difference(known))
         found = []
         for text, pieces in zip(texts, cut):
             try:
@@ -118,19 +122,26 @@ class Encoder:
 
 #: What of an Arrow batch is worked on at once, in bytes of text.
 PART_BYTES = 4 << 20
+#: The same where texts are encoded, whose pieces take many times the bytes.
+ENCODED_BYTES = 1 << 20
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows with about ``PART_BYTES`` of text each."""
+def parts(batch: pa.RecordBatch, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``size`` bytes of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
     first = 0
     while first < batch.num_rows:
         before = int(sizes[first - 1]) if first else 0
-        end = max(first + 1, int(np.searchsorted(sizes, before + PART_BYTES, "right")))
+        end = max(first + 1, int(np.searchsorted(sizes, before + size, "right")))
         yield batch.slice(first, end - first)
         first = end
 
 
+def released() -> None:
+    """Gives back what Arrow holds for later batches: workers are kept, and later stages run beside it."""
+    pa.default_memory_pool().release_unused()
+
+
 def texts(column: pa.Array) -> list[str]:
     """The texts of ``column``, NULL as empty."""
     return pc.fill_null(column, "").to_pylist()

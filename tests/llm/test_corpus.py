@@ -192,6 +192,25 @@ def test_tokens_are_those_of_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_common_words_stay_when_more_are_met_than_remembered(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 100)
+    plain, own, learned = tokens.encoder(registered.tokenizer()), tokens.Encoder(registered.tokenizer()), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda pieces: (learned.extend(pieces), learn(pieces))[1])
+    for k in range(30):
+        text = "a common word, " + " ".join(f"w{k}x{i}." for i in range(20)) + " \nend; "
+        assert own.encode([text, ""]) == plain.encode([text, ""])
+    assert learned.count(" common") == learned.count(" word,") == 1
+
+
+def test_words_of_many_texts_stay_few_in_memory():
+    own = tokens.Encoder(registered.tokenizer())
+    for k in range(14):
+        own.encode([" ".join(f"w{i}" for i in range(50_000 * k, 50_000 * (k + 1)))])
+    held = sum(len(x) for x in vars(own).values() if isinstance(x, dict))
+    assert held < 600_000
+
+
 def encoded(docs, end):
     from tokenizers import Tokenizer
 
