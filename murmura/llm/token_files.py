@@ -52,8 +52,8 @@ def _encoded(path: str, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start = tokens.encoder(path), 0
         for batch in batches:
-            for part in tokens.parts(batch, tokens.ENCODED_BYTES):
-                encoded = encoder.encode(tokens.texts(part["text"]))
+            for part in tokens.parts(batch):
+                encoded = encoder.encode(part["text"])
                 counts = np.array([len(x) // 4 + 1 for x in encoded], np.int64)
                 end = np.array([end_id], "<u4").tobytes()
                 flat = np.frombuffer(b"".join(x + end for x in encoded), "<i4")
@@ -107,7 +107,8 @@ def _bases(stored: DataFrame) -> DataFrame:
 
 
 def _placed(rows: DataFrame, bases: DataFrame) -> DataFrame:
-    return rows.join(bases, "shard").select(
+    # One row per shard goes to the ids, which stay where they are.
+    return rows.join(F.broadcast(bases), "shard").select(
         "doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids"
     )
 

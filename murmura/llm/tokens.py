@@ -5,6 +5,9 @@ line feed between other characters always begins such a piece.  So most texts
 can be cut there, equal pieces share their ids, and only pieces not met before
 go through the tokenizer, many at a time.  Texts with runs of white space,
 where the cuts depend on what follows, go through it whole.
+
+Arrow cuts, finds pieces among those remembered and puts their ids in a row;
+Python meets only new ones.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ import pyarrow.compute as pc
 
 #: Pieces remembered by a Python worker at most, but for those of one call; of more, the ones met last.
 REMEMBERED = 500_000
-_MARK = "\0"
 _PUNCTUATION = frozenset(",.;:!?")
 #: Letters below this one are letters for every version of Unicode.
 _LATIN_END = "\u0250"
@@ -41,9 +43,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        # Once the first has half of what is remembered it takes the place of the second, so common pieces stay.
-        self._memory: dict[str, bytes | None] = {}
-        self._older: dict[str, bytes | None] = {}
+        # Pieces, their ids (NULL if cutting there is not safe) and the call that met them last.
+        self._pieces = pa.array([], pa.large_string())
+        self._ids = pa.array([], pa.large_binary())
+        self._met, self._calls = np.zeros(0, np.int64), 0
         feed = self._whole("\n")
         # Only a tokenizer that keeps a lone line feed apart and cuts before a space may be fed pieces.
         probe = ["ab", " cd", "\n", "ef", ".", "\n", " gh", ",", " ij"]
@@ -57,82 +60,122 @@ class Encoder:
             self._spelling = {ord(c): cut(c)[0][0] for c in letters} | {32: cut(" a")[0][0][:-1]}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self._cuttable:
-            return [self._whole(x) for x in texts]
-        if len(self._memory) > REMEMBERED // 2:
-            self._memory, self._older = {}, self._memory
-        memory, older = self._memory, self._older
-        cut = [x.replace("\n", "\0\n\0").replace(" ", "\0 ").split(_MARK) for x in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update([x for x in pieces if x not in memory])
-        known = {x: older[x] for x in new if x in older}
-        memory.update(known)
-        if len(known) < len(new):
-            self._learn(new.difference(known))
-        found = []
-        for text, pieces in zip(texts, cut):
-            try:
-                ids = None if _MARK in text else b"".join(map(memory.__getitem__, pieces))
-            except TypeError:  # a piece at which cutting is not safe
-                ids = None
-            found.append(self._whole(text) if ids is None else ids)
-        return found
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of ``pieces``, and None for those at which cutting is not safe.
-
-        These are empty pieces, lone spaces, and pieces with other white space.
+        # Without the places of ids in the text, which cost as much as the ids.
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text, NULL as empty, as little-endian unsigned 32-bit integers."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        column = column.fill_null("")
+        if not self._cuttable or not len(column):
+            return [self._whole(x.as_py()) for x in column]
+        pieces, firsts, whole = _cut(column)
+        if not len(pieces):
+            return [b""] * len(column)
+        places = self._places(pieces)
+        if self._ids.null_count:
+            unsafe = self._ids.is_null().to_numpy(zero_copy_only=False)[places]
+            whole[np.searchsorted(firsts, np.flatnonzero(unsafe), "right") - 1] = True
+        joined = self._ids.take(pa.array(places))
+        _, ends, ids = joined.buffers()
+        ends, ids = np.frombuffer(ends, np.int64)[firsts].tolist(), memoryview(ids or b"")
+        return [
+            self._whole(column[k].as_py()) if whole[k] else ids[start:end].tobytes()
+            for k, (start, end) in enumerate(zip(ends, ends[1:]))
+        ]
+
+    def _places(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """Where each piece is among those remembered, which new ones join."""
+        if len(self._pieces) > REMEMBERED:  # those met last stay
+            kept = np.sort(np.argsort(-self._met, kind="stable")[: REMEMBERED * 3 // 4])
+            self._pieces, self._ids, self._met = self._pieces.take(kept), self._ids.take(kept), self._met[kept]
+        found = pc.index_in(pieces, value_set=self._pieces)
+        places = found.fill_null(0).to_numpy().copy()
+        if found.null_count:
+            new, before = found.is_null(), len(self._pieces)
+            learnt = pieces.filter(new).dictionary_encode()
+            places[new.to_numpy(zero_copy_only=False)] = learnt.indices.to_numpy() + before
+            ids = self._learn(learnt.dictionary.to_numpy(zero_copy_only=False).tolist())
+            self._pieces = pa.concat_arrays([self._pieces, learnt.dictionary])
+            self._ids = pa.concat_arrays([self._ids, pa.array(ids, pa.large_binary())])
+            self._met = np.append(self._met, np.zeros(len(ids), np.int64))
+        self._calls += 1
+        self._met[places] = self._calls
+        return places
+
+    def _learn(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of each of ``pieces``, None for those at which cutting is not safe.
+
+        These are lone spaces, and pieces with other white space.
         A word's closing punctuation is looked up on its own.
         """
-        memory, ended, others = self._memory, [], []
-        tokenize, spelling = self._tokenizer.model.tokenize, self._spelling
+        found: dict[str, bytes | None] = {}
+        ended, words, others = set(), [], list(_PUNCTUATION)
         for piece in pieces:
             core = piece
-            if piece[-1:] in _PUNCTUATION and piece[-2:-1].isalpha():
+            if piece[-1] in _PUNCTUATION and piece[-2:-1].isalpha():
                 core = piece[:-1]
-                ended.append(piece)
-                if core in memory:
-                    continue
-            if core[core[:1] == " " :].isalpha() and max(core) < _LATIN_END:
-                ids = [x.id for x in tokenize(core.translate(spelling))]
-                memory[core] = pack(f"<{len(ids)}I", *ids)
+                ended.add(piece)
+            if core in found:
+                continue
+            found[core] = None
+            if core[core[0] == " " :].isalpha() and (core.isascii() or max(core) < _LATIN_END):
+                words.append(core)
             elif _WORD(core):
                 others.append(core)
-            else:
-                memory[core] = None
-        others += [x for x in _PUNCTUATION if x not in memory]
-        if others:
-            # Between line feeds each piece is merged on its own.
-            joined = np.frombuffer(self._whole("\n".join(others)), "<u4")
-            ends = np.flatnonzero(joined == self._feed).tolist() + [len(joined)]
-            start = 0
-            for piece, end in zip(others, ends):
-                memory[piece] = joined[start:end].tobytes()
-                start = end + 1
-        memory["\n"] = pack("<I", self._feed)
+        tokenize = self._tokenizer.model.tokenize
+        for word, spelled in zip(words, "\n".join(words).translate(self._spelling).split("\n")):
+            ids = [x.id for x in tokenize(spelled)]
+            found[word] = pack(f"<{len(ids)}I", *ids)
+        # Between line feeds each piece is merged on its own.
+        joined = np.frombuffer(self._whole("\n".join(others)), "<u4")
+        ends = np.flatnonzero(joined == self._feed).tolist() + [len(joined)]
+        start = 0
+        for piece, end in zip(others, ends):
+            found[piece] = joined[start:end].tobytes()
+            start = end + 1
+        found["\n"] = pack("<I", self._feed)
         for piece in ended:
-            core = memory[piece[:-1]]
-            memory[piece] = None if core is None else core + memory[piece[-1]]
+            core = found[piece[:-1]]
+            found[piece] = None if core is None else core + found[piece[-1]]
+        return [found[x] for x in pieces]
+
+
+def _cut(column: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """All pieces of the texts, the number of each text's first piece (and of all), and which texts are not safe to cut.
+
+    A piece is a line feed, or begins with a space, behind a line feed, or with its text.
+    Where two such beginnings meet, or a text ends with a line feed, cutting is not safe.
+    """
+    _, bounds, data = column.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[column.offset :][: len(column) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    filled = np.flatnonzero(np.diff(bounds))
+    feed = data == ord("\n")
+    white, opened = feed | (data == ord(" ")), np.zeros(len(data), bool)
+    opened[1:] = feed[:-1]
+    opened[bounds[filled]] = True
+    whole = np.zeros(len(column), bool)
+    whole[np.searchsorted(bounds, np.flatnonzero(white & opened), "right") - 1] = True
+    whole[filled] |= feed[bounds[filled + 1] - 1]
+    starts = np.flatnonzero(white | opened)
+    ends = np.append(starts, len(data)).astype(np.int64)
+    pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data))
+    return pieces, np.searchsorted(starts, bounds), whole
 
 
 #: What of an Arrow batch is worked on at once, in bytes of text.
 PART_BYTES = 4 << 20
-#: The same where texts are encoded, whose pieces take many times the bytes.
-ENCODED_BYTES = 1 << 20
 
 
-def parts(batch: pa.RecordBatch, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows with about ``size`` bytes of text each."""
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows with about ``PART_BYTES`` of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
     first = 0
     while first < batch.num_rows:
         before = int(sizes[first - 1]) if first else 0
-        end = max(first + 1, int(np.searchsorted(sizes, before + size, "right")))
+        end = max(first + 1, int(np.searchsorted(sizes, before + PART_BYTES, "right")))
         yield batch.slice(first, end - first)
         first = end
 

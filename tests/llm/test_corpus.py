@@ -203,6 +203,42 @@ def test_common_words_stay_when_more_are_met_than_remembered(monkeypatch):
     assert learned.count(" common") == learned.count(" word,") == 1
 
 
+def test_texts_come_as_arrow_columns_too(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    plain, own = Tokenizer.from_file(registered.tokenizer()), tokens.Encoder(registered.tokenizer())
+    pieces = ["word", " é,", " an", " x1.", " ", "\n", ".", "Ж;", " 漢字!", "\t", "\0", "\u2028", " <|endoftext|>", "?"]
+    draw = np.random.Generator(np.random.PCG64(2))
+    texts = ["".join(draw.choice(pieces, draw.integers(0, 9))) + f" w{k}" * (k % 2) for k in range(2000)]
+    texts = [None if k % 7 == 3 else "" if k % 11 == 5 else x for k, x in enumerate(texts)]
+    want = [np.array(plain.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        column, got = pa.array(texts, kind), []
+        for first in range(0, len(texts), 30):
+            got += own.encode(column.slice(first, 30))
+        assert got == want
+        for few in ([None, "", None], ["", None], []):
+            assert own.encode(pa.array(few, kind)) == [b""] * len(few)
+        assert own.encode(pa.array(["a b", None, "", "\n"], kind).slice(1, 2)) == [b"", b""]
+    assert len(own._pieces) < 40 + 30 * 20
+
+
+def test_remembered_words_are_no_python_objects():
+    import tracemalloc
+
+    own = tokens.Encoder(registered.tokenizer())
+    text = " ".join(f"w{i}" for i in range(40_000))
+    tracemalloc.start()
+    try:
+        own.encode([text])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 1_500_000
+
+
 def test_words_of_many_texts_stay_few_in_memory():
     own = tokens.Encoder(registered.tokenizer())
     for k in range(14):

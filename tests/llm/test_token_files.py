@@ -61,6 +61,18 @@ def test_counts_leave_the_ids_unread(spark, files):
     assert "ids" not in plan
 
 
+def test_ids_are_not_shuffled_to_find_their_starts(spark, files):
+    folder, rows = files
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = token_files.read_tokens(spark, folder)
+        assert "SortMergeJoin" not in read._jdf.queryExecution().executedPlan().toString()
+        assert read.orderBy("start").collect() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_ids_of_a_span(spark, files):
     folder, rows = files
     flat = [(r.doc_id, x) for r in rows for x in r.ids]
