@@ -222,7 +222,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         for batch in batches:
             for part in tokens.parts(batch):
                 out: list[tuple] = []
-                for doc_id, ids in zip(part["doc_id"].to_pylist(), encoder.encode(tokens.texts(part["text"]))):
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"])):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n, capacity), n]
